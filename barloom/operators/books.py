@@ -12,6 +12,7 @@ from barloom.functions import ladder
 from barloom.functions.nums import ratio
 from barloom.operators.metrics import _sharpe
 from barloom.operators.panel import calendar
+from barloom.session import materialize
 
 LEG = ["date", "model", "side"]
 
@@ -127,8 +128,8 @@ def run_backtest(signal: DataFrame, returns: DataFrame, cfg: BookConfig, holding
                  bound: int | None = None, held: DataFrame | None = None) -> DataFrame:
     """Daily gross, costs, net, turnover and benchmark for every model of `signal` in one plan."""
     pos = positions_of(signal)
-    if held is None:
-        held = sleeves(target_book(signal, cfg, bound), pos, holding, cfg.lag)
+    if held is None:   # read by the results and by the turnover: written once
+        held = materialize(sleeves(target_book(signal, cfg, bound), pos, holding, cfg.lag), "held")
     zero = F.lit(0.0)
     d = (frame(signal, pos).join(gross_pnl(held, returns), ["model", "date"], "left")
          .join(turnover(held, pos), ["model", "date"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from barloom.config import BookConfig
 from barloom.operators import books as bk, metrics as mt
 from barloom.operators.metrics import performance_metrics
+from barloom.session import materialize
 
 HOLD = "buy and hold"
 COLUMNS = ("model", "sharpe", "sharpe_before_costs", "ann_return", "ann_vol", "max_drawdown", "hit_rate", "t_stat",
@@ -24,7 +25,8 @@ def evaluate_models(signal: DataFrame, returns: DataFrame, cfg: BookConfig, hold
                     bound: int | None = None, daily: DataFrame | None = None) -> DataFrame:
     """Results and skill of every model, on scored dates only: flat days before the first score
     would water down volatility and hit rate."""
-    daily = bk.run_backtest(signal, returns, cfg, holding, bound) if daily is None else daily
+    if daily is None:
+        daily = materialize(bk.run_backtest(signal, returns, cfg, holding, bound), "daily")
     inside = signal.join(F.broadcast(bk.positions_of(signal).select("date")), "date", "left_semi")
     ic = mt.ic_summary(mt.daily_ic(inside, "score", "fwd_ret", cfg.min_names, bound, mask_first=False))
     return net_and_gross(daily, cfg.periods_per_year).join(ic, "model", "left").select(*COLUMNS)
@@ -33,7 +35,7 @@ def evaluate_models(signal: DataFrame, returns: DataFrame, cfg: BookConfig, hold
 def summary_table(signal: DataFrame, returns: DataFrame, cfg: BookConfig, holding: int,
                   bound: int | None = None) -> DataFrame:
     """Every model, the equal-weight holding of the universe, and which model is best by Sharpe."""
-    daily = bk.run_backtest(signal, returns, cfg, holding, bound)
+    daily = materialize(bk.run_backtest(signal, returns, cfg, holding, bound), "daily")
     models = evaluate_models(signal, returns, cfg, holding, bound, daily)
     one = daily.groupBy("date").agg(F.max("benchmark").alias("benchmark")).withColumn("model", F.lit(HOLD))
     hold = performance_metrics(one, cfg.periods_per_year, "benchmark")

@@ -11,7 +11,7 @@ from barloom.config import weekly
 from barloom.operators import books as bk, metrics as mt, report as rp
 from barloom.plans.registry import query
 from barloom.plans.sqlparts import GRID, pct, with_
-from barloom.sources.signals import long_scores, scored_bars
+from barloom.sources.signals import kept_scores, long_scores
 
 WEEK = weekly()
 BOOK, H = WEEK.book, WEEK.labels.horizon
@@ -77,7 +77,7 @@ BT = SIG + legs_sql(BOOK) + fill_sql(BOOK) + NEUTRAL + BOOKS
 
 
 def signal(t):
-    return long_scores(scored_bars(t, H))
+    return long_scores(kept_scores(t, H))
 
 
 WEIGHTED = replace(BOOK, signal_weighted=True, max_weight=0.06)
@@ -127,7 +127,7 @@ def _(t):
 
 def daily(t):
     s = signal(t)
-    return bk.run_backtest(s, scored_bars(t, H), BOOK, H, t.names_bound)
+    return bk.run_backtest(s, kept_scores(t, H), BOOK, H, t.names_bound)
 
 
 @query("gross_pnl", "date:d model:s gross_pnl:f", with_(BT, "select * from daily where pos > 0"))
@@ -135,23 +135,23 @@ def _(t):
     s = signal(t)
     pos = bk.positions_of(s)
     held = bk.sleeves(bk.target_book(s, BOOK, t.names_bound), pos, H, BOOK.lag)
-    d = bk.frame(s, pos).filter("pos > 0").join(bk.gross_pnl(held, scored_bars(t, H)), ["model", "date"], "left")
+    d = bk.frame(s, pos).filter("pos > 0").join(bk.gross_pnl(held, kept_scores(t, H)), ["model", "date"], "left")
     return d.withColumn("gross_pnl", F.coalesce("gross_pnl", F.lit(0.0)))
 
 
-@query("turnover_costs", "date:d model:s turnover:f costs:f net:f", with_(
-    BT, "select date, model, turnover, costs, gross_pnl - costs as net from daily"))
+@query("turnover_costs", "date:d model:s turnover:f costs_bps:f net:f", with_(
+    BT, "select date, model, turnover, costs * 1e4 as costs_bps, gross_pnl - costs as net from daily"))
 def _(t):
-    return daily(t).withColumn("net", F.col("pnl"))
+    return daily(t).withColumns({"net": F.col("pnl"), "costs_bps": F.col("costs") * 1e4})
 
 
 @query("benchmark_equal_weight", "date:d benchmark:f", with_(
     SIG, "select date, coalesce(avg(ret_next_1d), 0.0) as benchmark from sig where model = 'mom' group by date"))
 def _(t):
-    return bk.benchmark(scored_bars(t, H), bk.positions_of(signal(t)))
+    return bk.benchmark(kept_scores(t, H), bk.positions_of(signal(t)))
 
 
-@query("run_backtest", "date:d model:s gross_pnl:f costs:f pnl:f turnover:f benchmark:f", with_(BT, "select * from daily"))
+@query("run_backtest", "date:d model:s gross_pnl:f pnl:f turnover:f benchmark:f", with_(BT, "select * from daily"))
 def _(t):
     return daily(t)
 
@@ -161,12 +161,12 @@ eq as (select *, product(1 + pnl) over (partition by model order by date rows un
 dd as (select *, equity / max(equity) over (partition by model order by date rows unbounded preceding) - 1 as drawdown from eq)"""
 
 
-@query("equity_curve", "date:d model:s equity:f", with_(CURVE, "select * from eq"))
+@query("equity_curve", "date:d model:s equity:l", with_(CURVE, "select * from eq"))
 def _(t):
     return mt.equity_curve(daily(t))
 
 
-@query("drawdown", "date:d model:s equity:f drawdown:f", with_(CURVE, "select * from dd"))
+@query("drawdown", "date:d model:s equity:l drawdown:l", with_(CURVE, "select * from dd"))
 def _(t):
     return mt.drawdown(mt.equity_curve(daily(t)))
 
@@ -184,7 +184,7 @@ def perf_sql(value: str, src: str, keys: str = "model") -> str:
   group by {keys}) c_"""
 
 
-PERF = ("model:s n_days:i years:f total_return:f ann_return:f ann_vol:f sharpe:f sortino:f max_drawdown:f calmar:f "
+PERF = ("model:s n_days:i years:f total_return:l ann_return:f ann_vol:f sharpe:f sortino:f max_drawdown:f calmar:f "
         "hit_rate:f t_stat:f avg_turnover:f ann_turnover:f")
 
 
@@ -248,14 +248,14 @@ qr as (select fr.model, fr.bin, avg(coalesce(r, 0.0)) as m, stddev_samp(coalesce
        from fr left join dr on dr.model = fr.model and dr.pos = fr.pos and dr.bin = fr.bin group by fr.model, fr.bin)"""
 
 
-@query("quantile_returns", "model:s bin:i mean_bps:f ann_return:f sharpe:f", with_(
+@query("quantile_returns", "model:s bin:i mean_bps:f ann_return:l sharpe:f", with_(
     QR, f"select model, bin, m * 1e4 as mean_bps, power(p, {PPY}.0 / n) - 1 as ann_return, m / s * {SQ!r} as sharpe from qr"))
 def _(t):
-    return bk.quantile_returns(signal(t), scored_bars(t, H), BOOK, t.names_bound)
+    return bk.quantile_returns(signal(t), kept_scores(t, H), BOOK, t.names_bound)
 
 
 EVAL = BT + IC[len(SIG):]
-EVAL_COLS = ("model:s sharpe:f sharpe_before_costs:f ann_return:f ann_vol:f max_drawdown:f hit_rate:f t_stat:f ic_mean:f "
+EVAL_COLS = ("model:s sharpe:f sharpe_before_costs:f ann_return:l ann_vol:f max_drawdown:f hit_rate:f t_stat:f ic_mean:f "
              "icir:f ic_t_stat:f ic_positive_rate:f avg_turnover:f n_days:i")
 EVAL_SQL = f"""select n.model, n.sharpe, g.sharpe as sharpe_before_costs, n.ann_return, n.ann_vol, n.max_drawdown, n.hit_rate,
   n.t_stat, i.ic_mean, i.icir, i.ic_t_stat, i.ic_positive_rate, n.avg_turnover, n.n_days
@@ -265,7 +265,7 @@ EVAL_SQL = f"""select n.model, n.sharpe, g.sharpe as sharpe_before_costs, n.ann_
 
 @query("evaluate_models", EVAL_COLS, with_(EVAL, EVAL_SQL))
 def _(t):
-    return rp.evaluate_models(signal(t), scored_bars(t, H), BOOK, H, t.names_bound)
+    return rp.evaluate_models(signal(t), kept_scores(t, H), BOOK, H, t.names_bound)
 
 
 BENCH = f"""select 'buy and hold' as model, sharpe, null as sharpe_before_costs, ann_return, ann_vol, max_drawdown, hit_rate,
@@ -277,7 +277,7 @@ BENCH = f"""select 'buy and hold' as model, sharpe, null as sharpe_before_costs,
     EVAL, f"""select s.*, s.model = (select max_by(model, sharpe) from ({EVAL_SQL}) e_) as best
     from ({EVAL_SQL} union all {BENCH}) s"""))
 def _(t):
-    s, r = signal(t), scored_bars(t, H)
+    s, r = signal(t), kept_scores(t, H)
     return rp.summary_table(s, r, BOOK, H, t.names_bound)
 
 
@@ -288,4 +288,4 @@ def _(t):
     when s.sharpe > b.sharpe then 'good' else 'signal' end as label
   from ({EVAL_SQL}) s, ({BENCH}) b"""))
 def _(t):
-    return rp.verdict(rp.summary_table(signal(t), scored_bars(t, H), BOOK, H, t.names_bound))
+    return rp.verdict(rp.summary_table(signal(t), kept_scores(t, H), BOOK, H, t.names_bound))

@@ -1 +1,635 @@
-"""Pending."""
+"""Source, cleaning, join, set and clock queries."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from barloom.config import DataConfig, FeatureConfig
+from barloom.functions import currency as cur, dates as dt, ladder
+from barloom.functions.frames import at
+from barloom.operators import features as ft, panel as pn, quotes as qt, runs as rn
+from barloom.plans.catalog_books import SIG
+from barloom.plans.catalog_features import FWD, H, LABELS
+from barloom.plans.registry import query
+from barloom.plans.sqlparts import BARS, GRID, PANEL, pct, with_
+from barloom.session import scratch_path
+from barloom.sources import files as fl, store as st
+from barloom.sources.signals import scored_bars
+
+BAR = "date:d ticker:s open:f high:f low:f close:f volume:f"
+UNI = DataConfig(min_price=500.0, min_dollar_volume=80_000.0, min_history=60, max_tickers=20)
+
+
+def _landed(t, adjusted: bool) -> str:
+    """The weekly bars as delimited files, one folder per ticker."""
+    path = scratch_path(t.spark, "landed")
+    b = t.weekly_bars()
+    cols = [F.col("date").cast("string").alias("Date"), *[F.col(c).alias(c.capitalize()) for c in ("open", "high", "low", "close")]]
+    cols += [(F.col("close") * 0.5).alias("Adj Close"), F.col("volume").alias("Volume")] if adjusted else [
+        F.col("volume").alias("Volume"), F.lit(0.0).alias("OpenInt")]
+    b.select("ticker", *cols).repartition("ticker").write.partitionBy("ticker").option("header", True).csv(path)
+    return path
+
+
+@query("scan_ticker_files", BAR, with_(PANEL, "select * from panel"))
+def _(t):
+    return fl.scan_ticker_files(t.spark, _landed(t, False), "*.csv", fl.FROM_FOLDER)
+
+
+@query("scan_adjusted_files", BAR, with_(PANEL, """select date, ticker, open * 0.5 as open, high * 0.5 as high, low * 0.5 as low,
+  close * 0.5 as close, volume from panel"""))
+def _(t):
+    return fl.scan_adjusted_files(t.spark, _landed(t, True), "*.csv", fl.FROM_FOLDER)
+
+
+@query("layout_select", BAR, with_(PANEL, """select date, ticker, open * 0.5 as open, high * 0.5 as high, low * 0.5 as low,
+  close * 0.5 as close, volume from panel"""))
+def _(t):
+    return fl.layout_select(t.spark, _landed(t, True), None, fl.FROM_FOLDER)
+
+
+@query("provider_registry", "ticker:s bars:i", with_(PANEL, "select ticker, count(*) as bars from panel group by ticker"))
+def _(t):
+    d = fl.provider("plain")(t.spark, _landed(t, False), "*.csv", fl.FROM_FOLDER)
+    return d.groupBy("ticker").agg(F.count("close").alias("bars"))
+
+
+# a feed of single trades as text, with broken and repeated rows
+FEED_SQL = """feed as (
+  select case when l_tax = 0.0 and l_discount = 0.05 then 'not a date' else cast(date_trunc('week', l_shipdate) as varchar) end as date,
+    concat('s', l_suppkey) as ticker, case when l_discount = 0.0 then '0' when l_discount = 0.01 then 'bad' else cast(l_extendedprice / l_quantity as varchar) end as px,
+    cast(l_quantity as varchar) as q, row_number() over (order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount) as ord
+  from lineitem),
+typed as (select try_cast(date as date) as date, upper(ticker) as ticker, try_cast(px as double) as px, try_cast(q as double) as volume, ord from feed),
+good as (select * from typed where date is not null and px > 0 and volume is not null),
+lastrow as (select *, row_number() over (partition by date, ticker order by ord desc) as rn from good),
+clean as (select date, ticker, px as open, px as high, px as low, px as close, volume from lastrow where rn = 1)"""
+
+
+def feed(t):
+    li = t.table("lineitem")
+    px = (F.when(F.col("l_discount") == 0.0, "0").when(F.col("l_discount") == 0.01, "bad")
+          .otherwise((F.col("l_extendedprice") / F.col("l_quantity")).cast("string")))
+    from barloom.sources.tables import LINE_ORDER, week_of
+    day = F.when((F.col("l_tax") == 0.0) & (F.col("l_discount") == 0.05), "not a date").otherwise(
+        week_of(F.col("l_shipdate").cast("date")).cast("string"))
+    return li.select(day.alias("date"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("ticker"),
+                     *[px.alias(c) for c in ("open", "high", "low", "close")],
+                     F.col("l_quantity").cast("string").alias("volume"), F.struct(*LINE_ORDER).alias("ord"))
+
+
+@query("clean_live", BAR, with_(FEED_SQL, "select * from clean"))
+def _(t):
+    return pn.clean_live(feed(t))
+
+
+CLEAN = DataConfig(start="1996-01-01", end="2000-12-31", min_history=60)
+
+
+@query("clean_bars", BAR, with_(FEED_SQL, """, k as (select *, count(*) over (partition by ticker) as n from good
+    where date between '1996-01-01' and '2000-12-31')
+  select date, ticker, px as open, px as high, px as low, px as close, volume from k where n >= 60"""))
+def _(t):
+    return pn.clean_bars(feed(t).withColumn("ticker", F.upper("ticker")), CLEAN)
+
+
+LIQ = "liq as (select ticker, median(close * volume) as liquidity from panel group by ticker)"
+
+
+@query("load_panel", BAR, with_(PANEL + ", " + LIQ, """select p.* from panel p join
+  (select ticker from (select l.ticker, liquidity from liq l join (select ticker from panel group by ticker having count(*) >= 60) h on h.ticker = l.ticker)
+   order by liquidity desc, ticker limit 20) x on x.ticker = p.ticker"""))
+def _(t):
+    return pn.load_panel(t.weekly_bars(), UNI)
+
+
+@query("liquidity_rank", "ticker:s liquidity:f", with_(PANEL + ", " + LIQ, "select * from liq"))
+def _(t):
+    return pn.liquidity(t.weekly_bars())
+
+
+@query("topk_liquidity", "ticker:s liquidity:f", with_(PANEL + ", " + LIQ, "select * from liq order by liquidity desc, ticker limit 20"))
+def _(t):
+    return pn.top_liquid(t.weekly_bars(), 20)
+
+
+@query("semi_top_universe", BAR, with_(PANEL + ", " + LIQ, """select * from panel where ticker in
+  (select ticker from liq order by liquidity desc, ticker limit 20)"""))
+def _(t):
+    return pn.top_universe(t.weekly_bars(), 20)
+
+
+EV = """ev as (select event_type as ticker, cast(ts as date) as date, ts, event_id, value as px, 1.0 as size from events where value > 0),
+eday as (select ticker, date, arg_min(px, (ts, event_id)) as open, max(px) as high, min(px) as low, arg_max(px, (ts, event_id)) as close,
+  sum(size) as volume from ev group by ticker, date)"""
+TYPES = ["click", "error", "purchase", "signup", "view"]      # fixed values of the events table
+
+
+def event_days(t):
+    return qt.tick_bars(t.ticks(), 1440).withColumn("date", F.col("bar").cast("date")).drop("bar")
+
+
+@query("wide_to_long", BAR, with_(EV, "select * from eday"))
+def _(t):
+    wide = event_days(t).groupBy("date").pivot("ticker", TYPES).agg(
+        *[F.first(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    names = {f"{k}_{c}": f"{c.capitalize()}|{k}" for k in TYPES for c in ("open", "high", "low", "close", "volume")}
+    return fl.wide_to_long(wide.withColumnsRenamed(names), TYPES)
+
+
+@query("long_to_wide", "date:d " + " ".join(f"{k}:f" for k in TYPES), with_(EV, "select date, " + ", ".join(
+    f"max(case when ticker = '{k}' then close end) as {k}" for k in TYPES) + " from eday group by date"))
+def _(t):
+    return pn.long_to_wide(event_days(t), "close", TYPES)
+
+
+@query("json_bars", BAR, with_(PANEL, "select * from panel"))
+def _(t):
+    rec = F.struct(F.concat(F.col("date").cast("string"), F.lit("T00:00:00.000Z")).alias("date"),
+                   *[F.col(c).alias(f"adj{c.capitalize()}") for c in ("open", "high", "low", "close", "volume")])
+    lines = t.weekly_bars().groupBy("ticker", F.year("date").alias("y")).agg(F.to_json(F.collect_list(rec)).alias("payload"))
+    path = scratch_path(t.spark, "json")
+    lines.select("ticker", "payload").write.json(path)
+    return fl.json_bars(t.spark.read.schema("ticker string, payload string").json(path))
+
+
+# a listing of symbols cut from part names, and a second one from suppliers
+SYM_SQL = """sym1 as (select concat(case when p_size > 45 then ' ' else '' end, substr(p_name, 1, 2), substr(p_brand, 7),
+    case p_type when 'PROMO' then '.W' when 'SMALL' then '-' when 'LARGE' then 'XW' when 'MEDIUM' then '$' else '' end) as symbol,
+  case when p_size = 1 then 'Y' else 'N' end as test_issue, case when p_size = 2 then 'y' else 'N' end as etf,
+  case p_size when 3 then 'D' when 4 then 'E' when 5 then 'q' else 'N' end as financial_status from part
+  union all select 'File Creation Time: 1', null, null, null),
+sym2 as (select concat('S', s_suppkey) as symbol, case when s_acctbal < 0 then 'Y' else 'N' end as test_issue, 'N' as etf, null as financial_status from supplier),
+symall as (select trim(symbol) as symbol, test_issue, etf, financial_status from (select * from sym1 union all select * from sym2)),
+common as (select distinct upper(symbol) as symbol from symall where lower(symbol) not like '%file creation%'
+  and upper(coalesce(test_issue, '')) <> 'Y' and upper(coalesce(etf, '')) <> 'Y' and upper(coalesce(financial_status, '')) not in ('D', 'E', 'Q')
+  and regexp_full_match(replace(replace(symbol, '.', ''), '-', ''), '[A-Za-z0-9]+') and length(symbol) <= 5
+  and symbol not like '%$%' and symbol not like '%.%' and not (length(symbol) = 5 and substr(symbol, 5, 1) in ('W', 'R', 'U', 'P')))"""
+
+
+def listings(t):
+    p = t.table("part")
+    tail = (F.when(F.col("p_type") == "PROMO", ".W").when(F.col("p_type") == "SMALL", "-").when(F.col("p_type") == "LARGE", "XW")
+            .when(F.col("p_type") == "MEDIUM", "$").otherwise(""))
+    size = F.col("p_size")
+    one = p.select(F.concat(F.when(size > 45, " ").otherwise(""), F.substring("p_name", 1, 2), F.expr("substring(p_brand, 7)"), tail).alias("symbol"),
+                   F.when(size == 1, "Y").otherwise("N").alias("test_issue"), F.when(size == 2, "y").otherwise("N").alias("etf"),
+                   F.when(size == 3, "D").when(size == 4, "E").when(size == 5, "q").otherwise("N").alias("financial_status"))
+    trailer = t.spark.range(1).select(F.lit("File Creation Time: 1").alias("symbol"), *[
+        F.lit(None).cast("string").alias(c) for c in ("test_issue", "etf", "financial_status")])
+    two = t.table("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"),
+                                     F.when(F.col("s_acctbal") < 0, "Y").otherwise("N").alias("test_issue"),
+                                     F.lit("N").alias("etf"), F.lit(None).cast("string").alias("financial_status"))
+    return one.unionByName(trailer), two
+
+
+@query("symbol_directory", "symbol:s", with_(SYM_SQL, "select symbol from common"))
+def _(t):
+    return fl.symbol_directory(*listings(t))
+
+
+@query("constituent_symbols", "symbol:s", with_(SYM_SQL, "select distinct replace(upper(trim(symbol)), '.', '-') as symbol from sym1"))
+def _(t):
+    return fl.constituent_symbols(listings(t)[0])
+
+
+@query("universe_resolve", "ticker:s src:i pos:i", """with pre as (
+  select c_mktsegment as universe, c_custkey as pos, concat('n', c_nationkey, '.', substr(c_mktsegment, 1, 1)) as ticker from customer),
+  al as (select upper(ticker) as ticker, 0 as src, pos from pre where universe = 'BUILDING'
+    union all select * from (values ('N3.B', 1, 0), ('ZZ', 1, 1), ('QQ', 1, 2), ('ZZ', 1, 3)) v(ticker, src, pos))
+  select ticker, min((src, pos))[1] as src, min((src, pos))[2] as pos from al group by ticker""".replace(
+    "min((src, pos))[1]", "cast(floor(min(src * 1e12 + pos) / 1e12) as bigint)").replace(
+    "min((src, pos))[2]", "cast(min(src * 1e12 + pos) - 1e12 * floor(min(src * 1e12 + pos) / 1e12) as bigint)"))
+def _(t):
+    pre = t.table("customer").select(
+        F.col("c_mktsegment").alias("universe"), F.col("c_custkey").alias("pos"),
+        F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("."), F.substring("c_mktsegment", 1, 1)).alias("ticker"))
+    return fl.universe_resolve(pre, "BUILDING", "n3.b, zz qq,zz", "BUILDING")
+
+
+@query("panel_snapshot", BAR, with_(PANEL, "select * from panel"))
+def _(t):
+    root, key = scratch_path(t.spark, "snap"), st.snapshot_id("weekly", ["all"], "1995-01-01", None)
+    st.panel_snapshot(t.spark, root, key, "2024-01-01 08:00:00", 12.0, t.weekly_bars)
+    return st.panel_snapshot(t.spark, root, key, "2024-01-01 12:00:00", 12.0, t.weekly_bars)
+
+
+@query("run_artifacts", "run:s model:s rows_:i score_sum:f", with_(SIG, """select 'base' as run, model, count(*) as rows_, sum(score) as score_sum
+  from sig where score is not null group by model"""))
+def _(t):
+    from barloom.config import RunConfig
+    from barloom.sources.signals import long_scores
+    root = scratch_path(t.spark, "runs")
+    preds = long_scores(scored_bars(t, H)).filter("score is not null").select("date", "ticker", "model", "score")
+    st.save_run(root, "base", {"predictions": preds}, {"models": preds.groupBy("model").count()}, RunConfig().to_json())
+    back = t.spark.read.parquet(f"{root}/predictions")
+    return back.groupBy("run", "model").agg(F.count(F.lit(1)).alias("rows_"), F.sum("score").alias("score_sum"))
+
+
+# ---- runs: one per region (horizon 5) and one per nation (horizon 1) ------------------------------
+RUNS = PANEL + """,
+own as (select concat('S', s_suppkey) as ticker, n_name, n_nationkey, r_name, r_regionkey from supplier
+        join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey),
+runs as (select r_name as run, 5 as horizon, date '2001-12-01' + r_regionkey as created, p.date, p.ticker, p.close from panel p join own on own.ticker = p.ticker
+  union all select n_name, 1, date '2001-10-01' + n_nationkey, p.date, p.ticker, p.close from panel p join own on own.ticker = p.ticker),
+uni as (select run, horizon, count(distinct ticker) as universe, max(date) as as_of, max(created) as created from runs group by run, horizon)"""
+
+
+def run_rows(t):
+    own = (t.table("supplier").join(t.table("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+           .join(t.table("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+           .select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), F.array(
+               F.struct(F.col("r_name").alias("run"), F.lit(5).alias("horizon"),
+                        F.date_add(F.lit("2001-12-01").cast("date"), F.col("r_regionkey")).alias("created")),
+               F.struct(F.col("n_name").alias("run"), F.lit(1).alias("horizon"),
+                        F.date_add(F.lit("2001-10-01").cast("date"), F.col("n_nationkey")).alias("created"))).alias("_r")))
+    return (t.weekly_bars().select("date", "ticker", "close").join(own, "ticker")
+            .withColumn("_r", F.explode("_r")).select("date", "ticker", "close", "_r.*"))
+
+
+@query("run_universe_index", "run:s horizon:i universe:i as_of:d created:d", with_(RUNS, "select * from uni"))
+def _(t):
+    return rn.run_universe(run_rows(t))
+
+
+@query("runs_catalog", "run:s horizon:i universe:i created:d place:i", with_(
+    RUNS, "select *, row_number() over (order by created desc, run desc) as place from uni"))
+def _(t):
+    return rn.runs_catalog(run_rows(t))
+
+
+WANT = "wanted as (select distinct ticker from runs where run in ('NATION_1', 'NATION_6', 'NATION_2')),"
+
+
+@query("coverage_select", "run:s covered:i", with_(RUNS + ", " + WANT.rstrip(","), """select run, count(distinct ticker) as covered from runs
+  where ticker in (select ticker from wanted) group by run order by covered desc, run limit 1"""))
+def _(t):
+    rows = t.keep("runs", lambda: run_rows(t))
+    return rn.coverage_select(rows, rows.filter(F.col("run").isin("NATION_1", "NATION_6", "NATION_2")))
+
+
+@query("superset_run", "run:s horizon:i universe:i as_of:d", with_(RUNS, """, held as (select distinct ticker from runs where run = 'NATION_1'),
+  hit as (select run, count(distinct ticker) as n from runs where horizon = 5 and ticker in (select ticker from held) group by run)
+  select u.* from uni u join hit on hit.run = u.run where hit.n = (select count(*) from held) order by created desc, u.run desc limit 1"""))
+def _(t):
+    rows = t.keep("runs", lambda: run_rows(t))
+    return rn.superset_run(rows, rows.filter("run = 'NATION_1'"), 5)
+
+
+@query("set_subset", "run:s subset:b", with_(RUNS, """, held as (select distinct ticker from runs where run = 'NATION_1')
+  select run, count(distinct case when ticker in (select ticker from held) then ticker end) = (select count(*) from held) as subset from runs group by run"""))
+def _(t):
+    rows = t.keep("runs", lambda: run_rows(t))
+    held = rows.filter("run = 'NATION_1'").select("ticker").distinct()
+    need = held.groupBy().agg(F.count(F.lit(1)).alias("need"))
+    hit = rn.run_tickers(rows).join(held.withColumn("h", F.lit(1)), "ticker", "left").groupBy("run").agg(F.count("h").alias("has"))
+    return hit.join(F.broadcast(need), F.lit(True)).select("run", (F.col("has") == F.col("need")).alias("subset"))
+
+
+RK = f", rk as (select run, date, ticker, created, 100 * ({pct('run, date', 'close')}) as rank from runs)"
+
+
+@query("latest_covering_run", "ticker:s run:s rank:f as_of:d", with_(RUNS + RK, """, top5 as (select * from uni order by created desc, run desc limit 5),
+  j as (select rk.ticker, rk.run, rk.rank, t.as_of, row_number() over (partition by ticker order by t.created desc, rk.run desc) as i
+    from rk join top5 t on t.run = rk.run and rk.date = t.as_of) select * from j where i = 1"""))
+def _(t):
+    rows = t.keep("runs", lambda: run_rows(t))
+    ranks = ladder.percent_rank(rows, ["run", "date"], "close", "rank", t.names_bound).withColumn("rank", F.col("rank") * 100)
+    return rn.latest_covering_run(ranks.select("run", "date", "ticker", "rank"), rn.run_universe(rows))
+
+
+@query("find_runs", "run:s universe:i as_of:d", with_(RUNS, """, r25 as (select * from uni order by created desc, run desc limit 25)
+  select * from (select * from r25 where run in (select run from runs where ticker = 'S7') order by created desc, run desc limit 5) x_"""))
+def _(t):
+    return rn.find_runs(t.keep("runs", lambda: run_rows(t)), "s7")
+
+
+@query("search_runs", "ticker:s run:s universe:i as_of:d", with_(RUNS, """, r25 as (select * from (select * from uni order by created desc, run desc limit 25) where run <> 'REGION_9'),
+  b as (select r.ticker, u.run, u.universe, u.as_of, row_number() over (partition by r.ticker order by u.universe desc, u.created desc, u.run desc) as i
+    from (select distinct run, ticker from runs where contains(ticker, '1')) r join r25 u on u.run = r.run)
+  select * from b where i = 1 order by length(ticker), ticker limit 12"""))
+def _(t):
+    return rn.search_runs(t.keep("runs", lambda: run_rows(t)), "1", "REGION_9")
+
+
+# ---- sets ----------------------------------------------------------------------------------------
+TWO = """a as (select concat('S', l_suppkey) as ticker from lineitem where l_returnflag = 'R' and l_discount = 0.1 and l_tax = 0.08 and l_quantity >= 30),
+b as (select concat('S', l_suppkey) as ticker from lineitem where l_returnflag = 'A' and l_discount = 0.0 and l_tax = 0.0 and l_quantity >= 30)"""
+
+
+def two_sets(t):
+    li = t.table("lineitem").filter("l_quantity >= 30")
+    s = F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker")
+    return (li.filter("l_returnflag = 'R' and l_discount = 0.1D and l_tax = 0.08D").select(s),
+            li.filter("l_returnflag = 'A' and l_discount = 0.0D and l_tax = 0.0D").select(s))
+
+
+@query("set_union_all", "ticker:s n:i", with_(TWO, "select ticker, count(*) as n from (select * from a union all select * from b) group by ticker"))
+def _(t):
+    a, b = two_sets(t)
+    return a.unionByName(b).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("set_union_distinct", "ticker:s", with_(TWO, "select * from a union select * from b"))
+def _(t):
+    a, b = two_sets(t)
+    return a.union(b).distinct()
+
+
+@query("set_intersect", "ticker:s", with_(TWO, "select * from a intersect select * from b"))
+def _(t):
+    a, b = two_sets(t)
+    return a.intersect(b)
+
+
+@query("set_except", "ticker:s", with_(TWO, "select * from a except select * from b"))
+def _(t):
+    a, b = two_sets(t)
+    return a.subtract(b)
+
+
+@query("anti_missing", "ticker:s", """select concat('S', s_suppkey) as ticker from supplier where not exists
+  (select 1 from lineitem where l_suppkey = s_suppkey and l_quantity = 50 and l_discount = 0.1 and l_returnflag = 'R')""")
+def _(t):
+    got = t.table("lineitem").filter("l_quantity = 50 and l_discount = 0.1D and l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey"))
+    d = t.table("supplier").join(got, "s_suppkey", "left_anti")
+    return d.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"))
+
+
+# ---- grid, universe, coverage ----------------------------------------------------------------------
+UNIV = PANEL + f""",
+uw as (select *, lag(close) over w as pc, close * volume as dv, row_number() over w - 1 as bar from panel window w as (partition by ticker order by date)),
+ux as (select *, case when count(dv) over w >= 10 then quantile_cont(dv, 0.5) over w end as mdv from uw
+  window w as (partition by ticker order by date rows between 21 preceding and 1 preceding)),
+univ as (select date, ticker, open, high, low, close, volume,
+  coalesce(pc >= {UNI.min_price} and mdv >= {UNI.min_dollar_volume} and bar >= {UNI.min_history}, false) as tradable from ux)"""
+
+
+@query("universe_filter", "date:d ticker:s tradable:b", with_(UNIV, "select * from univ"))
+def _(t):
+    return pn.universe_filter(t.weekly_bars(), UNI)
+
+
+@query("udaf_rolling_median", "date:d ticker:s med:f", with_(UNIV, "select date, ticker, mdv as med from ux where mdv is not null"))
+def _(t):
+    from pyspark.sql import Window
+    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(-21, -1)
+    d = t.weekly_bars().withColumn("dv", F.col("close") * F.col("volume"))
+    return d.withColumn("med", F.when(F.count("dv").over(w) >= 10, F.percentile("dv", F.lit(0.5)).over(w))).filter("med is not null")
+
+
+@query("densify_grid", "date:d ticker:s close:f tradable:b", with_(UNIV, """select c.date, t.ticker, u.close, coalesce(u.tradable, false) as tradable
+  from (select distinct date from panel) c cross join (select distinct ticker from panel) t left join univ u on u.date = c.date and u.ticker = t.ticker"""))
+def _(t):
+    return pn.dense_grid(pn.universe_filter(t.weekly_bars(), UNI))
+
+
+@query("session_calendar", "date:d sid:i n_sessions:i", with_(BARS, "select * from cal"))
+def _(t):
+    return pn.calendar(t.weekly_bars())
+
+
+MOMS = [f"ret_{n}d" for n in FeatureConfig().momentum_windows]
+COVER = UNIV + GRID[len(PANEL):] + ", mm as (select date, ticker, " + ", ".join(
+    f"close / lag(close, {n}) over (partition by ticker order by sid) - 1 as ret_{n}d" for n in FeatureConfig().momentum_windows) + """ from grid),
+cov as (select mm.*, (""" + " + ".join(f"case when {c} is not null then 1.0 else 0.0 end" for c in MOMS) + f""") / {len(MOMS)} as share
+  from mm join univ u on u.date = mm.date and u.ticker = mm.ticker where u.tradable)"""
+
+
+@query("feature_coverage_filter", "date:d ticker:s share:f", with_(COVER, "select date, ticker, share from cov where share >= 0.5"))
+def _(t):
+    from barloom.plans.datasets import coverage_filter
+    d = ft.momentum(ft.grid(t.weekly_bars(), FeatureConfig()), FeatureConfig()).select("date", "ticker", *MOMS)
+    u = pn.universe_filter(t.weekly_bars(), UNI).filter("tradable").select("date", "ticker")
+    return coverage_filter(d.join(u, ["date", "ticker"]), MOMS, 0.5)
+
+
+@query("feature_columns", "feature:s n:i", with_(COVER, " union all ".join(
+    f"select '{c}' as feature, count({c}) as n from cov where share >= 0.5" for c in MOMS)))
+def _(t):
+    from barloom.plans.datasets import coverage_filter, feature_list
+    d = ft.momentum(ft.grid(t.weekly_bars(), FeatureConfig()), FeatureConfig()).select("date", "ticker", "close", *MOMS)
+    u = pn.universe_filter(t.weekly_bars(), UNI).filter("tradable").select("date", "ticker")
+    d = coverage_filter(d.join(u, ["date", "ticker"]), MOMS, 0.5).drop("share")
+    cols = feature_list(d)
+    n = d.agg(*[F.count(c).alias(c) for c in cols])
+    return n.unpivot([], cols, "feature", "n")
+
+
+@query("join_features_labels", "date:d ticker:s ret_21d:f fwd_ret:f target:f close:f tradable:b", with_(
+    UNIV + LABELS[len(PANEL):], """, f as (select date, ticker, close / lag(close, 21) over (partition by ticker order by sid) - 1 as ret_21d from grid)
+  select f.date, f.ticker, f.ret_21d, l.fwd_ret, l.target, u.close, u.tradable from f join labels_w l on l.date = f.date and l.ticker = f.ticker
+  left join univ u on u.date = f.date and u.ticker = f.ticker"""))
+def _(t):
+    from barloom.config import LabelConfig
+    from barloom.operators.labels import build_labels
+    from barloom.plans.datasets import join_features_labels
+    f = ft.grid(t.weekly_bars(), FeatureConfig()).select("date", "ticker", ft.change(21).alias("ret_21d"))
+    return join_features_labels(f, build_labels(t.weekly_bars(), LabelConfig(horizon=H), t.names_bound),
+                                pn.universe_filter(t.weekly_bars(), UNI))
+
+
+@query("join_preds_panel", "date:d ticker:s mom:f close:f ret_next_1d:f", with_(FWD, """, p as (select date, ticker,
+    close / lag(close, 21) over (partition by ticker order by sid) - 1 as mom from grid)
+  select p.date, p.ticker, p.mom, f.close, f.ret_next_1d from p left join fwd f on f.date = p.date and f.ticker = p.ticker where p.mom is not null"""))
+def _(t):
+    d = scored_bars(t, H)
+    return d.filter("mom is not null").select("date", "ticker", "mom").join(d.select("date", "ticker", "close", "ret_next_1d"), ["date", "ticker"], "left")
+
+
+@query("align_reindex", "date:d ticker:s mom:f fwd_ret:f", with_(SIG, """select a.date, a.ticker, a.mom, b.fwd_ret from sc a
+  left join (select * from sc where fwd_ret is not null and volume > 60) b on b.date = a.date and b.ticker = a.ticker where a.mom is not null"""))
+def _(t):
+    d = scored_bars(t, H)
+    return (d.filter("mom is not null").select("date", "ticker", "mom")
+            .join(d.filter("fwd_ret is not null and volume > 60").select("date", "ticker", "fwd_ret"), ["date", "ticker"], "left"))
+
+
+@query("shift_join", "date:d ticker:s back5:f ahead3:f", with_(GRID, """select date, ticker, b5 as back5, a3 as ahead3 from (
+  select *, lag(close, 5) over w as b5, lead(close, 3) over w as a3 from grid window w as (partition by ticker order by sid)) x_ where close is not null"""))
+def _(t):
+    d = pn.with_sessions(t.weekly_bars())
+    return d.withColumns({"back5": at("close", -5), "ahead3": at("close", 3)})
+
+
+@query("asof_benchmark", "o_orderkey:i o_orderdate:d level_asof:f", with_(PANEL, """, lv as (select date, avg(close) as level from panel group by date)
+  select o_orderkey, cast(o_orderdate as date) as o_orderdate, level as level_asof from orders asof left join lv on cast(o_orderdate as date) >= lv.date"""))
+def _(t):
+    level = t.weekly_bars().groupBy("date").agg(F.avg("close").alias("level"))
+    keys = t.table("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    return rn.asof(keys, level, "o_orderdate", "level")
+
+
+@query("distinct_counts", "tickers:i dates:i rows_:i", with_(PANEL, "select count(distinct ticker) as tickers, count(distinct date) as dates, count(*) as rows_ from panel"))
+def _(t):
+    b = t.weekly_bars()
+    per = b.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).groupBy().agg(F.count(F.lit(1)).alias("tickers"), F.sum("n").alias("rows_"))
+    days = b.select("date").distinct().groupBy().agg(F.count(F.lit(1)).alias("dates"))
+    return per.join(F.broadcast(days), F.lit(True))
+
+
+@query("freshness_summary", "last_date:d first_date:d tickers:i rows_:i stale_tickers:i median_dv:f", with_(PANEL, """, pt as (select ticker, max(date) as l from panel group by ticker)
+  select max(date) as last_date, min(date) as first_date, count(distinct ticker) as tickers, count(*) as rows_,
+    (select count(*) from pt where l < (select max(date) from panel)) as stale_tickers, median(close * volume) as median_dv from panel"""))
+def _(t):
+    b = t.weekly_bars()
+    return qt.freshness(b, ladder.exact_quantile(qt.liquidity_value(b), [], "dv", 0.5, "median_dv"))
+
+
+# ---- currencies, quotes, clocks ----------------------------------------------------------------------
+def _case(values: dict[str, str], key: str) -> str:
+    return f"case {key} " + " ".join(f"when '{k}' then '{v}'" for k, v in values.items())
+
+
+SUFFIX = ["", ".L", ".PA", ".T", ".to", ".HK", ".XX", ".SW", ".AX", ".ST", ".NS", ".B.SA"]
+SUFS = "[" + ", ".join(f"'{s}'" for s in SUFFIX) + "]"
+CCY = f"""ct as (select c_custkey, concat('C', c_custkey, ({SUFS})[1 + c_nationkey % {len(SUFFIX)}]) as ticker from customer),
+cc as (select *, case when contains(ticker, '.') then coalesce({_case(cur.CURRENCY, "upper(split_part(ticker, '.', -1))")} end, 'USD') else 'USD' end as currency from ct)"""
+
+
+def suffixed(t):
+    pick = F.element_at(F.array(*[F.lit(s) for s in SUFFIX]), (F.col("c_nationkey") % len(SUFFIX)).cast("int") + 1)
+    return t.table("customer").select("c_custkey", F.concat(F.lit("C"), F.col("c_custkey").cast("string"), pick).alias("ticker"))
+
+
+@query("currency_of", "ticker:s currency:s mark:s", with_(CCY, f"select *, coalesce({_case(cur.MARK, 'currency')} end, '') as mark from cc"))
+def _(t):
+    c = cur.currency_of(F.col("ticker"))
+    return suffixed(t).select("ticker", c.alias("currency"), cur.mark_of(c).alias("mark"))
+
+
+PAIRS = ["GBP", "EUR", "JPY", "CAD", "CHF", "SEK"]
+FXSQL = PANEL + f""", nat as (select concat('S', s_suppkey) as ticker, s_nationkey from supplier),
+fx as (select (['{"', '".join(PAIRS)}'])[1 + s_nationkey % {len(PAIRS)}] as currency, date, avg(case when volume > 20 then close end) / 1000 as rate
+  from panel join nat on nat.ticker = panel.ticker group by 1, 2),
+rt0 as (select currency, arg_max(rate, date) as rate from fx where rate is not null group by currency),
+rt as (select * from rt0 union all select 'GBp', rate / 100 from rt0 where currency = 'GBP')"""
+
+
+@query("usd_rate_attach", "ticker:s currency:s usd_rate:f", with_(FXSQL + ", " + CCY, """select cc.ticker, cc.currency,
+  case when cc.currency = 'USD' then 1.0 else coalesce(rt.rate, 1.0) end as usd_rate from cc left join rt on rt.currency = cc.currency"""))
+def _(t):
+    nat = t.table("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), "s_nationkey")
+    code = F.element_at(F.array(*[F.lit(p) for p in PAIRS]), (F.col("s_nationkey") % len(PAIRS)).cast("int") + 1)
+    fx = t.weekly_bars().join(nat, "ticker").groupBy(code.alias("currency"), "date").agg(
+        (F.avg(F.when(F.col("volume") > 20, F.col("close"))) / 1000).alias("rate"))
+    return cur.attach_usd_rate(suffixed(t), cur.usd_rates(fx))
+
+
+QUOTES = """, qr as (select ticker, close, row_number() over (partition by ticker order by date desc) as i from panel where close is not null),
+quotes as (select ticker, max(case when i = 1 then close end) as price, max(case when i = 2 then close end) as prev_close from qr group by ticker having count(*) >= 2)"""
+
+
+@query("quote_change", "ticker:s price:f prev_close:f change:f change_pct:f", with_(PANEL + QUOTES, """select *, price - prev_close as change,
+  (price / prev_close - 1) * 100 as change_pct from quotes where prev_close <> 0"""))
+def _(t):
+    return qt.quote_change(t.weekly_bars())
+
+
+ET = "(ts at time zone 'UTC' at time zone 'America/New_York')"
+ETS = f"""et as (select event_id, ts, user_id, value, {ET} as et, extract(hour from {ET}) * 60 + extract(minute from {ET}) as m,
+  extract(isodow from {ET}) - 1 as wd from events)"""
+
+
+@query("market_session", "event_id:i exchange_time:t state:s", with_(ETS, """select event_id, et as exchange_time, case when wd < 5 and m >= 570 and m < 960 then 'open'
+  when wd < 5 and m >= 240 and m < 570 then 'pre-market' when wd < 5 and m >= 960 and m < 1200 then 'after-hours' else 'closed' end as state from et"""))
+def _(t):
+    e = t.table("events")
+    return e.select("event_id", dt.exchange_time(F.col("ts")).alias("exchange_time"), dt.market_session(F.col("ts")).alias("state"))
+
+
+@query("next_market_open", "event_id:i open_day:d minutes_away:i", with_(ETS, """, a as (select *, cast(et as date) + case when m >= 570 or wd >= 5 then 1 else 0 end as f from et),
+  b as (select *, f + case extract(isodow from f) when 6 then 2 when 7 then 1 else 0 end as od from a)
+  select event_id, od as open_day, cast(floor(date_diff('second', date_trunc('second', et), cast(od as timestamp) + interval 570 minute) / 60.0) as bigint) as minutes_away from b"""))
+def _(t):
+    day, away = dt.next_market_open(F.col("ts"))
+    return t.table("events").select("event_id", day.alias("open_day"), away.alias("minutes_away"))
+
+
+@query("sessions_after", "o_orderkey:i entry:d exit_:d", """with d as (select o_orderkey, cast(o_orderdate as date) as d0 from orders),
+  e as (select *, (list_filter(list_transform(range(1, 6), lambda i: d0 + cast(i as integer)), lambda x: isodow(x) < 6))[1] as entry from d)
+  select o_orderkey, entry, (list_filter(list_transform(range(1, 14), lambda i: entry + cast(i as integer)), lambda x: isodow(x) < 6))[5] as exit_ from e""")
+def _(t):
+    d = t.table("orders").select("o_orderkey", dt.sessions_after(F.col("o_orderdate").cast("date"), 1).alias("entry"))
+    return d.withColumn("exit_", dt.sessions_after(F.col("entry"), 5))
+
+
+@query("business_days_between", "l_orderkey:i l_linenumber:i n:i days:i", """with p as (select l_orderkey, l_linenumber, cast(o_orderdate as date) as a, cast(l_shipdate as date) as b
+    from lineitem join orders on o_orderkey = l_orderkey),
+  wd as (select cast(d as date) as d, sum(case when isodow(d) < 6 then 1 else 0 end) over (order by d) as k from generate_series(timestamp '1990-01-01', timestamp '2005-01-01', interval 1 day) g(d))
+  select l_orderkey, l_linenumber, count(*) as n, sum(y.k - x.k) as days from p join wd x on x.d = p.a join wd y on y.d = p.b group by l_orderkey, l_linenumber""")
+def _(t):
+    d = t.table("lineitem").join(t.table("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    n = dt.business_days_between(F.col("o_orderdate").cast("date"), F.col("l_shipdate").cast("date"))
+    return d.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("days"))
+
+
+@query("elapsed_trading_days", "event_id:i elapsed:f", with_(ETS, """, p as (select event_id, et as a, et + to_hours(cast(floor(value) as integer)) as b from et),
+  q as (select event_id, (select count(*) from range(1, 1 + date_diff('day', cast(a as date), cast(b as date))) r(i) where isodow(cast(a as date) + cast(i as integer)) < 6) as days,
+    least(greatest(extract(hour from a) * 60 + extract(minute from a), 570), 960) as ma, least(greatest(extract(hour from b) * 60 + extract(minute from b), 570), 960) as mb from p)
+  select event_id, days + (mb - ma) / 390.0 as elapsed from q"""))
+def _(t):
+    e = t.table("events").select("event_id", dt.exchange_time(F.col("ts")).alias("a"), "value")
+    b = F.col("a") + F.make_dt_interval(hours=F.floor("value").cast("int"))
+    return e.select("event_id", dt.elapsed_trading_days(F.col("a"), b).alias("elapsed"))
+
+
+def _range_sql(name: str) -> str:
+    minutes, days = qt.RANGES[name]
+    start = {1: "date_trunc('minute', ts)", 5: "time_bucket(interval 5 minute, ts)", 60: "date_trunc('hour', ts)",
+             1440: "date_trunc('day', ts)", 10080: "date_trunc('week', ts)"}[minutes]
+    cut = ("cast(bar as date) = cast(last as date)" if days == 0 else "true" if days is None else f"bar >= last - interval {days} day")
+    fmt = "%Y-%m-%d %H:%M" if minutes < 1440 else "%Y-%m-%d"
+    return f"""select ticker, '{name}' as range, strftime(bar, '{fmt}') as label, close, n as points, case when n > 1 then (b / a - 1) * 100 end as change_pct from (
+      select *, arg_min(close, bar) over (partition by ticker) as a, arg_max(close, bar) over (partition by ticker) as b, count(*) over (partition by ticker) as n from (
+        select *, max(bar) over (partition by ticker) as last from (select ticker, {start} as bar, arg_max(px, (ts, event_id)) as close from ev group by 1, 2) x_) y_ where {cut}) z_"""
+
+
+@query("range_slice", "ticker:s range:s label:s close:f points:i change_pct:f", with_(EV, " union all ".join(_range_sql(n) for n in qt.RANGES)))
+def _(t):
+    from functools import reduce
+    ticks = t.ticks()
+    return reduce(lambda a, b: a.unionByName(b), [qt.range_slice(ticks, n) for n in qt.RANGES])
+
+
+@query("intraday_returns", "ticker:s bar:t ret:f", with_(EV, """, b as (select ticker, time_bucket(interval 5 minute, ts) as bar, arg_max(px, (ts, event_id)) as close from ev group by 1, 2),
+  r as (select ticker, bar, ln(close / lag(close) over (partition by ticker order by bar)) as ret, count(*) over (partition by ticker) as n from b)
+  select ticker, bar, ret from (select *, quantile_cont(abs(ret), 0.995) over (partition by ticker) as cut from r where n >= 30) x_ where abs(ret) < cut"""))
+def _(t):
+    return qt.intraday_returns(qt.tick_bars(t.ticks(), 5))
+
+
+@query("dip_profile", "ticker:s sessions:i hit_rate:f median_minute:f from_minute:f to_minute:f", with_(EV, """, b as (select ticker, time_bucket(interval 5 minute, ts) as bar,
+    arg_min(px, (ts, event_id)) as open, min(px) as low from ev group by 1, 2),
+  c as (select *, cast(bar as date) as day, extract(hour from bar) * 60 + extract(minute from bar) as m,
+    first_value(open) over (partition by ticker, cast(bar as date) order by bar) as o, row_number() over (partition by ticker, cast(bar as date) order by bar) as i,
+    count(*) over (partition by ticker, cast(bar as date)) as n from b),
+  d as (select ticker, day, min(case when i > 1 and low <= o * (1 - 0.2) then m end) as at_ from c where n >= 20 group by ticker, day)
+  select ticker, count(*) as sessions, avg(case when at_ is not null then 1.0 else 0.0 end) as hit_rate, quantile_cont(at_, 0.5) as median_minute,
+    quantile_cont(at_, 0.25) as from_minute, quantile_cont(at_, 0.75) as to_minute from d group by ticker"""))
+def _(t):
+    b = qt.tick_bars(t.ticks(), 5).withColumns({"day": F.col("bar").cast("date"), "minute": F.hour("bar") * 60 + F.minute("bar")})
+    return qt.dip_profile(b, 0.2)
+
+
+@query("null_sanitize", "event_id:i x:f", "select event_id, case when event_type in ('error', 'view', 'click') then null else value end as x from events")
+def _(t):
+    v = (F.when(F.col("event_type") == "error", F.lit("NaN").cast("double")).when(F.col("event_type") == "view", F.lit("Infinity").cast("double"))
+         .when(F.col("event_type") == "click", F.lit("-Infinity").cast("double")).otherwise(F.col("value")))
+    return pn.null_sanitize(t.table("events").select("event_id", v.alias("x")))
+
+
+@query("thin_series", "ticker:s date:d close:f", with_(PANEL, """select ticker, date, close from (select *, row_number() over (partition by ticker order by date) - 1 as i,
+  greatest(1, count(*) over (partition by ticker) // 40) as k from panel) x_ where i % k = 0"""))
+def _(t):
+    return pn.thin(t.weekly_bars(), "date", 40, ["ticker"])
+
+
+@query("cross_grid", "yr:i enter:f exit_:f rows_:i", with_(PANEL, """, g as (select * from (values (90.0, 30.0), (90.0, 50.0), (80.0, 30.0), (80.0, 50.0)) v(enter, exit_)),
+  y as (select extract(year from date) as yr, count(*) as n from panel group by 1) select yr, enter, exit_, n as rows_ from y, g"""))
+def _(t):
+    from barloom.operators.rules import with_grid
+    y = t.weekly_bars().groupBy(F.year("date").alias("yr")).agg(F.count(F.lit(1)).alias("rows_"))
+    return with_grid(y, [dict(enter=e, exit_=x) for e in (90.0, 80.0) for x in (30.0, 50.0)])

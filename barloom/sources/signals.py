@@ -18,6 +18,11 @@ def scored_bars(t: Tables, horizon: int) -> DataFrame:
                           "rev": -(ratio(F.col("close"), at("close", -1)) - 1)})
 
 
+def kept_scores(t: Tables, horizon: int) -> DataFrame:
+    """`scored_bars` materialised, for plans that read it several times."""
+    return t.keep(f"scored-{horizon}", lambda: scored_bars(t, horizon))
+
+
 def long_scores(d: DataFrame, models: tuple[str, ...] = ("mom", "rev")) -> DataFrame:
     """One row per model, NULL scores kept."""
     keep = [c for c in d.columns if c not in models]

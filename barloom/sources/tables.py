@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from barloom.session import materialize
+
 LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
               "l_quantity", "l_discount")
 
@@ -23,7 +26,13 @@ class Tables:
     """Lazy readers over one scale folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder, self._kept = spark, folder.rstrip("/"), {}
+
+    def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table several branches of one query read: written once to the shared folder."""
+        if name not in self._kept:
+            self._kept[name] = materialize(make(), name)
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
