@@ -88,7 +88,8 @@ def sleeves(target: DataFrame, pos: DataFrame, holding: int, lag: int = 0) -> Da
                     (F.col("w") / F.least(F.lit(holding), F.col("pos") + F.col("j") + 1)).alias("part"))
     d = d.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(holding - 1))))
     d = d.select("model", "ticker", "n_dates", part.alias("_p")).select("model", "ticker", "n_dates", "_p.*")
-    held = (d.filter("pos < n_dates").groupBy("model", "ticker", "pos").agg(F.sum("part").alias("held")))
+    held = d.filter("pos < n_dates").groupBy("model", "ticker", "pos").agg(F.sum("part").alias("held"))
+    held = held.filter(F.abs("held") > 1e-12)      # opposite books that cancel leave rounding dust
     return held.join(F.broadcast(pos.select("pos", "date")), "pos")
 
 

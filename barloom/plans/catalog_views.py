@@ -1 +1,89 @@
-"""Pending."""
+"""Per-ticker view queries on the momentum model's book."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barloom.operators import books as bk, views as vw
+from barloom.plans.catalog_books import BOOK, BT, H
+from barloom.plans.registry import query
+from barloom.plans.sqlparts import with_
+from barloom.sources.signals import kept_scores, long_scores
+
+# the run is momentum alone, so its dates start at its first score
+MBT = BT.replace("union all select *, 'rev', rev from sc", "")
+VIEW = MBT + """,
+vw0 as (select t.date, t.ticker, s.close, t.score, case when s2.n >= 2 then t.pr * 100 end as rank, h.held as weight, h.held * coalesce(t.ret_next_1d, 0.0) as contribution
+  from tgt t join sc s on s.date = t.date and s.ticker = t.ticker join sig s2 on s2.date = t.date and s2.ticker = t.ticker and s2.model = t.model
+  join held h on h.date = t.date and h.ticker = t.ticker and h.model = t.model),
+vw as (select * from vw0 where close is not null or abs(weight) > 1e-12)"""
+
+
+def view(t):
+    def make():
+        bars = kept_scores(t, H)
+        s = long_scores(bars, ("mom",))
+        pos = bk.positions_of(s)
+        held = bk.sleeves(bk.target_book(s, BOOK, t.names_bound), pos, H, BOOK.lag)
+        s = s.join(F.broadcast(pos.select("date")), "date", "left_semi")
+        return vw.contributions(s, held, t.names_bound)
+    return t.keep("view", make)
+
+
+@query("stock_contributions", "date:d ticker:s rank:f weight:f contribution:f", with_(
+    VIEW, "select * from vw where rank is not null or abs(weight) > 1e-12"))
+def _(t):
+    return view(t).filter("rank is not null or abs(weight) > 1e-12")
+
+
+SUM = VIEW + """,
+ends as (select max(date) as l, min(date) as f from vw0),
+sm as (select ticker, max(case when date = l then rank end) as latest_rank, coalesce(max(case when date = l then weight end), 0) as latest_weight, avg(rank) as mean_rank,
+  sum(contribution) as contribution, count(score) as days, count(case when weight > 1e-12 then 1 end) as days_long, count(case when weight < -1e-12 then 1 end) as days_short,
+  count(case when contribution > 0 and abs(weight) > 1e-12 then 1 end) as wins, arg_max(close, date) as last_price, max(case when date = l then close end) / max(case when date = f then close end) - 1 as price_change
+  from vw0, ends group by ticker),
+smm as (select *, wins * 1.0 / nullif(days_long + days_short, 0) as hit_rate from sm)"""
+SUMC = "ticker:s latest_rank:f latest_weight:f mean_rank:f contribution:f days:i days_long:i days_short:i hit_rate:f last_price:f price_change:f"
+
+
+@query("stock_summary", SUMC, with_(SUM, "select * from smm"))
+def _(t):
+    return vw.stock_summary(view(t))
+
+
+@query("stock_search", "ticker:s position:s latest_rank:f latest_weight:f contribution:f total_matches:i", with_(SUM, """, m as (select *, count(*) over () as total_matches from smm where contains(upper(ticker), 'S') and abs(latest_weight) > 1e-12)
+  select *, case when latest_weight > 1e-12 then 'long' when latest_weight < -1e-12 then 'short' else 'flat' end as position from m order by contribution desc nulls last, ticker limit 12"""))
+def _(t):
+    return vw.stock_search(vw.stock_summary(view(t)), "s", "held", "contribution", 12)
+
+
+@query("stance_summary", "ticker:s mean_rank:f band:s stance:s", with_(SUM, """select ticker, mean_rank, case when mean_rank is null then 'mid-pack' when mean_rank >= 70 then 'near the top' when mean_rank >= 55 then 'upper half'
+  when mean_rank >= 45 then 'middle' when mean_rank >= 30 then 'lower half' else 'near the bottom' end as band,
+  case when days_long > days_short * 1.3 then 'mostly long' when days_short > days_long * 1.3 then 'mostly short' else 'mixed' end as stance from smm"""))
+def _(t):
+    return vw.stance_summary(vw.stock_summary(view(t)))
+
+
+@query("stock_detail", "date:d ticker:s rank:f weight:f cum_contribution:f", with_(VIEW, """select *, sum(contribution) over (partition by ticker order by date rows unbounded preceding) as cum_contribution
+  from vw where ticker = 'S7' and (rank is not null or abs(weight) > 0)"""))
+def _(t):
+    return vw.stock_detail(view(t), "s7")
+
+
+@query("topk_rank_per_date", "date:d ticker:s rank:f place:i", with_(VIEW, """select * from (select date, ticker, rank, row_number() over (partition by date order by rank desc, ticker) as place
+  from vw where rank is not null) x_ where place <= 10"""))
+def _(t):
+    return vw.topk_rank_per_date(view(t), 10)
+
+
+HELDS = """, hd as (select distinct concat('S', l_suppkey) as ticker from lineitem where l_returnflag = 'R' and l_discount = 0.1 and l_tax = 0.08 and l_quantity >= 45)"""
+
+
+def holdings_names(t):
+    return (t.table("lineitem").filter("l_returnflag = 'R' and l_discount = 0.1D and l_tax = 0.08D and l_quantity >= 45")
+            .select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker")).distinct())
+
+
+@query("watch_set", "ticker:s", with_(VIEW + HELDS, """select ticker from hd union select ticker from (select ticker from vw where date = (select max(date) from vw0) and rank >= 80 order by ticker limit 25) x_"""))
+def _(t):
+    return vw.watch_set(view(t), holdings_names(t), 80.0, 25)

@@ -57,6 +57,6 @@ def ledger_append(prior: DataFrame, preds: DataFrame, run: str, logged_at: str)
     return keep_last(prior.unionByName(fresh), ["date", "ticker"], ["logged_at", "run"])
 
 
-def update_log(log: DataFrame, n: int = 200) -> DataFrame:
+def update_log(log: DataFrame, n: int = 200, at: str = "at") -> DataFrame:
     """The last n entries, newest first. A sorted limit keeps n rows in each task."""
-    return log.orderBy(F.col("at").desc(), F.col("run").desc()).limit(n)
+    return log.orderBy(F.col(at).desc(), F.col("run").desc()).limit(n)
