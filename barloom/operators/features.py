@@ -190,11 +190,12 @@ STAGES = (momentum, mom_12_1, moving_averages, year_extremes, volatility, range_
           dollar_volume, volume_trend, amihud, intraday_shape, beta, idio_momentum, idio_volatility, smoothed)
 
 
-def raw_features(panel: DataFrame, cfg: FeatureConfig) -> DataFrame:
+def raw_features(panel: DataFrame, cfg: FeatureConfig, cols: list[str] | None = None, stages=STAGES) -> DataFrame:
+    """Unranked features on the grid: all of them, or the columns `cols` of some stages."""
     d = grid(panel, cfg)
-    for stage in STAGES:
+    for stage in stages:
         d = stage(d, cfg)
-    cols = names(cfg)
+    cols = cols or names(cfg)
     return d.select("date", "ticker", *[finite(F.col(c)).alias(c) for c in cols])
 
 

@@ -1 +1,118 @@
-"""Pending."""
+"""Model queries on a ranked weekly feature frame."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from barloom.config import FeatureConfig, LabelConfig, ModelConfig, weekly
+from barloom.operators import features as ft, labels as lb, ledger as ld, metrics as mt, models as md
+from barloom.operators.panel import with_sessions
+from barloom.plans.catalog_books import BOOK, H, SIG
+from barloom.plans.catalog_features import LOWH
+from barloom.plans.registry import query
+from barloom.plans.sqlparts import with_
+from barloom.sources.signals import kept_scores
+
+CFG = FeatureConfig()
+COLS = ["ret_1d", "ret_5d", "ret_10d", "ret_21d", "vol_21d", "range_5d", "close_loc", "bollinger_pctb", "vol_trend"]
+STAGES = (ft.momentum, ft.volatility, ft.range_5d, ft.intraday_shape, ft.bollinger, ft.volume_trend)
+QUICK = ModelConfig(gbt_trees=8, gbt_step=0.1, gbt_depth=4, gbt_min_child=50)
+SPLITS = weekly().splits
+
+
+def frame(t):
+    """Ranked features with labels and the low-day class, on own bars; stored once a query."""
+    def make():
+        bars = t.weekly_bars()
+        f = ft.rank_features(ft.raw_features(bars, CFG, COLS, STAGES), COLS, 20, t.names_bound)
+        lab = lb.build_labels(bars, LabelConfig(horizon=H), t.names_bound)
+        low = lb.low_day(with_sessions(bars), LOWH).select("date", "ticker", "sid", "low_day")
+        return f.join(lab, ["date", "ticker"]).join(low, ["date", "ticker"])
+    return t.keep("frame", make)
+
+
+def walk(t, models=("ridge", "gbt"), features=None, d=None):
+    return md.walk_forward(frame(t) if d is None else d, features or COLS, SPLITS, replace(QUICK, models=models), H)
+
+
+SCORED = "model:s fold_dates:i rows_:i names:i"
+
+
+def _count(p):
+    return p.groupBy("model").agg(F.count_distinct("date").alias("fold_dates"), F.count(F.lit(1)).alias("rows_"), F.count_distinct("ticker").alias("names"))
+
+
+@query("ridge_fit_predict", "date:d ticker:s score:f")
+def _(t):
+    return walk(t, ("ridge",))[0]
+
+
+@query("gbt_fit_predict", "date:d ticker:s score:f")
+def _(t):
+    return walk(t, ("gbt",))[0]
+
+
+@query("walk_forward_predict", SCORED)
+def _(t):
+    return _count(walk(t)[0])
+
+
+@query("model_registry", "model:s ic_mean:f ic_t_stat:f ic_days:i")
+def _(t):
+    p = None
+    for name in ("ridge",):
+        s = walk(t, (name,))[0]
+        p = s if p is None else p.unionByName(s)
+    j = p.join(frame(t).select("date", "ticker", "fwd_ret"), ["date", "ticker"])
+    return mt.ic_summary(mt.daily_ic(j, "score", "fwd_ret", 20, t.names_bound))
+
+
+@query("importance_average", "model:s feature:s importance:f")
+def _(t):
+    return md.importance_average(walk(t)[1])
+
+
+@query("topk_importance", "model:s feature:s importance:f")
+def _(t):
+    return md.topk_importance(md.importance_average(walk(t, ("ridge",))[1]), "ridge", 5)
+
+
+@query("multiclass_fit_predict", "accuracy:f base_rate:f lift:f n:i")
+def _(t):
+    return lb.accuracy(md.low_day_classifier(frame(t), COLS, 240, LOWH + SPLITS.embargo, trees=10, depth=4), "guess", "low_day")
+
+
+@query("permutation_null_test", "seed:i ic_mean:f ic_t_stat:f ic_days:i")
+def _(t):
+    return md.permutation_null_test(kept_scores(t, H), "mom", "fwd_ret", 8, BOOK.min_names, t.names_bound)
+
+
+@query("leak_positive_control", "model:s ic_mean:f ic_t_stat:f fired:b")
+def _(t):
+    d = t.keep("leaky", lambda: md.add_leak(frame(t), "target", 0.5, 7))
+    p = walk(t, ("ridge",), COLS + ["leak"], d)[0].join(frame(t).select("date", "ticker", "fwd_ret"), ["date", "ticker"])
+    return mt.ic_summary(mt.daily_ic(p, "score", "fwd_ret", 20, t.names_bound)).withColumn("fired", F.abs("ic_t_stat") > 20)
+
+
+@query("causality_check", "feature:s rows_:i changed:i")
+def _(t):
+    def make(panel):
+        return ft.rank_features(ft.raw_features(panel, CFG, COLS, STAGES), COLS, 20, t.names_bound)
+    return md.causality_check(t.weekly_bars(), make, "1999-06-28", COLS)
+
+
+@query("sequence_windows", "date:d ticker:s n:i first:f last:f total:f", with_(SIG, """, s as (select date, ticker, least(greatest(coalesce(mom, 0.0), -5.0), 5.0) as m, least(greatest(coalesce(rev, 0.0), -5.0), 5.0) as r from sc where close is not null),
+  w as (select date, ticker, count(*) over x as n, first_value(m) over x as first, m as last, sum(m + r) over x as total from s window x as (partition by ticker order by date rows between 19 preceding and current row))
+  select * from w where n = 20"""))
+def _(t):
+    d = md.sequence_windows(kept_scores(t, H), ["mom", "rev"], 20)
+    total = F.aggregate("window", F.lit(0.0), lambda a, v: a + v[0] + v[1])
+    return d.select("date", "ticker", F.size("window").alias("n"), F.element_at("window", 1)[0].alias("first"),
+                    F.element_at("window", -1)[0].alias("last"), total.alias("total"))
+
+
+@query("model_ensemble", "date:d ticker:s score:f")
+def _(t):
+    return ld.ensemble_zscore(walk(t)[0])
