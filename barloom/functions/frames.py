@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, WindowSpec, Window, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec, Window, functions as F
 
 
 def by_ticker(*keys: str) -> WindowSpec:
@@ -31,3 +31,43 @@ def at(x: Column | str, k: int, *keys: str) -> Column:
     """Value exactly k sessions away; NULL when that session has no row."""
     x = F.col(x) if isinstance(x, str) else x
     return F.max(x).over(by_ticker(*keys).rangeBetween(k, k))
+
+
+# ---- rolling figures from running sums ---------------------------------------------------------
+# A sliding frame visits every row of the frame for every row. Running sums visit each row once, and a
+# rolling figure is the difference of two of them. Values are taken relative to the entity's first
+# one, which keeps the squares small; a spread below the rounding of those sums counts as none.
+FLAT = 1e-10
+
+
+def prefix(d: DataFrame, *cols: str) -> DataFrame:
+    """Adds running count, sum and sum of squares of columns of a grid without holes."""
+    need = [c for c in cols if f"_c_{c}" not in d.columns]
+    if not need:
+        return d
+    w = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({f"_k_{c}": F.first(c, ignorenulls=True).over(w) for c in need})
+    made = {}
+    for c in need:
+        x = F.col(c) - F.col(f"_k_{c}")
+        made[f"_c_{c}"] = F.count(c).over(w)
+        made[f"_s_{c}"] = F.coalesce(F.sum(x).over(w), F.lit(0.0))
+        made[f"_q_{c}"] = F.coalesce(F.sum(x * x).over(w), F.lit(0.0))
+    return d.withColumns(made)
+
+
+def _part(kind: str, c: str, n: int) -> Column:
+    x = F.col(f"_{kind}_{c}")
+    return x - F.coalesce(F.lag(x, n).over(by_ticker()), F.lit(0))
+
+
+def roll_mean(c: str, n: int, least: int) -> Column:
+    m = _part("c", c, n)
+    return F.when(m >= least, F.col(f"_k_{c}") + _part("s", c, n) / m)
+
+
+def roll_std(c: str, n: int, least: int) -> Column:
+    """Sample standard deviation."""
+    m, s, q = (_part(k, c, n) for k in "csq")
+    var = (q - s * s / m) / (m - 1)
+    return F.when(m >= max(least, 2), F.when(var > FLAT * q / m, F.sqrt(var)).otherwise(0.0))

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.config import FeatureConfig
 from barloom.functions import ladder
-from barloom.functions.frames import by_ticker, guarded
+from barloom.functions.frames import by_ticker, guarded, prefix, roll_mean, roll_std
 from barloom.functions.nums import finite, ratio
 from barloom.functions.smoothing import ewm_array, span_alpha, with_series
 from barloom.operators.panel import calendar, fill_holes, with_sessions
@@ -40,89 +41,103 @@ def grid(panel: DataFrame, cfg: FeatureConfig) -> DataFrame:
     px = F.last("close", ignorenulls=True).over(by_ticker()) if cfg.pad_gaps else F.col("close")
     return (g.withColumn("px", px)
             .withColumn("ret1", ratio(F.col("px"), back("px", 1)) - 1)
-            .withColumn("dv", F.col("close") * F.col("volume")))
+            .withColumn("dv", F.col("close") * F.col("volume"))
+            .withColumns({"ldv": F.ln(F.nullif(F.col("dv"), F.lit(0.0))), "impact": ratio(F.abs("ret1"), F.col("dv")),
+                          "rng": ratio(F.col("high") - F.col("low"), F.col("close"))}))
 
 
 def change(n: int) -> Column:
     return ratio(F.col("px"), back("px", n)) - 1
 
 
-def momentum(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    return d.withColumns({f"ret_{n}d": change(n) for n in cfg.momentum_windows})
+def stage(*needs: str):
+    """A stage made of expressions over the grid and the running sums of `needs`. Alone it adds its columns;
+    `raw_features` adds those of all such stages in one window pass."""
+    def wrap(fn):
+        def run(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
+            return prefix(d, *needs).withColumns(fn(cfg))
+        run.exprs, run.needs, run.__name__ = fn, needs, fn.__name__
+        return run
+    return wrap
 
 
-def mom_12_1(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    return d.withColumn("mom_12_1", ratio(back("close", 21), back("close", 252)) - 1)
+@stage()
+def momentum(cfg):
+    return {f"ret_{n}d": change(n) for n in cfg.momentum_windows}
 
 
-def moving_averages(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    s20, s50, s200 = (guarded(F.avg, "close", n, m) for n, m in ((20, 15), (50, 35), (200, 150)))
+@stage()
+def mom_12_1(cfg):
+    return {"mom_12_1": ratio(back("close", 21), back("close", 252)) - 1}
+
+
+@stage("close")
+def moving_averages(cfg):
+    s20, s50, s200 = (roll_mean("close", n, m) for n, m in ((20, 15), (50, 35), (200, 150)))
     c = F.col("close")
-    return d.withColumns({"close_over_sma50": ratio(c, s50) - 1, "close_over_sma200": ratio(c, s200) - 1,
-                          "sma20_over_sma50": ratio(s20, s50) - 1})
+    return {"close_over_sma50": ratio(c, s50) - 1, "close_over_sma200": ratio(c, s200) - 1,
+            "sma20_over_sma50": ratio(s20, s50) - 1}
 
 
-def year_extremes(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
+@stage()
+def year_extremes(cfg):
     c = F.col("close")
-    return d.withColumns({"dist_52w_high": ratio(c, guarded(F.max, c, 252, 180)) - 1,
-                          "dist_52w_low": ratio(c, guarded(F.min, c, 252, 180)) - 1})
+    return {"dist_52w_high": ratio(c, guarded(F.max, c, 252, 180)) - 1,
+            "dist_52w_low": ratio(c, guarded(F.min, c, 252, 180)) - 1}
 
 
 def _vol(n: int) -> Column:
-    return guarded(F.stddev_samp, "ret1", n, max(5, n // 2))
+    return roll_std("ret1", n, max(5, n // 2))
 
 
-def volatility(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    d = d.withColumns({f"vol_{n}d": _vol(n) for n in cfg.vol_windows})
+@stage("ret1")
+def volatility(cfg):
+    out = {f"vol_{n}d": _vol(n) for n in cfg.vol_windows}
     if len(cfg.vol_windows) >= 2:
-        a, b = cfg.vol_windows[0], cfg.vol_windows[-1]
-        d = d.withColumn("vol_ratio", ratio(F.col(f"vol_{a}d"), F.col(f"vol_{b}d")) - 1)
-    return d
-
-
-def _base_vol(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    n = cfg.vol_windows[0]
-    return d if "base_vol" in d.columns else d.withColumn("base_vol", _vol(n))
+        out["vol_ratio"] = ratio(_vol(cfg.vol_windows[0]), _vol(cfg.vol_windows[-1])) - 1
+    return out
 
 
-def range_5d(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    return d.withColumn("range_5d", guarded(F.avg, ratio(F.col("high") - F.col("low"), F.col("close")), 5, 3))
+@stage("rng")
+def range_5d(cfg):
+    return {"range_5d": roll_mean("rng", 5, 3)}
 
 
-def reversal(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    d = _base_vol(d, cfg)
-    return d.withColumns({"rev_1d": ratio(-F.col("ret1"), F.col("base_vol")),
-                          "rev_5d": ratio(-change(5), F.col("base_vol") * math.sqrt(5))})
+@stage("ret1")
+def reversal(cfg):
+    v = _vol(cfg.vol_windows[0])
+    return {"rev_1d": ratio(-F.col("ret1"), v), "rev_5d": ratio(-change(5), v * math.sqrt(5))}
 
 
-def bollinger(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
+@stage("close")
+def bollinger(cfg):
     n = cfg.bollinger_window
-    mid, sd = guarded(F.avg, "close", n, n // 2), guarded(F.stddev_samp, "close", n, n // 2)
-    return d.withColumn("bollinger_pctb", ratio(F.col("close") - mid, sd * 2))
+    mid, sd = roll_mean("close", n, n // 2), roll_std("close", n, n // 2)
+    return {"bollinger_pctb": ratio(F.col("close") - mid, sd * 2)}
 
 
-def dollar_volume(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    d = d.withColumn("dollar_vol_log", F.ln(F.nullif(F.col("dv"), F.lit(0.0))))
-    mean, sd = (guarded(f, "dollar_vol_log", 63, 30) for f in (F.avg, F.stddev_samp))
-    return d.withColumn("dollar_vol_z", ratio(F.col("dollar_vol_log") - mean, sd))
+@stage("ldv")
+def dollar_volume(cfg):
+    return {"dollar_vol_z": ratio(F.col("ldv") - roll_mean("ldv", 63, 30), roll_std("ldv", 63, 30)),
+            "dollar_vol_log": F.col("ldv")}
 
 
-def volume_trend(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    return d.withColumn("vol_trend", ratio(guarded(F.avg, "dv", 5, 3), guarded(F.avg, "dv", 63, 30)) - 1)
+@stage("dv")
+def volume_trend(cfg):
+    return {"vol_trend": ratio(roll_mean("dv", 5, 3), roll_mean("dv", 63, 30)) - 1}
 
 
-def amihud(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    impact = ratio(F.abs("ret1"), F.col("dv"))
-    return d.withColumn("amihud", F.ln(guarded(F.avg, impact, 21, 10) + 1e-15))
+@stage("impact")
+def amihud(cfg):
+    return {"amihud": F.ln(roll_mean("impact", 21, 10) + 1e-15)}
 
 
-def intraday_shape(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    d = _base_vol(d, cfg)
-    v = F.col("base_vol")
-    return d.withColumns({
-        "gap": ratio(ratio(F.col("open"), back("close", 1)) - 1, v),
-        "intraday_ret": ratio(ratio(F.col("close"), F.col("open")) - 1, v),
-        "close_loc": ratio(F.col("close") - F.col("low"), F.col("high") - F.col("low"))})
+@stage("ret1")
+def intraday_shape(cfg):
+    v = _vol(cfg.vol_windows[0])
+    return {"gap": ratio(ratio(F.col("open"), back("close", 1)) - 1, v),
+            "intraday_ret": ratio(ratio(F.col("close"), F.col("open")) - 1, v),
+            "close_loc": ratio(F.col("close") - F.col("low"), F.col("high") - F.col("low"))}
 
 
 def market(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
@@ -144,18 +159,19 @@ def beta(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
     if "beta" in d.columns:
         return d
     d, n = with_market(d, cfg), cfg.beta_window
-    xm = guarded(F.avg, F.col("ret1") * F.col("mkt"), n, n // 2)
-    x = guarded(F.avg, "ret1", n, n // 2)
+    d = prefix(d.withColumn("rm", F.col("ret1") * F.col("mkt")), "ret1", "rm")
+    xm, x = roll_mean("rm", n, n // 2), roll_mean("ret1", n, n // 2)
     return d.withColumn("beta", ratio(xm - x * F.col("mkt_mean"), F.col("mkt_var")))
 
 
 def idio_momentum(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    return beta(d, cfg).withColumn("idio_mom_21d", change(21) - F.col("beta") * F.col("mkt_21"))
+    chg = F.col("_chg21") if "_chg21" in d.columns else change(21)
+    return beta(d, cfg).withColumn("idio_mom_21d", chg - F.col("beta") * F.col("mkt_21"))
 
 
 def idio_volatility(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
     d = beta(d, cfg).withColumn("resid", F.col("ret1") - F.col("beta") * F.col("mkt"))
-    return d.withColumn("idio_vol_63d", guarded(F.stddev_samp, "resid", 63, 30))
+    return prefix(d, "resid").withColumn("idio_vol_63d", roll_std("resid", 63, 30))
 
 
 def smoothed(d: DataFrame, cfg: FeatureConfig, want: tuple[str, ...] = ("atr_pct", "rsi", "macd_hist")) -> DataFrame:
@@ -192,16 +208,43 @@ STAGES = (momentum, mom_12_1, moving_averages, year_extremes, volatility, range_
 
 def raw_features(panel: DataFrame, cfg: FeatureConfig, cols: list[str] | None = None, stages=STAGES) -> DataFrame:
     """Unranked features on the grid: all of them, or the columns `cols` of some stages."""
+    plain = [s for s in stages if hasattr(s, "exprs")]
+    needs = sorted({"ret1", *(c for s in plain for c in s.needs)})
     d = grid(panel, cfg)
-    for stage in stages:
-        d = stage(d, cfg)
+    if smoothed in stages:      # gathers a ticker's rows, so it goes first, while they are narrow
+        d = smoothed(d, cfg)
+    d = prefix(d, *needs)
+    made = {k: c for s in plain for k, c in s.exprs(cfg).items()}
+    d = d.withColumns(made | {"_chg21": change(21)})
+    d = d.drop(*[f"_{k}_{c}" for k in "kcsq" for c in needs if c != "ret1"], "ldv", "impact", "rng", "dv", "volume", "open", "high", "low")
+    for s in stages:
+        if s not in plain and s is not smoothed:
+            d = s(d, cfg)
     cols = cols or names(cfg)
     return d.select("date", "ticker", *[finite(F.col(c)).alias(c) for c in cols])
 
 
+MATRIX_NAMES = 50_000      # names a date whose whole feature matrix fits a task many times over
+
+
+def _rank_matrix(d: DataFrame, cols: list[str], min_names: int) -> DataFrame:
+    """One shuffle into `date` groups of bounded size instead of one sort for each column."""
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        m = rows[cols]
+        r = m.rank(pct=True) - 0.5
+        r.loc[:, m.notna().sum() < min_names] = float("nan")
+        rows[cols] = r
+        return rows
+    z = d.groupBy("date").applyInPandas(block, d.schema)
+    return z.select(*[finite(F.col(c)).alias(c) if c in cols else F.col(c) for c in z.columns])
+
+
 def rank_features(d: DataFrame, cols: list[str], min_names: int, bound: int | None = None) -> DataFrame:
     """Every column to its percentile in the date less one half, NULL on thin dates. The ranks run
-    over all names of the date, held or not."""
+    over all names of the date, held or not. Small dates are ranked as one matrix a date, larger ones
+    with a window a column, unbounded ones with the ladder; all three give the same numbers."""
+    if bound is not None and bound <= MATRIX_NAMES:
+        return _rank_matrix(d, cols, min_names)
     if bound is not None and bound <= ladder.WINDOW_LIMIT:
         made = {}
         for c in cols:
