@@ -98,9 +98,10 @@ def volatility(cfg):
     return out
 
 
-@stage("rng")
+@stage()
 def range_5d(cfg):
-    return {"range_5d": roll_mean("rng", 5, 3)}
+    # many names have no range at all: the short direct frame keeps their zeros, and so their ties, exact
+    return {"range_5d": guarded(F.avg, "rng", 5, 3)}
 
 
 @stage("ret1")
