@@ -41,11 +41,16 @@ def ladder(df: DataFrame, by: list[str], value: str, slices: int = 64) -> DataFr
     probs = [i / slices for i in range(1, slices)]
     cuts = counts.groupBy(*by).agg(
         F.percentile_approx(value, probs, F.lit(max(1000, 20 * slices))).alias("_cuts"))
-    if by:
-        cut = counts.join(cuts, by)
-    else:
-        cut = counts.crossJoin(F.broadcast(cuts))   # exactly one row: an aggregate without keys
-    cut = cut.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    # two-step search: every k-th cut first, then the k cuts after the last one below the value
+    k = max(2, int(slices ** 0.5))
+    cuts = cuts.withColumn("_coarse", F.when(F.size("_cuts") >= k, F.transform(
+        F.sequence(F.lit(k), F.greatest(F.size("_cuts"), F.lit(k)), F.lit(k)), lambda i: F.get("_cuts", i - 1)))
+        .otherwise(F.slice("_cuts", 1, 0)))
+    # without keys the cuts are exactly one row, the result of an aggregate
+    cut = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts), F.lit(True))
+    below = lambda a: F.size(F.filter(a, lambda c: c < F.col(value)))
+    cut = cut.withColumn("_j", below(F.col("_coarse")) * k)
+    cut = cut.withColumn("_slice", F.col("_j") + below(F.slice("_cuts", F.col("_j") + 1, F.lit(k)))).drop("_cuts", "_coarse", "_j")
     inside = Window.partitionBy(*by, "_slice").orderBy(value)
     totals = cut.groupBy(*by, "_slice").agg(F.sum("cnt").alias("_n"))
     # at most `slices` rows for each group
@@ -74,7 +79,7 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str, count_out:
         cond = cond & (F.col(b) == F.col(f"_{b}"))
     ranked = df.join(look, cond, "left").drop("_v", *[f"_{b}" for b in by])
     sizes = df.groupBy(*by).agg(F.count(value).alias(count_out))
-    return ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))
+    return ranked.join(sizes, by) if by else ranked.join(F.broadcast(sizes), F.lit(True))    # one row
 
 
 def percent_rank(df: DataFrame, by: list[str], value: str, out: str, bound: int | None = None,

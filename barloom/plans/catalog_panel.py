@@ -475,7 +475,8 @@ def _(t):
     (select count(*) from pt where l < (select max(date) from panel)) as stale_tickers, median(close * volume) as median_dv from panel"""))
 def _(t):
     b = t.weekly_bars()
-    return qt.freshness(b, ladder.exact_quantile(qt.liquidity_value(b), [], "dv", 0.5, "median_dv"))
+    return qt.freshness(b, ladder.exact_quantile(qt.liquidity_value(b), [], "dv", 0.5, "median_dv",
+                                              ladder.slices_for(t.bars_bound)))
 
 
 # ---- currencies, quotes, clocks ----------------------------------------------------------------------

@@ -48,11 +48,11 @@ def _(t):
     return tb.run_update(ops.limit_touches(ticks(t), orders), "touch", ["ticker", "date"])
 
 
-@query("stream_resolve_forecasts", "user_id:i forecast_id:i outcome_id:i forecast:f outcome:f", """select f.user_id, f.event_id as forecast_id, o.event_id as outcome_id, f.value as forecast, o.value as outcome
-  from events f join events o on o.user_id = f.user_id and cast(o.ts as date) = cast(f.ts as date) + 1 where f.event_type = 'view' and o.event_type = 'purchase' and f.value > 0 and o.value > 0""")
+@query("stream_resolve_forecasts", "user_id:i day:d due:d known:b", """with e as (select distinct user_id, event_type, cast(ts as date) as day from events where value > 0)
+  select f.user_id, f.day, o.day as due, true as known from e f join e o on o.user_id = f.user_id and o.day = f.day + 1 where f.event_type = 'view' and o.event_type = 'purchase'""")
 def _(t):
     d = ops.resolve_forecasts(ticks(t).filter("ticker = 'view'"), ticks(t).filter("ticker = 'purchase'"), 1)
-    return tb.run_append(d, "resolved")
+    return tb.run_append(d, "resolved").withColumn("known", F.col("forecast").isNotNull() & F.col("outcome").isNotNull())
 
 
 @query("stream_ledger_upsert", "user_id:i day:d id:i px:f", """select user_id, cast(ts as date) as day, arg_max(event_id, (ts, event_id)) as id, arg_max(value, (ts, event_id)) as px

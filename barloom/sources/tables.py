@@ -43,8 +43,9 @@ class Tables:
         return self.table("supplier").count()
 
     @cached_property
-    def users_bound(self) -> int:
-        return self.table("customer").count()
+    def bars_bound(self) -> int:
+        """Upper bound on bars, from the parquet footers."""
+        return self.table("lineitem").count()
 
     def weekly_bars(self) -> DataFrame:
         """One bar per supplier and week of `lineitem`. Partial aggregates run before the shuffle,

@@ -44,13 +44,17 @@ def limit_touches(ticks: DataFrame, orders: DataFrame, late: str = "1 day") -> D
 
 
 def resolve_forecasts(forecasts: DataFrame, outcomes: DataFrame, days: int, late: str = "2 days") -> DataFrame:
-    """Forecasts meet outcomes of the same key on the due day; both sides are watermarked, so state expires."""
-    f = forecasts.withWatermark("ts", late).select(F.col("user_id"), F.col("id").alias("forecast_id"), F.col("ts").alias("f_ts"), F.col("px").alias("forecast"))
-    o = outcomes.withWatermark("ts", late).select(F.col("user_id").alias("o_user"), F.col("id").alias("outcome_id"), F.col("ts").alias("o_ts"), F.col("px").alias("outcome"))
-    due = F.date_add(plain(F.col("f_ts")).cast("date"), days)
-    on = ((F.col("user_id") == F.col("o_user")) & (due == plain(F.col("o_ts")).cast("date"))
+    """Forecasts meet the outcome of their name on the due day. A name has one forecast and one outcome a day
+    (the first to arrive), so the join gives at most one row a forecast; both sides are watermarked, so
+    state expires."""
+    day = lambda c: plain(F.col(c)).cast("date")
+    f = (forecasts.withColumn("day", day("ts")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "day"])
+         .select("user_id", "day", F.date_add("day", days).alias("due"), F.col("ts").alias("f_ts"), F.col("px").alias("forecast")))
+    o = (outcomes.withColumn("due_", day("ts")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "due_"])
+         .select(F.col("user_id").alias("user_"), "due_", F.col("ts").alias("o_ts"), F.col("px").alias("outcome")))
+    on = ((F.col("user_id") == F.col("user_")) & (F.col("due") == F.col("due_"))
           & (F.col("o_ts") >= F.col("f_ts")) & (F.col("o_ts") <= F.col("f_ts") + F.expr(f"interval {days + 1} days")))
-    return f.join(o, on).select("user_id", "forecast_id", "outcome_id", "forecast", "outcome")
+    return f.join(o, on).select("user_id", "day", "due", "forecast", "outcome")
 
 
 def session_gate(ticks: DataFrame) -> DataFrame:
