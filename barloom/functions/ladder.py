@@ -5,12 +5,15 @@ Two plans give the same numbers:
 * a window per group, when the caller can bound the group size (`bound`);
 * otherwise a *ladder*: equal values are counted first, quantile sketches cut every group into
   slices of values, running counts are taken inside a slice and the slice totals are added. A hot
-  group is spread over many tasks, and no row is dropped."""
+  group is spread over many tasks, and no row is dropped. Its inputs are written to the shared folder,
+  since they are read more than once and ladders may be stacked."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.session import materialize
+
 WINDOW_LIMIT = 2_000_000
 SLICE_ROWS = 500_000
 MAX_SLICES = 2_048
@@ -38,6 +41,7 @@ def ladder(df: DataFrame, by: list[str], value: str, slices: int = 64) -> DataFr
     """One row per (group, distinct value): `cnt`, `below` (rows with a smaller value), `total`."""
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
               .agg(F.count(F.lit(1)).alias("cnt")))
+    counts = materialize(counts, "values")      # read for the cuts and for the slices
     probs = [i / slices for i in range(1, slices)]
     cuts = counts.groupBy(*by).agg(
         F.percentile_approx(value, probs, F.lit(max(1000, 20 * slices))).alias("_cuts"))
@@ -51,6 +55,7 @@ def ladder(df: DataFrame, by: list[str], value: str, slices: int = 64) -> DataFr
     below = lambda a: F.size(F.filter(a, lambda c: c < F.col(value)))
     cut = cut.withColumn("_j", below(F.col("_coarse")) * k)
     cut = cut.withColumn("_slice", F.col("_j") + below(F.slice("_cuts", F.col("_j") + 1, F.lit(k)))).drop("_cuts", "_coarse", "_j")
+    cut = materialize(cut, "slices")            # read for the totals and for the running counts
     inside = Window.partitionBy(*by, "_slice").orderBy(value)
     totals = cut.groupBy(*by, "_slice").agg(F.sum("cnt").alias("_n"))
     # at most `slices` rows for each group
@@ -71,6 +76,7 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str, count_out:
     if slices is None and bound is not None and bound <= WINDOW_LIMIT:
         r, n = rank_expr(by, value)
         return df.withColumn(out, r).withColumn(count_out, n)
+    df = materialize(df, "unranked")            # read for the values and for the result
     steps = ladder(df, by, value, slices or slices_for(bound))
     look = steps.select(*[F.col(b).alias(f"_{b}") for b in by], F.col(value).alias("_v"),
                         (F.col("below") + (F.col("cnt") + 1) / 2).alias(out))
@@ -78,8 +84,9 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str, count_out:
     for b in by:
         cond = cond & (F.col(b) == F.col(f"_{b}"))
     ranked = df.join(look, cond, "left").drop("_v", *[f"_{b}" for b in by])
-    sizes = df.groupBy(*by).agg(F.count(value).alias(count_out))
-    return ranked.join(sizes, by) if by else ranked.join(F.broadcast(sizes), F.lit(True))    # one row
+    sizes = steps.groupBy(*by).agg(F.max("total").alias(count_out))
+    ranked = ranked.join(sizes, by, "left") if by else ranked.join(F.broadcast(sizes), F.lit(True))    # one row
+    return ranked.withColumn(count_out, F.coalesce(count_out, F.lit(0)))
 
 
 def percent_rank(df: DataFrame, by: list[str], value: str, out: str, bound: int | None = None,

@@ -74,7 +74,7 @@ def dollar_neutral(sized: DataFrame) -> DataFrame:
 
 def target_book(signal: DataFrame, cfg: BookConfig, bound: int | None = None) -> DataFrame:
     """Signed target weights of each date (date, model, ticker, w)."""
-    legs = quantile_legs(signal, cfg, bound)
+    legs = materialize(quantile_legs(signal, cfg, bound), "legs")    # read for totals, limits and weights
     cap = cfg.max_weight * cfg.gross if cfg.max_weight else None
     if cfg.long_short:
         return dollar_neutral(waterfill(legs, cfg.gross / 2, cap))

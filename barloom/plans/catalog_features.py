@@ -178,8 +178,8 @@ ranked as (select date, sid, ticker, {', '.join(f"{pct('date', c, 20, ' - 0.5')}
 @query("feature_frame", "date:d ticker:s " + " ".join(f"{c}:f" for c in ALL),
        with_(FEATS, f"select * from ranked where {_live(' '.join(ALL))}", True))
 def _(t):
-    d = ft.compute_features(t.weekly_bars(), CFG, t.names_bound)
-    return d.filter(_live(" ".join(ALL)))
+    bars = t.keep("bars", t.weekly_bars)      # read for the calendar, the grid and the market
+    return ft.compute_features(bars, CFG, t.names_bound).filter(_live(" ".join(ALL)))
 
 
 # ---- labels ------------------------------------------------------------------------------------
