@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN_DIR = "barloom.scratch.dir"
+
 
 def build_session(app: str = "barloom", master: str | None = None, shuffle_partitions: int | None = None,
                   driver_memory: str | None = None) -> SparkSession:
@@ -34,10 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    made = tempfile.mkdtemp(prefix="barloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
+    # the setting itself cannot be changed in a running session, so the folder is kept beside it
+    made = spark.conf.get(_OWN_DIR, None)
+    if not made:
+        made = tempfile.mkdtemp(prefix="barloom-")
+        spark.conf.set(_OWN_DIR, made)
     return made
 
 

@@ -9,10 +9,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from barloom.session import build_session
     s = build_session("tests", "local[8]", 4, "6g")
-    if s.conf.get("spark.checkpoint.dir", None) is None:
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
