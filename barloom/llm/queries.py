@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from barloom.llm import benchmark as bench
+from barloom.llm.jaccard import near_duplicates
+from barloom.llm.licenses import scan_licenses
+from barloom.llm.line_dedup import dedup_lines
 from barloom.llm.packing import Limits, pack_notes
+from barloom.llm.personal import find_personal
+from barloom.llm.quality import fit_quality, judge_notes
+from barloom.llm.sharding import balanced_shards
 from barloom.llm.wavelet import read_token_shards, write_token_shards
 from barloom.session import scratch_path
 
@@ -23,6 +30,57 @@ def as_notes(docs: DataFrame) -> DataFrame:
     return docs.withColumnsRenamed({"doc_id": "position_id", "text": "note"})
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def op1_label_propagation(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("note", F.lit(""))
+    rows = notes(spark, folder).select("position_id", (F.octet_length(text) + 16).cast("long").alias("size"),
+                                       F.crc32(text.cast("binary")).alias("text_crc32"), F.md5("note").alias("note_hash"))
+    return balanced_shards(rows, 40, hubs=("note_hash",)).select(
+        F.col("position_id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_patience_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(notes(spark, folder)).select(
+        F.col("position_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("note", 256).alias("kept_sha256"))
+
+
+def op4_likelihood_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    model = fit_quality(notes(spark, folder), reviews(spark, folder))
+    rows = notes(spark, folder).select("position_id", "note")
+    return judge_notes(rows, model).select(
+        F.col("position_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "score")
+
+
+def reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "labels").withColumnRenamed("doc_id", "position_id")
+
+
+def op6_signature_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(notes(spark, folder), words=4, percent=85).select(
+        F.col("position_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+def op7_license_join(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(notes(spark, folder).select("position_id", "note")).withColumnRenamed("position_id", "doc_id")
+
+
+def op8_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_personal(notes(spark, folder).select("position_id", "note"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(F.col("position_id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+                        F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op10_block_max_bm25(spark: SparkSession, folder: str) -> DataFrame:
+    return bench.find_leaks(notes(spark, folder), table(spark, folder, "benchmark")).withColumnRenamed("position_id", "doc_id")
+
+
 def op3_wavelet_matrix(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "wavelet")
     write_token_shards(notes(spark, folder), path, vocabulary())
@@ -40,5 +98,7 @@ def packed(given: DataFrame) -> DataFrame:
         F.col("note_tokens").alias("doc_tokens"), F.col("sequence").alias("sequence_id"), "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_wavelet_matrix, op9_vector_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_label_propagation, op2_patience_lines, op3_wavelet_matrix, op4_likelihood_ratio, op6_signature_tree,
+    op7_license_join, op8_weak_labels, op9_vector_packing, op10_block_max_bm25)}
 SQL: dict[str, str] = {}
