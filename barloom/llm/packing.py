@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.taskcontext import TaskContext
 
 from barloom.llm.bytescan import slices
-from barloom.llm.tokens import TextTokenizer
+from barloom.llm.tokens import tokenizer_of
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ def pack_notes(positions: DataFrame, tokenizer: str, *, key: str = "position_id"
     given = positions.select(F.col(key).alias("key"), said.cast("string").alias("prompt"), F.col(note).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, pool = TextTokenizer(tokenizer), _Pool(limits)
+        coder, pool = tokenizer_of(tokenizer), _Pool(limits)
         base = TaskContext.get().partitionId() << 33
 
         def table(rows: list[tuple], kinds: pa.DataType) -> pa.RecordBatch:

@@ -1,19 +1,33 @@
 """Token ids of whole texts. Byte-level BPE splits a text before it merges anything, and some places always are
 splits (a lone space between visible characters, a letter before a comma, a line end after a visible character), so the ids of
-a text are the ids of the pieces between such places, in order. Every distinct
-piece is encoded once per worker (a bounded table remembers it)."""
+a text are the ids of the pieces between such places, in order. A worker encodes every distinct piece once; a bounded table of
+128-bit hashes, kept from task to task, remembers the ids."""
 
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from barloom.llm.bytescan import text_bytes
+from barloom.llm.bytescan import mix, prefix_hash, slices, span_hash
 
-REMEMBERED = 1_000_000   # pieces kept by a worker; the table is emptied when it is full
+REMEMBERED = 2_000_000   # pieces kept by a worker; the table is emptied when it is full
+JOINED = 100_000         # bytes of new pieces that one call encodes
+SLICE = 4 << 20
+_OTHER = np.random.default_rng(7).permutation(256).astype(np.uint8)   # byte values behind the second hash
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    return ((data | 32) >= 97) & ((data | 32) <= 122)
+
+
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> TextTokenizer:
+    """The worker's tokenizer, with what it has learned in earlier tasks."""
+    return TextTokenizer(path)
 
 
 class TextTokenizer:
@@ -27,43 +41,94 @@ class TextTokenizer:
         self.model.encode_special_tokens = True
         self.model.no_truncation()
         self.model.no_padding()
-        self.seen: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint16)
-        self.ends = np.zeros(1 << 16, np.int64)     # where the ids of piece i end
-        self.count = 0
-
-    def _learn(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of `pieces`, encoding those not seen before."""
-        if len(self.seen) + len(pieces) > REMEMBERED:
-            self.seen, self.count = {}, 0
-        new = [p for p in pieces if p not in self.seen]
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            made = [e.ids for e in self.model.encode_batch_fast(some, add_special_tokens=False)]
-            ids = np.fromiter(chain.from_iterable(made), np.int64)
-            if len(ids) and ids.max() > 65535:
-                raise ValueError("ids over 65535 need a wider table")
-            begin = int(self.ends[self.count - 1]) if self.count else 0
-            while begin + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while self.count + len(some) > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.ids[begin:begin + len(ids)] = ids
-            self.ends[self.count:self.count + len(some)] = begin + np.cumsum(np.fromiter(map(len, made), np.int64, len(some)))
-            self.seen.update(zip(some, range(self.count, self.count + len(some))))
-            self.count += len(some)
-        return np.fromiter((self.seen[p] for p in pieces), np.int64, len(pieces))
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        if max(vocabulary.values()) > 65535:
+            raise ValueError("ids over 65535 need a wider table")
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)   # bytes of a token: its letters stand for bytes
+        self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)     # sorted by hash
+        self.number = np.zeros(0, np.int64)                                         # of the piece with that hash
+        self.ends = np.zeros(0, np.int64)                                           # where the ids of a piece end
+        self.ids = np.zeros(0, np.uint16)
+
+    def _ids_of(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and how many each has. Words with a space before them stand side by side in the array's bytes as
+        they could in a text, so one call encodes many; the lengths of the tokens show where a piece ends."""
+        bounds = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)
+        size = np.diff(bounds)
+        word = (size > 1) & (data[bounds[:-1]] == 32)
+        word[word] = _letters(data[bounds[:-1][word] + 1]) & _letters(data[bounds[1:][word] - 1])
+        made, counts = [None] * 2, np.zeros(len(pieces), np.int64)
+        plain = pieces.filter(pa.array(word))
+        ids = []
+        if len(plain):
+            cuts = np.frombuffer(plain.buffers()[1], np.int64, len(plain) + 1, 8 * plain.offset)
+            at, text, lengths = 0, plain.buffers()[2], []
+            while at < len(plain):
+                upto = max(at + 1, int(np.searchsorted(cuts, cuts[at] + JOINED, "right")) - 1)
+                some = np.array(self.model.encode_batch_fast([text[cuts[at]:cuts[upto]].to_pybytes().decode()],
+                                                             add_special_tokens=False)[0].ids, np.int64)
+                stops = np.searchsorted(np.cumsum(self.width[some]), cuts[at + 1:upto + 1] - cuts[at]) + 1
+                lengths.append(np.diff(stops, prepend=0))
+                ids.append(some)
+                at = upto
+            counts[word] = np.concatenate(lengths)
+        made[0] = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        rest = [e.ids for e in self.model.encode_batch_fast(pieces.filter(pa.array(~word)).to_pylist(), add_special_tokens=False)]
+        counts[~word] = list(map(len, rest))
+        made[1] = np.fromiter(chain.from_iterable(rest), np.int64)
+        out = np.zeros(int(counts.sum()), np.uint16)
+        which = np.repeat(word, counts)
+        out[which], out[~which] = made
+        return out, counts
+
+    def _learn(self, pieces: pa.LargeStringArray) -> np.ndarray:
+        """Numbers of the distinct `pieces`, encoding those not seen before."""
+        bounds = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)[bounds[0]:bounds[-1]]
+        bounds = bounds - bounds[0]
+        h = mix(span_hash(prefix_hash(data), bounds[:-1], bounds[1:]))
+        check = span_hash(prefix_hash(_OTHER[data]), bounds[:-1], bounds[1:]) ^ np.diff(bounds).astype(np.uint64)
+        if len(self.hash) + len(h) > REMEMBERED:
+            self._forget()
+        at = np.searchsorted(self.hash, h)
+        safe = np.minimum(at, max(len(self.hash) - 1, 0))
+        known = (self.hash[safe] == h) & (self.check[safe] == check) if len(self.hash) else np.zeros(len(h), bool)
+        number = np.zeros(len(h), np.int64)
+        number[known] = self.number[safe[known]]
+        if not known.all():
+            ids, counts = self._ids_of(pieces.filter(pa.array(~known)))
+            first = len(self.ends)
+            self.ends = np.concatenate([self.ends, len(self.ids) + np.cumsum(counts)])
+            self.ids = np.concatenate([self.ids, ids])
+            number[~known] = first + np.arange(len(counts))
+            order = np.argsort(h[~known])
+            into = np.searchsorted(self.hash, h[~known][order])
+            self.hash = np.insert(self.hash, into, h[~known][order])
+            self.check = np.insert(self.check, into, check[~known][order])
+            self.number = np.insert(self.number, into, number[~known][order])
+        return number
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and the bounds of each row's ids. A null is an empty text."""
-        data, bounds = text_bytes(column)
-        data, bounds = data[bounds[0]:bounds[-1]], bounds - bounds[0]
+        made = [self._encode(data, bounds) for _, _, data, bounds in slices(column, SLICE)]
+        if not made:
+            return np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        base = np.cumsum([0, *(len(ids) for ids, _ in made)])
+        return (np.concatenate([ids for ids, _ in made]),
+                np.concatenate([[0], *(cuts[1:] + b for (_, cuts), b in zip(made, base))]))
+
+    def _encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, n = len(bounds) - 1, len(data)
         cut = np.zeros(n + 1, bool)
         if n > 2:
             before, here, after = data[:-2], data[1:-1], data[2:]
             plain = (data > 32) & (data < 127)
-            letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+            letter = _letters(data)
             # before a space that stands alone between two visible characters; white space beyond ASCII ends in or starts
             # with an odd byte, and there is no cut beside one
             solid = (data > 32) & (data != 127) & ~_ODD[data]
@@ -80,10 +145,9 @@ class TextTokenizer:
             return np.zeros(0, np.uint16), np.zeros(rows + 1, np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data))
         coded = pieces.dictionary_encode()
-        number = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        ends = self.ends[:self.count]
-        begins = np.concatenate([[0], ends[:-1]])
-        sizes = (ends - begins)[number]
+        number = self._learn(coded.dictionary)[coded.indices.to_numpy()]
+        begins = np.concatenate([[0], self.ends[:-1]])
+        sizes = (self.ends - begins)[number]
         stops = np.cumsum(sizes)
         step = np.repeat(begins[number] - (stops - sizes), sizes) + np.arange(int(stops[-1]))
         at = np.searchsorted(edges, bounds)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from pyspark.taskcontext import TaskContext
 
 from barloom.llm.bytescan import slices
-from barloom.llm.tokens import TextTokenizer
+from barloom.llm.tokens import tokenizer_of
 
 BITS = 16                  # ids are below 65536
 BLOCK = 512                # bits between two entries of a rank directory
@@ -134,7 +134,7 @@ def write_token_shards(positions: DataFrame, path: str, tokenizer: str, *, key:
                         T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("matrix", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, shard, start = TextTokenizer(tokenizer), TaskContext.get().partitionId(), 0, 0
+        coder, part, shard, start = tokenizer_of(tokenizer), TaskContext.get().partitionId(), 0, 0
         keys, lengths, ids = [], [], []
 
         def close(kinds: pa.DataType) -> pa.RecordBatch:
