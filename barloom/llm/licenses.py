@@ -54,7 +54,7 @@ def _phrase_columns(text: Column, n_words: Column) -> dict[str, Column]:
         pieces = F.split(spaced, "".join(f" {w} " for w in parts), -1)
         count = lambda piece: F.regexp_count(piece, F.lit("[^ ]+"))
         found = F.size(pieces) - 1
-        out[f"p{i}"] = F.when(maybe, F.when(found > 0, F.struct(
+        out[f"phrase{i}_"] = F.when(maybe, F.when(found > 0, F.struct(
             found.alias("n"), count(F.element_at(pieces, 1)).alias("first"),
             (n_words - count(F.element_at(pieces, -1)) - len(parts)).alias("last"))))
     return out

@@ -165,14 +165,14 @@ def dedup_lines(positions: DataFrame, *, key: str = "position_id", note: str = "
                                               pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=out.names)
 
     cuts = (both.mapInArrow(run, out).groupBy("key_", "sig_")
-            .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("cuts")))    # bounded by the note's lines
+            .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("cuts_")))    # bounded by the note's lines
     split = F.split(note, "\n", -1)
-    gone = lambda i: F.exists("cuts", lambda c: (c["first"] <= i) & (i <= c["last"]))
+    gone = lambda i: F.exists("cuts_", lambda c: (c["first"] <= i) & (i <= c["last"]))
     kept = F.filter(split, lambda x, i: ~gone(i))
     n_lines = F.coalesce(F.when(F.col(note).isNull(), 0).otherwise(F.size(split)), F.lit(0)).cast("long")
     given = positions.drop("n_lines", "n_removed")
     cut = given.withColumn("hash_", F.xxhash64(note)).join(cuts, (F.col(key) == F.col("key_")) & (F.col("hash_") == F.col("sig_")), "left")
-    cut = cut.withColumn("kept_", F.when(F.col("cuts").isNotNull(), kept))
-    text = F.when(F.col("cuts").isNotNull(), F.array_join("kept_", "\n")).otherwise(F.col(note))
+    cut = cut.withColumn("kept_", F.when(F.col("cuts_").isNotNull(), kept))
+    text = F.when(F.col("cuts_").isNotNull(), F.array_join("kept_", "\n")).otherwise(F.col(note))
     return cut.select(*[text.alias(c) if c == note else F.col(c) for c in given.columns], n_lines.alias("n_lines"),
                       F.coalesce(n_lines - F.size("kept_"), F.lit(0)).cast("long").alias("n_removed"))

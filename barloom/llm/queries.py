@@ -12,6 +12,7 @@ from barloom.llm.packing import Limits, pack_notes
 from barloom.llm.personal import find_personal
 from barloom.llm.quality import fit_quality, judge_notes
 from barloom.llm.sharding import balanced_shards
+from barloom.llm.suffixes import cut_repeats
 from barloom.llm.wavelet import read_token_shards, write_token_shards
 from barloom.session import scratch_path
 
@@ -60,6 +61,11 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "labels").withColumnRenamed("doc_id", "position_id")
 
 
+def op5_suffix_family(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_repeats(notes(spark, folder).select("position_id", "note")).select(
+        F.col("position_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_signature_tree(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(notes(spark, folder), words=4, percent=85).select(
         F.col("position_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -99,6 +105,6 @@ def packed(given: DataFrame) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_label_propagation, op2_patience_lines, op3_wavelet_matrix, op4_likelihood_ratio, op6_signature_tree,
+    op1_label_propagation, op2_patience_lines, op3_wavelet_matrix, op4_likelihood_ratio, op5_suffix_family, op6_signature_tree,
     op7_license_join, op8_weak_labels, op9_vector_packing, op10_block_max_bm25)}
 SQL: dict[str, str] = {}
