@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.taskcontext import TaskContext
 
 from barloom.llm.bytescan import slices
-from barloom.llm.tokens import tokenizer_of
+from barloom.llm.tokens import SLICE, tokenizer_of
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,7 @@ def pack_notes(positions: DataFrame, tokenizer: str, *, key: str = "position_id"
         kinds = None
         for batch in batches:
             kinds = batch.column(0).type
-            for lo, hi, _, _ in slices(batch.column(2)):
+            for lo, hi, _, _ in slices(batch.column(2), SLICE):
                 keys = batch.column(0).slice(lo, hi - lo).to_pylist()
                 ids, ends = coder.encode(batch.column(2).slice(lo, hi - lo))
                 head, cuts = coder.encode(batch.column(1).slice(lo, hi - lo)) if prompt else (ids[:0], np.zeros(hi - lo + 1, int))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from pyspark.taskcontext import TaskContext
 
 from barloom.llm.bytescan import slices
-from barloom.llm.tokens import tokenizer_of
+from barloom.llm.tokens import SLICE, tokenizer_of
 
 BITS = 16                  # ids are below 65536
 BLOCK = 512                # bits between two entries of a rank directory
@@ -148,7 +148,7 @@ def write_token_shards(positions: DataFrame, path: str, tokenizer: str, *, key:
         kinds, held, end = None, 0, np.array([end_id], np.uint16)
         for batch in batches:
             kinds = batch.column(0).type
-            for lo, hi, _, _ in slices(batch.column(1)):
+            for lo, hi, _, _ in slices(batch.column(1), SLICE):
                 made, cuts = coder.encode(batch.column(1).slice(lo, hi - lo))
                 for r, k in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
                     ids += [made[cuts[r]:cuts[r + 1]], end]
