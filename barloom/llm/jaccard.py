@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from barloom.llm.bytescan import LOWER, Words, mix, slices
 from barloom.llm.joins import salted_join
-from barloom.session import materialize
+from barloom.session import discard, materialize, release
 
 HOT_COUNT, HOT_KEYS = 256, 50_000   # a probe of more notes is put last in the order of shingles; at most so many are
 BLOCK = 2048                        # members of a probe's group that one task compares with as many others
+BASKET_ROWS = 4000                  # rows of groups that a task takes together
+SMALL = 4                           # members of a group that are compared without a tree
 LEAF, FAN = 8, 8                    # members of a leaf and children of a node of a signature tree
 FIRST_LINKS = 64                    # candidates between two components in a group, in the first round; 16 times more in the next
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
@@ -152,9 +154,11 @@ def components(edges: DataFrame) -> DataFrame:
                .groupBy("c").agg(F.min("label").alias("label")))
         new = materialize(new.join(state.select("c", F.col("label").alias("old")), "c"), "components")
         changed = new.filter("label <> old").limit(1).count()
-        state = new.drop("old")
+        discard(state)
         if not changed:
-            return state
+            discard(both)
+            return new
+        state = new
 
 
 class JaccardJoin:
@@ -208,7 +212,7 @@ class JaccardJoin:
     def fetch_sets(self, wanted: DataFrame, keys: DataFrame) -> DataFrame:
         """(c, members) of the sets in `wanted` (c), made again from the text of one note of each."""
         words = self.words
-        some = keys.join(wanted.distinct(), "c").select("key").distinct()
+        some = materialize(keys.join(wanted.distinct(), "c").select("key").distinct(), "wanted")    # stored: a small one is broadcast
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -216,7 +220,9 @@ class JaccardJoin:
                     yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()),
                                                       pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "members"])
         made = self.given.join(some, "key", "left_semi").select("note").mapInArrow(run, "c binary, members binary")
-        return materialize(made.dropDuplicates(["c"]), "sets")
+        sets = materialize(made.dropDuplicates(["c"]), "sets")
+        discard(some)
+        return sets
 
     def verified(self, pairs: DataFrame, keys: DataFrame) -> DataFrame:
         """The pairs (c, d) whose sets overlap enough."""
@@ -234,16 +240,19 @@ class JaccardJoin:
                     overlap = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
                     good.append(can_link(len(a), len(b), overlap, percent))
                 yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-        return materialize(both.mapInArrow(run, "c binary, d binary"), "links")
+        links = materialize(both.mapInArrow(run, "c binary, d binary"), "links")
+        discard(sets)
+        return links
 
     def first_pairs(self, members: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs (c, hub) of every member of a group with the group's hub that sizes and bitmaps allow."""
+        """Pairs (c, d) of every member of a group with the group's hub that sizes and bitmaps allow."""
         percent = self.percent
-        pairs = members.filter("c <> hub").select("c", F.col("hub").alias("d")).distinct()
-        left = pairs.join(classes.select("c", "n", "bits"), "c")
-        right = classes.select(F.col("c").alias("d"), F.col("n").alias("m"), F.col("bits").alias("others"))
-        both = salted_join(left, right, ["d"], F.xxhash64("c"))
-        near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+        pairs = materialize(members.filter("h <> hub").filter(near).select("h", "hub").distinct(), "hubs")
+        left = pairs.join(classes.select("h", "c", "n", "bits"), "h")
+        right = materialize(classes.select(F.col("h").alias("hub"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("bits").alias("others"))
+                            .join(pairs.select("hub").distinct(), "hub", "left_semi"), "hubs")
+        both = left.join(right, "hub")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -251,54 +260,71 @@ class JaccardJoin:
                 good = [may_link(n[r], np.frombuffer(batch.column(4)[r].as_buffer(), np.uint8), m[r],
                                  np.frombuffer(batch.column(5)[r].as_buffer(), np.uint8), percent) for r in range(batch.num_rows)]
                 yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-        return both.filter(near).select("c", "d", "n", "m", "bits", "others").mapInArrow(run, "c binary, d binary")
+        return both.select("c", "d", "n", "m", "bits", "others").mapInArrow(run, "c binary, d binary")
 
     def cross_pairs(self, members: DataFrame, labels: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-        """(c, d, cut): pairs between components inside a group, its hub aside, found by the group's signature tree; `cut` marks
-        groups where two components had more than `most` candidates."""
+        """(probe, c, d): pairs between components inside a group, its hub aside, found by the group's signature tree. A row without
+        a pair says that two components of the group had more than `most` candidates."""
         percent = self.percent
-        named = members.filter("c <> hub").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        ends = labels.join(classes.select("c", "h"), "c").select("h", F.xxhash64("label").alias("label"))
+        named = members.filter("h <> hub and size > 2").join(ends, "h", "left").select("probe", "h", F.coalesce("label", "h").alias("label"))
         open_ = (named.groupBy("probe").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
-                 .filter("lo <> hi").select("probe", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-        rows = salted_join(named.select("probe", "c", "label"), open_, ["probe"], F.xxhash64("c"))
+                 .filter("lo <> hi").select("probe", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+        open_ = materialize(open_, "open")
+        total = open_.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
+        baskets = max(64, total // BASKET_ROWS)
+        rows = named.join(open_.select("probe", "blocks"), "probe").join(classes.select("h", "c", "n", "bits"), "h")
         rows = (rows.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
-        rows = rows.join(classes.select("c", "n", "bits"), "c").select("probe", "i", "j", "own", "c", "label", "n", "bits")
+                .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+                .withColumn("basket", F.pmod(F.xxhash64("probe", "i", "j"), F.lit(baskets)).cast("int")))
+        rows = rows.select("basket", "probe", "i", "j", "own", "c", "label", "n", "bits")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(list(batches))
+        def run(table: pa.Table) -> pa.Table:
             groups = defaultdict(list)
-            columns = [table.column(c).to_pylist() for c in ("probe", "i", "j")]
-            for r, g in enumerate(zip(*columns)):
+            for r, g in enumerate(zip(*(table.column(c).to_pylist() for c in ("probe", "i", "j")))):
                 groups[g].append(r)
-            c, label, n, bits, own = (table.column(x).to_pylist() for x in ("c", "label", "n", "bits", "own"))
-            out = set()
-            for (_, i, j), some in groups.items():
-                some.sort(key=lambda r: (n[r], label[r], c[r]))
-                size = min(len(bits[r]) for r in some)
-                names = {x: k for k, x in enumerate(dict.fromkeys(label[r] for r in some))}
-                tree = SignatureTree(np.array([n[r] for r in some]),
-                                     np.stack([fold(np.frombuffer(bits[r], np.uint8), size) for r in some]),
-                                     np.array([names[label[r]] for r in some]))
-                seen: dict[tuple, int] = {}
-
-                def ask(p, q):
-                    if i != j and own[some[p]] == own[some[q]]:
-                        return False
-                    x, y = names[label[some[p]]], names[label[some[q]]]
-                    ends = (x, y) if x < y else (y, x)
-                    seen[ends] = seen.get(ends, 0) + 1
-                    return seen[ends] <= most
-                found = list(tree.pairs(percent, ask))
-                cut = any(v > most for v in seen.values())
-                out.update((*sorted((c[some[p]], c[some[q]])), cut) for p, q in found)
-            rows_ = sorted(out)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.binary()), pa.array([r[1] for r in rows_], pa.binary()),
-                                              pa.array([r[2] for r in rows_], pa.bool_())], names=["c", "d", "cut"])
-        return (rows.groupBy("probe", "i", "j").applyInArrow(lambda t: pa.Table.from_batches(list(run(iter(t.to_batches())))),
-                                                             "c binary, d binary, cut boolean")
-                .groupBy("c", "d").agg(F.max("cut").alias("cut")))
+            c, label, n, own = (table.column(x).to_pylist() for x in ("c", "label", "n", "own"))
+            bits = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
+            near = lambda a, b: 100 * min(n[a], n[b]) >= percent * max(n[a], n[b]) and may_link(n[a], bits[a], n[b], bits[b], percent)
+            pairs, cuts = set(), set()
+            for (probe, i, j), some in groups.items():
+                apart = lambda a, b: label[a] != label[b] and (i == j or own[a] != own[b])
+                if len(some) <= SMALL:
+                    found = [(a, b) for x, a in enumerate(some) for b in some[:x] if apart(a, b) and near(a, b)]
+                else:
+                    found, cut = search_group(some, n, bits, label, c, percent, apart, most)
+                    if cut:
+                        cuts.add(probe)
+                pairs.update((min(c[a], c[b]), max(c[a], c[b])) for a, b in found)
+            listed = sorted(pairs)
+            return pa.table({"probe": pa.array([None] * len(listed) + sorted(cuts), pa.int64()),
+                             "c": pa.array([p[0] for p in listed] + [None] * len(cuts), pa.binary()),
+                             "d": pa.array([p[1] for p in listed] + [None] * len(cuts), pa.binary())})
+
+        return rows.groupBy("basket").applyInArrow(run, "probe long, c binary, d binary").distinct()
+
+
+def search_group(some: list[int], n: list, bits: list, label: list, c: list, percent: int, apart, most: int) -> tuple[list, bool]:
+    """Candidate pairs of a group by its signature tree, `most` at most between two components; whether there were more."""
+    some = sorted(some, key=lambda r: (n[r], label[r], c[r]))
+    size = min(len(bits[r]) for r in some)
+    names = {x: k for k, x in enumerate(dict.fromkeys(label[r] for r in some))}
+    tree = SignatureTree(np.array([n[r] for r in some]), np.stack([fold(bits[r], size) for r in some]),
+                         np.array([names[label[r]] for r in some]))
+    seen: dict[tuple, int] = {}
+
+    def ask(p: int, q: int) -> bool:
+        a, b = some[p], some[q]
+        if not apart(a, b):
+            return False
+        if len(bits[a]) > size < len(bits[b]) and not may_link(n[a], bits[a], n[b], bits[b], percent):    # the tree saw shortened bitmaps
+            return False
+        ends = tuple(sorted((names[label[a]], names[label[b]])))
+        seen[ends] = seen.get(ends, 0) + 1
+        return seen[ends] <= most
+    found = [(some[p], some[q]) for p, q in tree.pairs(percent, ask)]
+    return found, any(v > most for v in seen.values())
 
 
 def near_duplicates(positions: DataFrame, *, key: str = "position_id", note: str = "note", words: int = 5,
@@ -324,25 +350,38 @@ def near_duplicates(positions: DataFrame, *, key: str = "position_id", note: str
         "key", "c", F.coalesce("rep", "key").alias("rep"))
     named = materialize(named, "classes")
     reps = named.filter("key = rep").select("c", "key").distinct()
-    classes = materialize(live.join(reps, ["c", "key"]).select("c", "key", "n", "bits", "probes").dropDuplicates(["c"]), "reps")
-    probes = classes.select(F.explode("probes").alias("probe"), "c")
-    groups = probes.groupBy("probe").agg(F.min("c").alias("hub"), F.max("c").alias("last")).filter("hub <> last").select("probe", "hub")
-    members = materialize(salted_join(probes, groups, ["probe"], F.xxhash64("c")).select("probe", "c", "hub"), "groups")
+    # h: half of a set's id. Two sets with one h would only be candidates together, as a row stands for both from here on
+    classes = live.join(reps, ["c", "key"]).select("c", "key", "n", "bits", "probes").dropDuplicates(["c"])
+    classes = materialize(classes.withColumn("h", F.conv(F.hex(F.substring("c", 2, 7)), 16, 10).cast("long")), "reps")
+    probes = classes.select(F.explode("probes").alias("probe"), "h", F.col("n").cast("int").alias("n"))
+    groups = probes.groupBy("probe").agg(F.min(F.struct("h", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    groups = materialize(groups.select("probe", "hub.h", "hub.n", "size").toDF("probe", "hub", "hub_n", "size"), "probes")
+    members = materialize(probes.join(groups, "probe"), "groups")
+    discard(groups)
+    release(positions.sparkSession)
     keys = classes.select("c", "key")
 
-    links = join.verified(materialize(join.first_pairs(members, classes), "pairs"), keys)
+    pairs = materialize(join.first_pairs(members, classes), "pairs")
+    links = join.verified(pairs, keys)
+    discard(pairs)
     labels = components(links)
-    most = FIRST_LINKS
+    most, left = FIRST_LINKS, members
     while True:
-        pairs = materialize(join.cross_pairs(members, labels, classes, most), "pairs")
-        if not pairs.limit(1).count():
-            break
-        found = join.verified(pairs.select("c", "d"), keys)
-        links = materialize(links.unionByName(found), "links")
+        release(positions.sparkSession)
+        pairs = materialize(join.cross_pairs(left, labels.select("c", "label"), classes, most), "pairs")
+        found = join.verified(pairs.filter("c is not null").select("c", "d"), keys)
+        old, links = links, materialize(links.unionByName(found), "links")
+        discard(old, found, labels)
         labels = components(links)
-        if not pairs.filter("cut").limit(1).count():
+        cut = pairs.filter("c is null").select("probe")
+        if not cut.limit(1).count():
             break
+        # only groups whose candidates were cut are searched again; the others have sent all of theirs
+        left = materialize(members.join(cut, "probe", "left_semi"), "groups")
+        discard(pairs)
         most *= 16
+    discard(pairs, members)
+    labels = labels.select("c", "label")
     ends = labels.join(classes.select("c", "key"), "c").groupBy("label").agg(F.min("key").alias("end"))
     ends = labels.join(ends, "label").select("c", "end")
     whole = salted_join(named, ends, ["c"], F.xxhash64("key"), "left").select(

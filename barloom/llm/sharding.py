@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.llm.joins import salted_join
-from barloom.session import materialize
+from barloom.session import discard, materialize
 
 CELLS = 64            # hash cells of the movers between two shards; a cell moves whole or not at all
 SLACK = 0.10          # room over a shard's quota while labels move
@@ -57,7 +57,8 @@ def balanced_shards(positions: DataFrame, shards: int = 40, *, hubs: tuple[str,
                       F.pmod(F.xxhash64("row_"), F.lit(shards)).cast("int").alias("shard")))
     state = materialize(linked, "labels")
     for step in range(ROUNDS):
-        state = materialize(_round(state, quota, shards, step), "labels")
+        old, state = state, materialize(_round(state, quota, shards, step), "labels")
+        discard(old)
         if not state.filter("moved").limit(1).count():
             break
     return _fill(positions, state, quota, total).drop("row_")

@@ -182,7 +182,7 @@ def test_likelihood_ratio_tells_junk_from_trusted(spark):
 def test_runs_cover_windows_once():
     data = np.frombuffer(("abcdefghij" * 30 + "the quick brown fox " * 8).encode(), np.uint8)
     bounds = np.array([0, 130, 130, 179, 300, len(data)])
-    _, first, last = cut_runs(data, bounds)
+    _, first, last, _ = cut_runs(data, bounds)
     windows = sorted(w for a, b in zip(first, last) for w in range(a, b + 1))
     assert windows == [w for a, b in zip(bounds[:-1], bounds[1:]) for w in range(a, b - 49)]
 
@@ -231,7 +231,7 @@ def test_near_duplicates_equal_brute_force(positions, rows, nothing, odd, words,
 def test_near_duplicates_with_small_bounds(spark, monkeypatch):
     """Hot probes, split groups and cut rounds change no result."""
     from barloom.llm import jaccard
-    for name, value in (("HOT_COUNT", 3), ("BLOCK", 4), ("FIRST_LINKS", 1)):
+    for name, value in (("HOT_COUNT", 3), ("BLOCK", 4), ("FIRST_LINKS", 1), ("SMALL", 2)):
         monkeypatch.setattr(jaccard, name, value)
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(60)]
