@@ -36,12 +36,12 @@ def at(x: Column | str, k: int, *keys: str) -> Column:
 # ---- rolling figures from running sums ---------------------------------------------------------
 # A sliding frame visits every row of the frame for every row. Running sums visit each row once, and a
 # rolling figure is the difference of two of them. Values are taken relative to the entity's first
-# one, which keeps the squares small; a spread below the rounding of those sums counts as none.
-FLAT = 1e-10
+# one, which keeps the sums small. Spreads are not taken from sums, where a small one would be lost in rounding: their windows
+# are short, so their sliding frames are cheap and exact.
 
 
 def prefix(d: DataFrame, *cols: str) -> DataFrame:
-    """Adds running count, sum and sum of squares of columns of a grid without holes."""
+    """Adds running count and sum of columns of a grid without holes."""
     need = [c for c in cols if f"_c_{c}" not in d.columns]
     if not need:
         return d
@@ -52,7 +52,6 @@ def prefix(d: DataFrame, *cols: str) -> DataFrame:
         x = F.col(c) - F.col(f"_k_{c}")
         made[f"_c_{c}"] = F.count(c).over(w)
         made[f"_s_{c}"] = F.coalesce(F.sum(x).over(w), F.lit(0.0))
-        made[f"_q_{c}"] = F.coalesce(F.sum(x * x).over(w), F.lit(0.0))
     return d.withColumns(made)
 
 
@@ -67,7 +66,6 @@ def roll_mean(c: str, n: int, least: int) -> Column:
 
 
 def roll_std(c: str, n: int, least: int) -> Column:
-    """Sample standard deviation."""
-    m, s, q = (_part(k, c, n) for k in "csq")
-    var = (q - s * s / m) / (m - 1)
-    return F.when(m >= max(least, 2), F.when(var > FLAT * q / m, F.sqrt(var)).otherwise(0.0))
+    """Sample standard deviation of the last n rows."""
+    w = by_ticker().rowsBetween(-(n - 1), 0)
+    return F.when(F.count(c).over(w) >= max(least, 2), F.stddev_samp(c).over(w))

@@ -16,13 +16,6 @@ from barloom.session import materialize
 
 WINDOW_LIMIT = 2_000_000
 SLICE_ROWS = 500_000
-MAX_SLICES = 2_048
-
-
-def slices_for(bound: int | None) -> int:
-    if bound is None:
-        return 64
-    return max(2, min(MAX_SLICES, -(-bound // SLICE_ROWS)))
 
 
 def _peers(by: list[str], value: str):
@@ -37,11 +30,15 @@ def rank_expr(by: list[str], value: str) -> tuple[Column, Column]:
     return F.when(F.col(value).isNotNull(), (F.rank().over(w) + upto) / 2), total
 
 
-def ladder(df: DataFrame, by: list[str], value: str, slices: int = 64) -> DataFrame:
-    """One row per (group, distinct value): `cnt`, `below` (rows with a smaller value), `total`."""
+def ladder(df: DataFrame, by: list[str], value: str, slices: int | None = None) -> DataFrame:
+    """One row per (group, distinct value): `cnt`, `below` (rows with a smaller value), `total`. Without `slices` the largest
+    group's distinct values are counted and cut so that a slice holds about SLICE_ROWS of them, however many there are."""
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
               .agg(F.count(F.lit(1)).alias("cnt")))
     counts = materialize(counts, "values")      # read for the cuts and for the slices
+    if slices is None:
+        largest = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+        slices = max(2, -(-largest // SLICE_ROWS))
     probs = [i / slices for i in range(1, slices)]
     cuts = counts.groupBy(*by).agg(
         F.percentile_approx(value, probs, F.lit(max(1000, 20 * slices))).alias("_cuts"))
@@ -77,7 +74,7 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str, count_out:
         r, n = rank_expr(by, value)
         return df.withColumn(out, r).withColumn(count_out, n)
     df = materialize(df, "unranked")            # read for the values and for the result
-    steps = ladder(df, by, value, slices or slices_for(bound))
+    steps = ladder(df, by, value, slices)
     look = steps.select(*[F.col(b).alias(f"_{b}") for b in by], F.col(value).alias("_v"),
                         (F.col("below") + (F.col("cnt") + 1) / 2).alias(out))
     cond = F.col(value) == F.col("_v")
@@ -98,7 +95,7 @@ def percent_rank(df: DataFrame, by: list[str], value: str, out: str, bound: int
 
 
 def exact_quantile(df: DataFrame, by: list[str], value: str, q: float, out: str,
-                   slices: int = 64) -> DataFrame:
+                   slices: int | None = None) -> DataFrame:
     """Linear-interpolated quantile of each group, exact, without gathering the group."""
     pos = F.lit(q) * (F.col("total") - 1)
     steps = ladder(df, by, value, slices).withColumn("_p", pos)

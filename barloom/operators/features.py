@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.config import FeatureConfig
@@ -217,7 +216,7 @@ def raw_features(panel: DataFrame, cfg: FeatureConfig, cols: list[str] | None =
     d = prefix(d, *needs)
     made = {k: c for s in plain for k, c in s.exprs(cfg).items()}
     d = d.withColumns(made | {"_chg21": change(21)})
-    d = d.drop(*[f"_{k}_{c}" for k in "kcsq" for c in needs if c != "ret1"], "ldv", "impact", "rng", "dv", "volume", "open", "high", "low")
+    d = d.drop(*[f"_{k}_{c}" for k in "kcs" for c in needs if c != "ret1"], "ldv", "impact", "rng", "dv", "volume", "open", "high", "low")
     for s in stages:
         if s not in plain and s is not smoothed:
             d = s(d, cfg)
@@ -225,27 +224,10 @@ def raw_features(panel: DataFrame, cfg: FeatureConfig, cols: list[str] | None =
     return d.select("date", "ticker", *[finite(F.col(c)).alias(c) for c in cols])
 
 
-MATRIX_NAMES = 50_000      # names a date whose whole feature matrix fits a task many times over
-
-
-def _rank_matrix(d: DataFrame, cols: list[str], min_names: int) -> DataFrame:
-    """One shuffle into `date` groups of bounded size instead of one sort for each column."""
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        m = rows[cols]
-        r = m.rank(pct=True) - 0.5
-        r.loc[:, m.notna().sum() < min_names] = float("nan")
-        rows[cols] = r
-        return rows
-    z = d.groupBy("date").applyInPandas(block, d.schema)
-    return z.select(*[finite(F.col(c)).alias(c) if c in cols else F.col(c) for c in z.columns])
-
-
 def rank_features(d: DataFrame, cols: list[str], min_names: int, bound: int | None = None) -> DataFrame:
     """Every column to its percentile in the date less one half, NULL on thin dates. The ranks run
-    over all names of the date, held or not. Small dates are ranked as one matrix a date, larger ones
-    with a window a column, unbounded ones with the ladder; all three give the same numbers."""
-    if bound is not None and bound <= MATRIX_NAMES:
-        return _rank_matrix(d, cols, min_names)
+    over all names of the date, held or not: with a window a column where the caller can bound the names of a date, else
+    with the ladder; both give the same numbers."""
     if bound is not None and bound <= ladder.WINDOW_LIMIT:
         made = {}
         for c in cols:

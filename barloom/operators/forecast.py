@@ -116,7 +116,7 @@ def trend_fit(bars: DataFrame, horizon: int, lookback: int = 60) -> DataFrame:
                     F.when(ok, end).alias("end_price"))
 
 
-def trend_skill(bars: DataFrame, horizon: int, lookback: int = 60, slices: int = 64) -> DataFrame:
+def trend_skill(bars: DataFrame, horizon: int, lookback: int = 60, slices: int | None = None) -> DataFrame:
     """Pooled rank correlation of trailing slope and forward return, over all rows. Both ranks come from
     the distributed ladder: the pool is never in one task."""
     y = F.when(F.col("close") > 0, F.ln("close"))

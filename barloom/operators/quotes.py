@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.nums import positive, ratio
 
-# Range name -> (bar in minutes, days shown; None = everything).
-RANGES = {"1d": (1, 0), "3d": (5, 3), "5d": (5, 5), "1mo": (60, 31), "3mo": (1440, 92), "6mo": (1440, 183),
-          "ytd": (1440, 366), "1y": (1440, 366), "max": (10080, None)}
+# Range name -> (bar in minutes, what is shown up to the last bar: a number of days or calendar months, the
+# bar's own day or year, or everything).
+RANGES = {"1d": (1, "day"), "3d": (5, "3 days"), "5d": (5, "5 days"), "1mo": (60, "1 month"), "3mo": (1440, "3 months"),
+          "6mo": (1440, "6 months"), "ytd": (1440, "year"), "1y": (1440, "12 months"), "max": (10080, "all")}
 
 
 def quote_change(bars: DataFrame) -> DataFrame:
@@ -47,14 +48,14 @@ def range_slice(ticks: DataFrame, name: str) -> DataFrame:
     """Bars of one named range up to the ticker's last bar, with the range's change."""
     if name not in RANGES:
         raise ValueError(f"unknown range {name!r}, choose from {sorted(RANGES)}")
-    minutes, days = RANGES[name]
+    minutes, shown = RANGES[name]
     bars = tick_bars(ticks, minutes)
     last = bars.groupBy("ticker").agg(F.max("bar").alias("_last"))
     d = bars.join(last, "ticker")
-    if days == 0:
-        d = d.filter(F.col("bar").cast("date") == F.col("_last").cast("date"))
-    elif days is not None:
-        d = d.filter(F.col("bar") >= F.col("_last") - F.expr(f"interval {days} days"))
+    if shown in ("day", "year"):
+        d = d.filter(F.date_trunc(shown, "bar") == F.date_trunc(shown, "_last"))
+    elif shown != "all":
+        d = d.filter(F.col("bar") >= F.col("_last") - F.expr(f"interval {shown}"))
     ends = d.groupBy("ticker").agg(F.min_by("close", "bar").alias("_a"), F.max_by("close", "bar").alias("_b"),
                                    F.count(F.lit(1)).alias("points"))
     label = F.date_format("bar", "yyyy-MM-dd HH:mm" if minutes < 1440 else "yyyy-MM-dd")

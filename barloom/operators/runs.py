@@ -50,21 +50,25 @@ def latest_covering_run(ranks: DataFrame, runs: DataFrame, last: int = 5) -> Dat
     return pick.select("ticker", "_p.*")
 
 
-def find_runs(rows: DataFrame, ticker: str, limit: int = 5, recent: int = 25) -> DataFrame:
-    """The newest `limit` of the recent runs that cover a ticker, broadest first."""
-    u = run_universe(rows).orderBy(*newest_first()).limit(recent)
+PAGE, MATCHES = 5, 12       # fixed values: runs and tickers that a page shows
+
+
+def find_runs(rows: DataFrame, ticker: str, limit: int = PAGE) -> DataFrame:
+    """The newest `limit` of the runs that cover a ticker, broadest first."""
+    u = run_universe(rows)
     has = run_tickers(rows.filter(F.col("ticker") == ticker.strip().upper()))
     hit = u.join(has, "run", "left_semi").orderBy(*newest_first()).limit(limit)
     return hit.orderBy(F.col("universe").desc(), "run").select("run", "universe", "as_of")
 
 
-def search_runs(rows: DataFrame, text: str, exclude: str | None, limit: int = 12, recent: int = 25) -> DataFrame:
-    """Tickers containing `text`, each with the broadest run that has it; short names first."""
-    u = run_universe(rows).orderBy(*newest_first()).limit(recent)
+def search_runs(rows: DataFrame, text: str, exclude: str | None, limit: int = MATCHES) -> DataFrame:
+    """Tickers containing `text`, each with the broadest run that has it; short names first. All runs are searched, the page is
+    cut last."""
+    u = run_universe(rows)
     if exclude:
         u = u.filter(F.col("run") != exclude)
     hit = run_tickers(rows).filter(F.col("ticker").contains(text.strip().upper())).join(
-        F.broadcast(u.select("run", "universe", "as_of", "created")), "run")
+        u.select("run", "universe", "as_of", "created"), "run")
     best = hit.groupBy("ticker").agg(F.max_by(F.struct("run", "universe", "as_of"),
                                               F.struct("universe", "created", "run")).alias("_b"))
     return best.select("ticker", "_b.*").orderBy(F.length("ticker"), "ticker").limit(limit)

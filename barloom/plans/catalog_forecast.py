@@ -28,7 +28,7 @@ def ranked(t):
 
 
 def cal(t):
-    return t.keep("cal", lambda: fc.calibration_bins(ranked(t)))
+    return t.keep("cal", lambda: fc.check_enough(fc.calibration_bins(ranked(t))))
 
 
 CB = "model:s bin:i n:i mean:f std:f hit:f observations:i pooled_std:f"
@@ -36,7 +36,7 @@ CB = "model:s bin:i n:i mean:f std:f hit:f observations:i pooled_std:f"
 
 @query("calibration_bins", CB, with_(CAL, "select * from cb"))
 def _(t):
-    return fc.check_enough(cal(t))
+    return cal(t)
 
 
 @query("monotonicity", "model:s monotonicity:f spread:f", with_(CAL, """, r as (select model, bin, mean, rank() over (partition by model order by mean) +
@@ -122,7 +122,7 @@ def _(t):
   r as (select *, rank() over (order by slope) + (count(*) over (partition by slope) - 1) / 2.0 as rs, rank() over (order by fwd) + (count(*) over (partition by fwd) - 1) / 2.0 as rf from k)
   select count(*) as observations, corr(rs, rf) as ic, avg(case when (slope > 0) = (fwd > 0) then 1.0 else 0.0 end) as direction_accuracy, avg(case when fwd > 0 then 1.0 else 0.0 end) as base_rate_up from r"""))
 def _(t):
-    return fc.trend_skill(pn.with_sessions(t.weekly_bars()), H, slices=ladder.slices_for(t.bars_bound))
+    return fc.trend_skill(pn.with_sessions(t.weekly_bars()), H)
 
 
 @query("realised_vol", "ticker:s n:i vol:f", with_(PANEL, """, b as (select *, row_number() over (partition by ticker order by date desc) as b from panel),

@@ -38,7 +38,7 @@ def _(t):
     return ld.resolve_ledger(ledger(t), kept_scores(t, H))
 
 
-@query("ledger_scorecard", "model:s n:i logged:i resolved:i pending:i days:i ic:f ic_t:f", with_(LED, """, rs as (select l.*, s.fwd_ret as realised from led l left join sc s on s.date = l.date and s.ticker = l.ticker),
+SCORECARD = with_(LED, """, rs as (select l.*, s.fwd_ret as realised from led l left join sc s on s.date = l.date and s.ticker = l.ticker),
   lg as (select date, 'mom' as model, mom as score, realised from rs union all select date, 'rev', rev, realised from rs),
   dn as (select * from lg where realised is not null and score is not null),
   rk as (select *, rank() over (partition by date, model order by score) + (count(*) over (partition by date, model, score) - 1) / 2.0 as a,
@@ -46,7 +46,10 @@ def _(t):
   di as (select date, model, corr(a, b) as ic from rk group by date, model having count(*) >= 2)
   select n.model, n.n, (select count(*) from rs) as logged, (select count(realised) from rs) as resolved, (select count(*) - count(realised) from rs) as pending,
     d.days, d.ic, d.ic_t from (select model, count(*) as n from dn group by model) n
-    join (select model, count(*) as days, avg(ic) as ic, avg(ic) / stddev_samp(ic) * sqrt(count(*)) as ic_t from di group by model) d on d.model = n.model"""))
+    join (select model, count(*) as days, avg(ic) as ic, avg(ic) / stddev_samp(ic) * sqrt(count(*)) as ic_t from di group by model) d on d.model = n.model""")
+
+
+@query("ledger_scorecard", "model:s n:i logged:i resolved:i pending:i days:i ic:f ic_t:f", SCORECARD)
 def _(t):
     return ld.ledger_scorecard(ld.resolve_ledger(ledger(t), kept_scores(t, H)), ["mom", "rev"], t.names_bound)
 
@@ -117,7 +120,7 @@ def _(t):
     return st.update_log(o, 200, "at_")
 
 
-@query("daily_update", "model:s n:i logged:i resolved:i pending:i ic:f")
+@query("daily_update", "model:s n:i logged:i resolved:i pending:i ic:f", f"select model, n, logged, resolved, pending, ic from ({SCORECARD}) as d_")
 def _(t):
     """One nightly cycle on the score models: log the newest forecasts, resolve, score."""
     d = ld.ledger_scorecard(ld.resolve_ledger(ledger(t), kept_scores(t, H)), ["mom", "rev"], t.names_bound)

@@ -10,23 +10,26 @@ from barloom.config import FeatureConfig, LabelConfig, ModelConfig, weekly
 from barloom.operators import features as ft, labels as lb, ledger as ld, metrics as mt, models as md
 from barloom.operators.panel import with_sessions
 from barloom.plans.catalog_books import BOOK, H, SIG
-from barloom.plans.catalog_features import LOWH
+from barloom.plans.catalog_features import FEATS, LABELS, LOWH
+from barloom.plans.catalog_panel import UNI, UNIV
+from barloom.plans.datasets import prepare_dataset
 from barloom.plans.registry import query
-from barloom.plans.sqlparts import with_
+from barloom.plans.sqlparts import GRID, PANEL, with_
 from barloom.sources.signals import kept_scores
 
 CFG = FeatureConfig()
-COLS = ["ret_1d", "ret_5d", "ret_10d", "ret_21d", "vol_21d", "range_5d", "close_loc", "bollinger_pctb", "vol_trend"]
-STAGES = (ft.momentum, ft.volatility, ft.range_5d, ft.intraday_shape, ft.bollinger, ft.volume_trend)
+COLS = ft.names(CFG)
+# Few and shallow trees: the weekly panel of the fixtures has a hundredth of the rows that the defaults are meant for.
 QUICK = ModelConfig(gbt_trees=8, gbt_step=0.1, gbt_depth=4, gbt_min_child=50)
-SPLITS = weekly().splits
+RUN = replace(weekly(), data=UNI)
+SPLITS = RUN.splits
 
 
 def frame(t):
     """Ranked features with labels and the low-day class, on own bars; stored once a query."""
     def make():
-        bars = t.weekly_bars()
-        f = ft.rank_features(ft.raw_features(bars, CFG, COLS, STAGES), COLS, 20, t.names_bound)
+        bars = t.keep("bars", t.weekly_bars)
+        f = ft.compute_features(bars, CFG, t.names_bound)
         lab = lb.build_labels(bars, LabelConfig(horizon=H), t.names_bound)
         low = lb.low_day(with_sessions(bars), LOWH).select("date", "ticker", "sid", "low_day")
         return f.join(lab, ["date", "ticker"]).join(low, ["date", "ticker"])
@@ -37,6 +40,28 @@ def walk(t, models=("ridge", "gbt"), features=None, d=None):
     return md.walk_forward(frame(t) if d is None else d, features or COLS, SPLITS, replace(QUICK, models=models), H)
 
 
+LIVE = " + ".join(f"(r.{c} is not null)::int" for c in COLS)
+
+
+@query("prepare_dataset", "date:d ticker:s fwd_ret:f ret_next_1d:f target:f close:f " + " ".join(f"{c}:f" for c in COLS), with_(
+    FEATS + UNIV[len(PANEL):] + LABELS[len(GRID):], f"""select r.date, r.ticker, l.fwd_ret, l.ret_next_1d, l.target, u.close, {', '.join('r.' + c for c in COLS)}
+  from ranked r join labels_w l on l.date = r.date and l.ticker = r.ticker join univ u on u.date = r.date and u.ticker = r.ticker
+  where u.tradable and ({LIVE}) / {len(COLS)}.0 >= 0.5""", True))
+def _(t):
+    return prepare_dataset(t.keep("bars", t.weekly_bars), RUN, t.names_bound)
+
+
+@query("evaluate_full", "model:s ic_mean:f ic_t_stat:f ic_days:i")
+def _(t):
+    """Universe, 33 features, labels, tradable rows, walk-forward of both models, ensemble and skill, end to end."""
+    d = t.keep("dataset", lambda: prepare_dataset(t.keep("bars", t.weekly_bars), RUN, t.names_bound))
+    cal = with_sessions(t.keep("bars", t.weekly_bars)).select("date", "sid", "n_sessions").distinct()
+    p = walk(t, d=d.join(cal, "date"))[0]
+    p = p.unionByName(ld.ensemble_zscore(p).withColumn("model", F.lit("ensemble")))
+    j = p.join(d.select("date", "ticker", "fwd_ret"), ["date", "ticker"])
+    return mt.ic_summary(mt.daily_ic(j, "score", "fwd_ret", 20, t.names_bound))
+
+
 SCORED = "model:s fold_dates:i rows_:i names:i"
 
 
@@ -62,7 +87,7 @@ def _(t):
 @query("model_registry", "model:s ic_mean:f ic_t_stat:f ic_days:i")
 def _(t):
     p = None
-    for name in ("ridge",):
+    for name in ("ridge", "gbt"):
         s = walk(t, (name,))[0]
         p = s if p is None else p.unionByName(s)
     j = p.join(frame(t).select("date", "ticker", "fwd_ret"), ["date", "ticker"])
@@ -99,7 +124,7 @@ def _(t):
 @query("causality_check", "feature:s rows_:i changed:i")
 def _(t):
     def make(panel):
-        return ft.rank_features(ft.raw_features(panel, CFG, COLS, STAGES), COLS, 20, t.names_bound)
+        return ft.compute_features(panel, CFG, t.names_bound)
     return md.causality_check(t.weekly_bars(), make, "1999-06-28", COLS)
 
 

@@ -300,13 +300,13 @@ def _(t):
     return rn.latest_covering_run(ranks.select("run", "date", "ticker", "rank"), rn.run_universe(rows))
 
 
-@query("find_runs", "run:s universe:i as_of:d", with_(RUNS, """, r25 as (select * from uni order by created desc, run desc limit 25)
+@query("find_runs", "run:s universe:i as_of:d", with_(RUNS, """, r25 as (select * from uni)
   select * from (select * from r25 where run in (select run from runs where ticker = 'S7') order by created desc, run desc limit 5) x_"""))
 def _(t):
     return rn.find_runs(t.keep("runs", lambda: run_rows(t)), "s7")
 
 
-@query("search_runs", "ticker:s run:s universe:i as_of:d", with_(RUNS, """, r25 as (select * from (select * from uni order by created desc, run desc limit 25) where run <> 'REGION_9'),
+@query("search_runs", "ticker:s run:s universe:i as_of:d", with_(RUNS, """, r25 as (select * from uni where run <> 'REGION_9'),
   b as (select r.ticker, u.run, u.universe, u.as_of, row_number() over (partition by r.ticker order by u.universe desc, u.created desc, u.run desc) as i
     from (select distinct run, ticker from runs where contains(ticker, '1')) r join r25 u on u.run = r.run)
   select * from b where i = 1 order by length(ticker), ticker limit 12"""))
@@ -475,8 +475,7 @@ def _(t):
     (select count(*) from pt where l < (select max(date) from panel)) as stale_tickers, median(close * volume) as median_dv from panel"""))
 def _(t):
     b = t.weekly_bars()
-    return qt.freshness(b, ladder.exact_quantile(qt.liquidity_value(b), [], "dv", 0.5, "median_dv",
-                                              ladder.slices_for(t.bars_bound)))
+    return qt.freshness(b, ladder.exact_quantile(qt.liquidity_value(b), [], "dv", 0.5, "median_dv"))
 
 
 # ---- currencies, quotes, clocks ----------------------------------------------------------------------
@@ -578,10 +577,12 @@ def _(t):
 
 
 def _range_sql(name: str) -> str:
-    minutes, days = qt.RANGES[name]
+    minutes = qt.RANGES[name][0]
     start = {1: "date_trunc('minute', ts)", 5: "time_bucket(interval 5 minute, ts)", 60: "date_trunc('hour', ts)",
              1440: "date_trunc('day', ts)", 10080: "date_trunc('week', ts)"}[minutes]
-    cut = ("cast(bar as date) = cast(last as date)" if days == 0 else "true" if days is None else f"bar >= last - interval {days} day")
+    cut = {"1d": "cast(bar as date) = cast(last as date)", "3d": "bar >= last - interval 3 day", "5d": "bar >= last - interval 5 day",
+           "1mo": "bar >= last - interval 1 month", "3mo": "bar >= last - interval 3 month", "6mo": "bar >= last - interval 6 month",
+           "ytd": "year(bar) = year(last)", "1y": "bar >= last - interval 1 year", "max": "true"}[name]
     fmt = "%Y-%m-%d %H:%M" if minutes < 1440 else "%Y-%m-%d"
     return f"""select ticker, '{name}' as range, strftime(bar, '{fmt}') as label, close, n as points, case when n > 1 then (b / a - 1) * 100 end as change_pct from (
       select *, arg_min(close, bar) over (partition by ticker) as a, arg_max(close, bar) over (partition by ticker) as b, count(*) over (partition by ticker) as n from (

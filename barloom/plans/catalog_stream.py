@@ -8,51 +8,65 @@ from barloom.operators import quotes as qt
 from barloom.plans.catalog_panel import ET, EV
 from barloom.plans.registry import query
 from barloom.plans.sqlparts import with_
+from barloom.session import scratch_path
 from barloom.streaming import ops, tables as tb
 
 OHLC = "ticker:s bar:t open:f high:f low:f close:f volume:f"
 AGG = "arg_min(px, (ts, event_id)) as open, max(px) as high, min(px) as low, arg_max(px, (ts, event_id)) as close, sum(size) as volume"
 
 
+FILES = 4
+LATE = "40 days"      # the files are in no time order and span a month: the lateness that this source guarantees
+
+
 def ticks(t):
-    return tb.tick_stream(t.spark, t.folder, "events.parquet")
+    """Events as a stream of several files, one a micro-batch, dealt by a hash and so in no time order."""
+    def make():
+        return t.table("events").repartition(FILES, F.xxhash64("event_id"))
+    if "event_files" not in t._kept:
+        path = scratch_path(t.spark, "event_files")
+        make().write.parquet(path)
+        t._kept["event_files"] = path
+    return tb.tick_stream(t.spark, t._kept["event_files"], files_per_batch=1)
 
 
 @query("stream_tick_bars", OHLC, with_(EV, f"select ticker, date_trunc('hour', ts) as bar, {AGG} from ev group by 1, 2"))
 def _(t):
-    return tb.run_update(ops.bars(ticks(t), "1 hour"), "bars", ["ticker", "bar"])
+    return tb.run_update(ops.bars(ticks(t), "1 hour", late=LATE), "bars", ["ticker", "bar"])
 
 
 @query("stream_sliding_bars", OHLC, with_(EV, f"""select ticker, bar, {AGG} from (select *, date_trunc('hour', ts) as bar from ev
   union all select *, date_trunc('hour', ts) - interval 1 hour from ev) x_ group by 1, 2"""))
 def _(t):
-    return tb.run_update(ops.bars(ticks(t), "2 hours", "1 hour"), "sliding", ["ticker", "bar"])
+    return tb.run_update(ops.bars(ticks(t), "2 hours", "1 hour", LATE), "sliding", ["ticker", "bar"])
 
 
 @query("stream_dedupe", "user_id:i ticker:s day:d", "select distinct user_id, event_type as ticker, cast(ts as date) as day from events where value > 0")
 def _(t):
     d = ticks(t).withColumn("day", ops.plain(F.col("ts")).cast("date"))
-    return tb.run_append(ops.dedupe(d, ["user_id", "ticker", "day"]).select("user_id", "ticker", "day"), "dedupe")
+    return tb.run_append(ops.dedupe(d, ["user_id", "ticker", "day"], LATE).select("user_id", "ticker", "day"), "dedupe")
 
 
 @query("stream_last_quote", "ticker:s price:f prev_close:f change_pct:f", with_(EV, """, q as (select ticker, close, row_number() over (partition by ticker order by date desc) as i from eday)
   select ticker, a as price, b as prev_close, (a / b - 1) * 100 as change_pct from (select ticker, max(case when i = 1 then close end) as a, max(case when i = 2 then close end) as b from q group by ticker) x_ where b is not null"""))
 def _(t):
-    return qt.quote_change(tb.run_update(ops.session_closes(ticks(t)), "closes", ["ticker", "date"]))
+    return qt.quote_change(tb.run_update(ops.session_closes(ticks(t), LATE), "closes", ["ticker", "date"]))
 
 
 @query("stream_limit_touch", "ticker:s date:d touched:t px:f", with_(EV, """, o as (select ticker, avg(px) * 0.2 as lim from ev group by ticker)
   select ticker, date, min(ts) as touched, arg_min(px, (ts, event_id)) as px from ev join o using (ticker) where px <= lim group by ticker, date"""))
 def _(t):
     orders = t.ticks().groupBy("ticker").agg((F.avg("px") * 0.2).alias("limit"))
-    return tb.run_update(ops.limit_touches(ticks(t), orders), "touch", ["ticker", "date"])
+    return tb.run_update(ops.limit_touches(ticks(t), orders, LATE), "touch", ["ticker", "date"])
 
 
-@query("stream_resolve_forecasts", "user_id:i day:d due:d known:b", """with e as (select distinct user_id, event_type, cast(ts as date) as day from events where value > 0)
-  select f.user_id, f.day, o.day as due, true as known from e f join e o on o.user_id = f.user_id and o.day = f.day + 1 where f.event_type = 'view' and o.event_type = 'purchase'""")
+@query("stream_resolve_forecasts", "user_id:i day:d due:d forecast:f outcome:f", """with e as (select user_id, event_type, cast(ts as date) as day, arg_min(value, (ts, event_id)) as px
+    from events where value > 0 group by 1, 2, 3)
+  select f.user_id, f.day, o.day as due, f.px as forecast, o.px as outcome from e f join e o on o.user_id = f.user_id and o.day = f.day + 1
+  where f.event_type = 'view' and o.event_type = 'purchase'""")
 def _(t):
-    d = ops.resolve_forecasts(ticks(t).filter("ticker = 'view'"), ticks(t).filter("ticker = 'purchase'"), 1)
-    return tb.run_append(d, "resolved").withColumn("known", F.col("forecast").isNotNull() & F.col("outcome").isNotNull())
+    first = lambda kind: tb.run_update(ops.first_of_day(ticks(t).filter(F.col("ticker") == kind), LATE), kind, ["user_id", "day"])
+    return ops.resolve_forecasts(first("view"), first("purchase"), 1)
 
 
 @query("stream_ledger_upsert", "user_id:i day:d id:i px:f", """select user_id, cast(ts as date) as day, arg_max(event_id, (ts, event_id)) as id, arg_max(value, (ts, event_id)) as px
@@ -70,7 +84,7 @@ def _(t):
 
 @query("stream_staleness", "ticker:s n:i lag_seconds:i", with_(EV, """select ticker, count(*) as n, cast(epoch(date_trunc('second', (select max(ts) from ev))) - epoch(date_trunc('second', max(ts))) as bigint) as lag_seconds from ev group by ticker"""))
 def _(t):
-    return ops.staleness(tb.run_update(ops.last_seen(ticks(t)), "seen", ["ticker"]))
+    return ops.staleness(tb.run_update(ops.last_seen(ticks(t), LATE), "seen", ["ticker"]))
 
 
 @query("stream_daily_update", "session:d attempts:i done:b done_at:t", with_(f"e as (select *, {ET} as et from events where value > 0)", """, k as (select *, cast(et as date) as session, row_number() over (partition by cast(et as date) order by ts, event_id) as i from e

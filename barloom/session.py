@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,13 +48,46 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/barloom-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back, so that several consumers scan a
     columnar table instead of repeating the plan. Survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `materialize` made and that no later plan reads: the old state of a loop, for example."""
+    for t in tables:
+        path = getattr(t, "_scratch", None)
+        if path:
+            _delete(t.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the cleaner delete the shuffle files of finished plans now. It acts on collected references, and a driver with
+    little to do may not collect for half an hour."""
+    for _ in range(2):      # what the first pass frees refers to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)     # the cleaner works in the background
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes everything this application has materialized. Call it when the results that read it have been written."""
+    _delete(spark, _scratch_root(spark))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.operators.panel import keep_last
@@ -23,8 +24,10 @@ def read_snapshot(spark: SparkSession, root: str, key: str, now: str, max_age_ho
     """Rows of the newest snapshot young enough, or None. Partition pruning opens only that folder."""
     try:
         d = spark.read.parquet(f"{root}/snapshot_id={key}")
-    except Exception:      # nothing stored yet, or not readable: fetch again
-        return None
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None     # nothing stored yet
     d = d.withColumn("_at", F.to_timestamp(F.col("ingested_at").cast("string"), "yyyy-MM-dd HH-mm-ss"))
     age = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("_at")) / 3600
     newest = d.filter(age < max_age_hours).agg(F.max("ingested_at").alias("m")).first()["m"]

@@ -1,4 +1,7 @@
-"""Streaming operators. Each is a plain streaming DataFrame; the caller picks trigger and sink."""
+"""Streaming operators. Each is a plain streaming DataFrame; the caller picks trigger and sink.
+
+`late` is the lateness that the source guarantees: rows that come later than that after the newest row of an earlier
+micro-batch are dropped by the engine, so files in no time order need the whole span of what they hold."""
 
 from __future__ import annotations
 
@@ -43,18 +46,18 @@ def limit_touches(ticks: DataFrame, orders: DataFrame, late: str = "1 day") -> D
     return d.select("ticker", plain(F.col("window.start")).cast("date").alias("date"), plain(F.col("ts")).alias("touched"), "px")
 
 
-def resolve_forecasts(forecasts: DataFrame, outcomes: DataFrame, days: int, late: str = "2 days") -> DataFrame:
-    """Forecasts meet the outcome of their name on the due day. A name has one forecast and one outcome a day
-    (the first to arrive), so the join gives at most one row a forecast; both sides are watermarked, so
-    state expires."""
-    day = lambda c: plain(F.col(c)).cast("date")
-    f = (forecasts.withColumn("day", day("ts")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "day"])
-         .select("user_id", "day", F.date_add("day", days).alias("due"), F.col("ts").alias("f_ts"), F.col("px").alias("forecast")))
-    o = (outcomes.withColumn("due_", day("ts")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "due_"])
-         .select(F.col("user_id").alias("user_"), "due_", F.col("ts").alias("o_ts"), F.col("px").alias("outcome")))
-    on = ((F.col("user_id") == F.col("user_")) & (F.col("due") == F.col("due_"))
-          & (F.col("o_ts") >= F.col("f_ts")) & (F.col("o_ts") <= F.col("f_ts") + F.expr(f"interval {days + 1} days")))
-    return f.join(o, on).select("user_id", "day", "due", "forecast", "outcome")
+def first_of_day(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
+    """First price (by time, then id) of each user and day, whatever the order of arrival."""
+    d = ticks.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "user_id").agg(F.min_by("px", F.struct("ts", "id")).alias("px"))
+    return d.select("user_id", plain(F.col("window.start")).cast("date").alias("day"), "px")
+
+
+def resolve_forecasts(forecasts: DataFrame, outcomes: DataFrame, days: int) -> DataFrame:
+    """Forecasts meet the outcome of their name on the due day. Both sides are tables of one row a user and day (the
+    results of `first_of_day`), so a rerun or another order of files gives the same pairs."""
+    f = forecasts.select("user_id", "day", F.date_add("day", days).alias("due"), F.col("px").alias("forecast"))
+    o = outcomes.select("user_id", F.col("day").alias("due"), F.col("px").alias("outcome"))
+    return f.join(o, ["user_id", "due"]).select("user_id", "day", "due", "forecast", "outcome")
 
 
 def session_gate(ticks: DataFrame) -> DataFrame:

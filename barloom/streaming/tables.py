@@ -42,23 +42,28 @@ def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return keep_last(spark.read.option("basePath", path).parquet(f"{path}/batch=*"), keys, ["batch"]).drop("batch")
 
 
-def run_upsert(stream: DataFrame, name: str, keys: list[str], order: list[str], day: str) -> DataFrame:
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table folder is there, asked of the file system that holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def run_upsert(stream: DataFrame, name: str, keys: list[str], order: list[str], day: str, path: str | None = None) -> DataFrame:
     """Keep-last ledger: each batch rewrites only the date partitions it touches. Merging the same batch twice
-    gives the same rows, so a retry is harmless."""
-    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, name)
-    state = {"made": False}
+    gives the same rows, so a retry is harmless. With a `path` the ledger and its checkpoint stay there, and a later run
+    or a restart goes on where the last one ended; without one they are scratch."""
+    spark, path = stream.sparkSession, path or scratch_path(stream.sparkSession, name)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         fresh = keep_last(batch, keys, order)
         staged = scratch_path(spark, f"{name}-merge-{batch_id}")
-        if state["made"]:
+        if _exists(spark, path):
             old = spark.read.parquet(path)
             touched = old.join(fresh.select(day).distinct(), day, "left_semi").select(*fresh.columns)
             fresh = keep_last(touched.unionByName(fresh), keys, order)
         fresh.write.parquet(staged)        # the table cannot be read and replaced in one job
         (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(day).parquet(path))
-        state["made"] = True
 
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}-state")
          .trigger(availableNow=True).start())

@@ -6,11 +6,13 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 FOLDER = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
 def spark():
-    from barloom.session import build_session
+    from barloom.session import build_session, clear_scratch
     s = build_session("tests", "local[8]", 4, "6g")
     yield s
+    clear_scratch(s)
     s.stop()

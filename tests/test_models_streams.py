@@ -30,7 +30,7 @@ def test_unknown_model():
 @pytest.fixture(scope="module")
 def split(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("ev") / "events")
-    spark.read.parquet(f"{FOLDER}/events.parquet").repartitionByRange(4, "ts").write.parquet(path)
+    spark.read.parquet(f"{FOLDER}/events.parquet").repartition(4, F.xxhash64("event_id")).write.parquet(path)
     return path
 
 
@@ -47,3 +47,18 @@ def test_upsert_over_several_batches(spark, split):
     got = tb.run_upsert(led(tb.tick_stream(spark, split, files_per_batch=1)), "l", ["user_id", "day"], ["ts", "id"], "day")
     one = tb.run_upsert(led(tb.tick_stream(spark, FOLDER, "events.parquet")), "m", ["user_id", "day"], ["ts", "id"], "day")
     assert got.count() == one.count() and got.exceptAll(one.select(*got.columns)).count() == 0
+
+
+def test_upsert_goes_on_after_a_restart(spark, tmp_path):
+    def led(s):
+        return s.select("user_id", ops.plain(F.col("ts")).cast("date").alias("day"), "id", "px", "ts")
+
+    def upsert():
+        return tb.run_upsert(led(tb.tick_stream(spark, str(tmp_path / "in"), files_per_batch=1)), "r", ["user_id", "day"], ["ts", "id"],
+                             "day", str(tmp_path / "ledger"))
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    for part in range(3):       # each run sees files that the one before did not
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = upsert()
+    one = tb.run_upsert(led(tb.tick_stream(spark, FOLDER, "events.parquet")), "m", ["user_id", "day"], ["ts", "id"], "day")
+    assert got.count() == one.count() and got.select(*one.columns).exceptAll(one).count() == 0

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from tools.check import compare, duck
 
-from conftest import FOLDER
+from conftest import LARGER as FOLDER     # a session needs enough names for ranks and books
 
 PICKS = ["feat_momentum", "feat_macd", "rank_target", "waterfill_cap", "run_backtest", "quantile_returns", "clean_bars",
          "symbol_directory", "search_runs", "asof_benchmark", "business_days_between", "next_market_open", "range_slice",
@@ -20,7 +20,7 @@ def con():
 @pytest.mark.parametrize("name", PICKS)
 def test_matches_sql(spark, con, name):
     state, n, _, _, note = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], FOLDER)
-    assert state in ("ok", "EMPTY"), note
+    assert state == "ok", note or "no rows"
 
 
 def test_registry_is_consistent():
