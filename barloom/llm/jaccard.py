@@ -18,7 +18,8 @@ BLOCK = 2048                        # members of a probe's group that one task c
 BASKET_ROWS = 4000                  # rows of groups that a task takes together
 SMALL = 4                           # members of a group that are compared without a tree
 LEAF, FAN = 8, 8                    # members of a leaf and children of a node of a signature tree
-FIRST_LINKS = 64                    # candidates between two components in a group, in the first round; 16 times more in the next
+FIRST_LINKS = 8                     # candidates between two components in a group, in the first round; 16 times more in the next
+FINE = 8                            # bits for a member in the bitmaps that candidates are looked at again with
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 
 
@@ -58,10 +59,10 @@ def set_id(s: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
-def signature(s: np.ndarray) -> bytes:
-    """Bitmap of a set with about two bits for each member, a power of two of bytes from 32 up."""
+def signature(s: np.ndarray, each: int = 2) -> bytes:
+    """Bitmap of a set with at least `each` bits for a member, a power of two of bytes from 32 up."""
     size = 32
-    while size * 4 < len(s):
+    while size * 8 < each * len(s):
         size *= 2
     bits = np.zeros(size * 8, bool)
     bits[(s >> np.uint64(20)) % np.uint64(size * 8)] = True
@@ -184,11 +185,12 @@ class JaccardJoin:
         return np.sort(np.array([r["probe"] for r in top], np.int64).view(np.uint64))
 
     def summaries(self) -> DataFrame:
-        """(key, c, n, bits, probes) of each note: set id, size, bitmap and prefix."""
+        """(key, c, n, bits, fine, probes) of each note: set id, size, bitmaps and prefix."""
         words, percent = self.words, self.percent
         hot = self.given.sparkSession.sparkContext.broadcast(self.hot_probes())
         out = T.StructType([T.StructField("key", self.kind), T.StructField("c", T.BinaryType()), T.StructField("n", T.LongType()),
-                            T.StructField("bits", T.BinaryType()), T.StructField("probes", T.ArrayType(T.LongType()))])
+                            T.StructField("bits", T.BinaryType()), T.StructField("fine", T.BinaryType()),
+                            T.StructField("probes", T.ArrayType(T.LongType()))])
 
         def prefix(s: np.ndarray) -> np.ndarray:
             if len(s) and len(hot.value):
@@ -206,7 +208,7 @@ class JaccardJoin:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(lo, len(sets)), pa.array([set_id(s) for s in sets], pa.binary()),
                          pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()),
-                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=out.names)
+                         pa.array([signature(s, FINE) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=out.names)
         return self.given.mapInArrow(run, out)
 
     def fetch_sets(self, wanted: DataFrame, keys: DataFrame) -> DataFrame:
@@ -225,8 +227,9 @@ class JaccardJoin:
         return sets
 
     def verified(self, pairs: DataFrame, keys: DataFrame) -> DataFrame:
-        """The pairs (c, d) whose sets overlap enough."""
+        """The pairs (c, d) whose sets overlap enough; only those that the fine bitmaps leave are looked up."""
         percent = self.percent
+        pairs = materialize(self.refined(pairs), "fine")
         sets = self.fetch_sets(pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))), keys)
         both = pairs.join(sets, "c").select("c", "d", "members")
         other = sets.select(F.col("c").alias("d"), F.col("members").alias("others"))
@@ -244,6 +247,23 @@ class JaccardJoin:
         discard(sets)
         return links
 
+    def refined(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (c, d) that the fine bitmaps allow."""
+        percent = self.percent
+        wanted = materialize(pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))).distinct(), "wanted")
+        fine = self.rows.select("c", "n", "fine").join(wanted, "c", "left_semi").dropDuplicates(["c"])
+        fine = materialize(fine, "bitmaps")
+        other = fine.select(F.col("c").alias("d"), F.col("n").alias("m"), F.col("fine").alias("others"))
+        both = pairs.join(fine, "c").join(other, "d").select("c", "d", "n", "m", "fine", "others")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, m = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                good = [may_link(n[r], np.frombuffer(batch.column(4)[r].as_buffer(), np.uint8), m[r],
+                                 np.frombuffer(batch.column(5)[r].as_buffer(), np.uint8), percent) for r in range(batch.num_rows)]
+                yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        return both.mapInArrow(run, "c binary, d binary")
+
     def first_pairs(self, members: DataFrame, classes: DataFrame) -> DataFrame:
         """Pairs (c, d) of every member of a group with the group's hub that sizes and bitmaps allow."""
         percent = self.percent
@@ -343,7 +363,7 @@ def near_duplicates(positions: DataFrame, *, key: str = "position_id", note: str
     Null, empty and blank notes have 0 shingles and link with nothing. Repeated rows of a key are returned as often as given.
     A null key is a note of its own without links. An empty table gives no rows; other columns are ignored."""
     join = JaccardJoin(positions, key, note, words, percent)
-    rows = materialize(join.summaries(), "summaries")
+    rows = join.rows = materialize(join.summaries(), "summaries")
     live = rows.filter("n > 0 and key is not null")
     copies = live.groupBy("c").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("c", "rep")
     named = salted_join(live.select("key", "c"), copies, ["c"], F.xxhash64("key"), "left").select(
