@@ -234,11 +234,20 @@ class RepeatedBytes:
             g, check = (np.concatenate([np.zeros(0, np.uint64), *v]) for v in (g, check))
             key, sig, start, size = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (key, sig, start, size))
             late = key > _lowest(g, check, size, key)[0]
-            none = pa.array(late)
-            text = _bytes_of(places, np.where(late, 0, size))
-            return pa.table({"bucket": pc.if_else(none, None, pa.array((g % np.uint64(buckets)).astype(np.int32))),
-                             "g": pc.if_else(none, None, pa.array(g.view(np.int64))), "s": pc.if_else(none, None, text),
-                             "key": pa.array(key), "sig": pa.array(sig), "start": pa.array(start), "end": pa.array(start + size)})
+            end = start + size
+            # settled runs of a note that touch are one span
+            gone = np.flatnonzero(late)
+            new = np.ones(len(gone), bool)
+            new[1:] = (key[gone][1:] != key[gone][:-1]) | (sig[gone][1:] != sig[gone][:-1])
+            new[1:] |= (start[gone][1:] > end[gone][:-1]) | (start[gone][1:] < start[gone][:-1])     # apart, or a repeated row
+            first = gone[new]
+            last = gone[np.append(np.flatnonzero(new)[1:], len(gone)) - 1] if len(gone) else gone
+            text, on, n = _bytes_of(places, np.where(late, 0, size)).filter(pa.array(~late)), ~late, len(first)
+            return pa.table({"bucket": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array((g[on] % np.uint64(buckets)).astype(np.int32))]),
+                             "g": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(g[on].view(np.int64))]),
+                             "s": pa.concat_arrays([pa.nulls(n, pa.binary()), text]),
+                             **{c: pa.array(np.concatenate([v[first if c != "end" else last], v[on]]))
+                                for c, v in (("key", key), ("sig", sig), ("start", start), ("end", end))}})
 
         copies = self.copies.select(self._batch().alias("batch"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("int").alias("n"),
                                     F.lit(None).cast("binary").alias("marks"), "key", "sig")
