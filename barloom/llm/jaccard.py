@@ -16,6 +16,7 @@ from barloom.session import discard, materialize, release
 HOT_COUNT, HOT_KEYS = 256, 50_000   # a probe of more notes is put last in the order of shingles; at most so many are
 BLOCK = 2048                        # members of a probe's group that one task compares with as many others
 BASKET_ROWS = 4000                  # rows of groups that a task takes together
+CROWD = 24                          # members from which on a group is searched with fine bitmaps
 SMALL = 4                           # members of a group that are compared without a tree
 LEAF, FAN = 8, 8                    # members of a leaf and children of a node of a signature tree
 FIRST_LINKS = 8                     # candidates between two components in a group, in the first round; 16 times more in the next
@@ -293,7 +294,13 @@ class JaccardJoin:
         open_ = materialize(open_, "open")
         total = open_.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
         baskets = max(64, total // BASKET_ROWS)
-        rows = named.join(open_.select("probe", "blocks"), "probe").join(classes.select("h", "c", "n", "bits"), "h")
+        rows = named.join(open_, "probe").join(classes.select("h", "c", "n", "bits"), "h")
+        # in crowded groups many pairs are nearly alike: their members come with fine bitmaps
+        crowd = named.join(open_.filter(F.col("size") > CROWD), "probe").select("h").distinct().join(classes.select("h", "c"), "h")
+        crowd = materialize(crowd.select("c"), "crowd")
+        fine = materialize(self.rows.select("c", "fine").join(crowd, "c", "left_semi").dropDuplicates(["c"]), "bitmaps")
+        rows = rows.join(fine, "c", "left").withColumn(
+            "bits", F.when(F.col("size") > CROWD, F.coalesce("fine", "bits")).otherwise(F.col("bits")))
         rows = (rows.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                 .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))

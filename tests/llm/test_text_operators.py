@@ -231,7 +231,7 @@ def test_near_duplicates_equal_brute_force(positions, rows, nothing, odd, words,
 def test_near_duplicates_with_small_bounds(spark, monkeypatch):
     """Hot probes, split groups and cut rounds change no result."""
     from barloom.llm import jaccard
-    for name, value in (("HOT_COUNT", 3), ("BLOCK", 4), ("FIRST_LINKS", 1), ("SMALL", 2)):
+    for name, value in (("HOT_COUNT", 3), ("BLOCK", 4), ("FIRST_LINKS", 1), ("SMALL", 2), ("CROWD", 5)):
         monkeypatch.setattr(jaccard, name, value)
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(60)]
