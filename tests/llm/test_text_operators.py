@@ -176,6 +176,25 @@ def test_likelihood_ratio_tells_junk_from_trusted(spark):
     assert np.mean([r.kept == (r.position_id % 4 > 0) for r in held]) > 0.97
 
 
+def test_few_insults_in_long_notes_are_not_kept(spark):
+    rng = np.random.default_rng(8)
+    plain, insults = [f"w{i}" for i in range(300)], ["idiot", "trash", "scum"]
+
+    def note(i):
+        words = list(rng.choice(plain, 80 + i % 5 * 40))
+        if i % 4 == 0:
+            for at in rng.choice(len(words), len(words) // 25, replace=False):
+                words[at] = str(rng.choice(insults))
+        return " ".join(words)
+    table = spark.createDataFrame([(i, note(i)) for i in range(1600)], "position_id long, note string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(800)], "position_id long, quality int, toxic int")
+    model = fit_quality(table, labels)
+    got = judge_notes(table.filter("position_id >= 800"), model).collect()
+    assert np.mean([r.kept for r in got if r.position_id % 4 == 0]) < 0.05
+    assert np.mean([r.kept for r in got if r.position_id % 4]) > 0.95
+    assert model.untrusted_kept < 0.05 and model.trusted_kept > 0.99
+
+
 # repeated bytes
 
 
