@@ -1,4 +1,4 @@
-"""License scans over notes: fixed phrases, and an exact containment join of text lines with license templates.
+"""License scans over notes: fixed phrases, and an exact containment join of word windows with license templates.
 
 Only DataFrame functions run here."""
 
@@ -73,11 +73,13 @@ def scan_licenses(positions: DataFrame, templates: list[tuple[str, str]] = TEMPL
                   threshold: float = CONTAINMENT) -> DataFrame:
     """`positions` (without the note) with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-    Base: places where the words of a phrase in PHRASES stand side by side. Beside them every line of a note is a set of
-    words, and a template's label is given when the line holds at least `threshold` of the template's words. The join is
-    exact: words are ordered by frequency over all notes; a line and a template that meet the threshold share a word of
-    both prefixes, so only these are paired (template side broadcast: it is bounded by the templates), then filtered by
-    length and by position, then verified. `score` is the largest share found, 0 without one.
+    Base: places where the words of a phrase in PHRASES stand side by side. Beside them every window of a note's words, line
+    ends ignored, is a set of words, and a template's label is given when a window of the template's length divided by
+    `threshold` holds at least `threshold` of the template's words; words scattered over more than that do not count. The join
+    is exact: words are ordered by frequency over all notes; a window and a template that meet the threshold share a word of
+    the template's prefix, so only the words around these are paired with it (template side broadcast: it is bounded by the
+    templates), then filtered by the template's words among them, then every window over the prefix word is verified.
+    `score` is the largest share found, 0 without one.
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, with A-Z lower-cased. A null or empty note has
     no words and no labels; repeated rows are scanned one by one; an empty table gives no rows; given columns named like a
@@ -86,15 +88,15 @@ def scan_licenses(positions: DataFrame, templates: list[tuple[str, str]] = TEMPL
     kept = [c for c in positions.columns if c != note and c not in made]
     order = template_order(positions, templates, note=note)
     rank = {w: i for i, w in enumerate(order)}
-    sets = [(label, sorted({*t.split()}, key=rank.get)) for label, t in templates]
-    need = [math.ceil(threshold * len(words) - 1e-9) for _, words in sets]
-    prefixes = [(w, label, i, len(words), c, words) for (label, words), c in zip(sets, need)
-                for i, w in enumerate(words[:len(words) - c + 1])]
+    sets = [(label, sorted({*t.split()}, key=rank.get), int(len(t.split()) / threshold + 1e-9)) for label, t in templates]
+    need = [math.ceil(threshold * len(words) - 1e-9) for _, words, _ in sets]
+    prefixes = [(w, label, span, len(words), c, words) for (label, words, span), c in zip(sets, need)
+                for w in words[:len(words) - c + 1]]
+    reach = max((span for _, _, span in sets), default=1) - 1      # words before and after a prefix word that a window can hold
     spark = positions.sparkSession
     table = F.broadcast(spark.createDataFrame(
-        prefixes, "word string, label string, at int, size int, need int, template array<string>"))
+        prefixes, "word string, label string, span int, size int, need int, template array<string>"))
     rare = _array(sorted({p[0] for p in prefixes}))
-    known = _array(order)                       # in global order: array_intersect keeps the order of its first argument
 
     text = F.translate(F.coalesce(F.col(note), F.lit("")), UPPER, LOWER)
     base = (positions.withColumn("text_", text).withColumn("words_", _words(F.col("text_")))
@@ -104,24 +106,28 @@ def scan_licenses(positions: DataFrame, templates: list[tuple[str, str]] = TEMPL
     hits = F.filter(F.array(*[F.col(p) for p in phrases]), lambda p: p.isNotNull())
     named = F.filter(F.array(*[F.when(F.col(p).isNotNull(), F.lit(label)) for p, (_, label) in zip(phrases, PHRASES)]),
                      lambda x: x.isNotNull())
-    rows = (base.select(*kept, "n_words", "maybe_", "text_", *[c.alias(p) for p, c in phrases.items()])
+    # the words around every prefix word, and its place among them
+    places = F.filter(F.transform("words_", lambda w, i: F.when(F.array_contains(rare, w), i + 1)), lambda i: i.isNotNull())
+    first = lambda i: F.greatest(i - reach, F.lit(1))
+    near = F.transform(places, lambda i: F.struct(
+        F.element_at("words_", i).alias("word"), (i - first(i) + 1).alias("at"),
+        F.slice("words_", first(i), i - first(i) + 1 + reach).alias("words")))
+    rows = (base.select(*kept, "n_words", "maybe_", "words_", *[c.alias(p) for p, c in phrases.items()])
             .select(*kept, F.col("n_words").cast("long").alias("n_words"),
                     F.aggregate(hits, F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("n_base"),
                     F.array_min(F.transform(hits, lambda p: p["first"])).cast("long").alias("first_word"),
                     F.array_max(F.transform(hits, lambda p: p["last"])).cast("long").alias("last_word"),
                     named.alias("base_"),
-                    F.when(F.col("maybe_"), F.split("text_", "\n", -1)).alias("lines_"))
-            # a line is a set of words; only those that stand in a template matter, in global order
-            .withColumn("blocks_", F.transform("lines_", lambda line: F.struct(
-                F.size(F.array_distinct(_words(line))).alias("all"), F.array_intersect(known, _words(line)).alias("words"))))
-            .withColumn("blocks_", F.filter("blocks_", lambda b: F.arrays_overlap(b["words"], rare)))
-            .drop("lines_").withColumn("row_", F.monotonically_increasing_id()))
-    tokens = (rows.select("*", F.explode_outer("blocks_").alias("block_")).drop("blocks_")
-              .select("*", F.posexplode_outer("block_.words").alias("j_", "word")))
-    rest = F.least(F.col("size") - F.col("at"), F.size("block_.words") - F.col("j_"))       # from this word on, itself included
-    pairs = (tokens.join(table, (tokens["word"] == table["word"]) & (F.col("block_.all") >= F.col("need"))
-                         & (F.col("j_") <= F.size("block_.words") - F.col("need")) & (rest >= F.col("need")), "left"))
-    share = F.size(F.array_intersect("block_.words", "template"))
+                    F.when(F.col("maybe_"), near).alias("blocks_"))
+            .withColumn("row_", F.monotonically_increasing_id()))
+    tokens = rows.select("*", F.explode_outer("blocks_").alias("block_")).drop("blocks_")
+    pairs = tokens.join(table, (F.col("block_.word") == table["word"]) & (
+        F.size(F.array_intersect("template", "block_.words")) >= F.col("need")), "left")
+    # windows over the prefix word; one that holds the most begins with a word of the template
+    starts = F.filter(F.sequence(F.greatest(F.lit(1), F.col("block_.at") - F.col("span") + 1), F.col("block_.at")),
+                      lambda k: F.array_contains("template", F.element_at("block_.words", k)))
+    shared = lambda k: F.size(F.array_intersect("template", F.slice("block_.words", k, F.col("span"))))
+    share = F.when(F.col("label").isNotNull(), F.array_max(F.transform(starts, shared)))
     found = F.when(share >= F.col("need"), F.struct((share / F.col("size")).alias("score"), F.col("label")))
     fields = [c for c in rows.columns if c not in ("blocks_", "row_")]
     whole = (pairs.withColumn("found_", found).groupBy("row_")

@@ -11,7 +11,7 @@ import brute
 from barloom.llm import queries as q
 from barloom.llm.benchmark import find_leaks, drop_leaks, index_items, split_item
 from barloom.llm.jaccard import SignatureTree, fold, near_duplicates, prefix_size, signature
-from barloom.llm.licenses import brute_places, scan_licenses
+from barloom.llm.licenses import CONTAINMENT, TEMPLATES, brute_places, scan_licenses
 from barloom.llm.line_dedup import common_blocks, dedup_lines, patience_diff
 from barloom.llm.packing import Limits, pack_notes
 from barloom.llm.personal import estimate, find_personal
@@ -296,6 +296,39 @@ def test_licenses(spark, nothing, odd):
     assert scan_licenses(nothing).count() == 0 and scan_licenses(odd).count() == 6
 
 
+def brute_templates(text):
+    """Labels and the largest share, by every window of every template's length."""
+    words, out = brute.LICENSE_WORD.findall(text.translate(brute.LOWER)), {}
+    for label, t in TEMPLATES:
+        own, span = set(t.split()), int(len(t.split()) / CONTAINMENT + 1e-9)
+        share = max(len(own & set(words[i:i + span])) / len(own) for i in range(max(len(words), 1)))
+        if share >= CONTAINMENT - 1e-9:
+            out[label] = share
+    return ",".join(sorted(out)), max(out.values(), default=0)
+
+
+def test_license_notices_over_lines_and_scattered_words(spark):
+    mit, bsd = (dict(TEMPLATES)[k] for k in ("mit-text", "bsd"))
+    wrapped = [mit.replace("a copy ", "a copy\n"), bsd.replace("with or without ", "with or without\n * "),
+               mit.replace("free ", "free\n").replace("a copy ", "a copy\n"), bsd.replace("use ", "use\n").replace("without ", "without\n")]
+    filler = [f"f{i}" for i in range(40)]
+    scattered = [" ".join(x for w in t.split() for x in [w, *filler]) for _, t in TEMPLATES]
+    rng = np.random.default_rng(4)
+    mixed = []
+    for _ in range(60):                                 # words lost, added and lines broken
+        words = [w for _, t in rng.permutation(TEMPLATES)[:2] for w in [*filler[:8], *t.split()]]
+        words = [x for w in words for x in ([] if rng.random() < 0.08 else [w, "added"] if rng.random() < 0.08 else [w])]
+        mixed.append("".join(w + str(rng.choice([" ", "\n"])) for w in words))
+    texts = wrapped + scattered + mixed
+    got = {r.position_id: r for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "position_id long, note string")).collect()}
+    assert [got[i].labels for i in range(4)] == ["mit-text", "bsd", "mit-text", "bsd"] and all(got[i].score == 1 for i in range(4))
+    assert all(got[i].labels == "" and got[i].score == 0 for i in range(4, 4 + len(scattered)))
+    for i, t in enumerate(texts):
+        labels, score = brute_templates(t)
+        assert set(filter(None, labels.split(","))) | {x for _, x in brute_places(t)} == set(filter(None, got[i].labels.split(","))), t
+        assert got[i].score == pytest.approx(score), t
+
+
 # personal data
 
 
