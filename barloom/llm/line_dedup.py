@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from barloom.llm.bytescan import SEPARATOR, Words, mix, prefix_hash, slices, span_hash
+from barloom.llm.bytescan import Words, mix, powers, prefix_hash, slices, span_hash
 from barloom.llm.joins import salted_join
-from barloom.session import materialize
+from barloom.session import discard, materialize
 
 MIN_WORDS = 10      # words of a block that is deleted, at least
 
@@ -83,10 +83,26 @@ def common_blocks(pairs: list[tuple[int, int]], words: list[int], least: int) ->
     return out
 
 
+def runs(lines: np.ndarray, words: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, hash) of the shortest run of lines with `least` words that begins, and that ends, at each line of a note.
+    Every line of a block worth deleting stands in a run that lies inside the block."""
+    n = len(lines)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    at = np.arange(n)
+    first = np.concatenate([at, np.searchsorted(total, total[1:] - least, "right") - 1])
+    last = np.concatenate([np.searchsorted(total, total[:-1] + least) - 1, at])
+    able = (first >= 0) & (last < n)
+    able[able] = row[first[able]] == row[last[able]]
+    first, last = np.unique(np.stack([first[able], last[able]]), axis=1) if able.any() else (at[:0], at[:0])
+    up, down = powers(n + 1)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(lines.view(np.uint64) * up[:-1], out=prefix[1:])
+    return first, last, mix((prefix[last + 1] - prefix[first]) * down[first]).view(np.int64)
+
+
 def note_lines(positions: DataFrame, *, key: str, note: str, least: int = MIN_WORDS) -> DataFrame:
     """(key, sig, at, lines, words, probes) per note: place, hash and word count of each line with a word, and the hashes by
-    which overlaps are found: of every line with `least` words, and of each shorter one together with the next line. These are
-    long enough to be rare by themselves, and a block worth deleting always holds one."""
+    which overlaps are found: those of `runs`. These are long enough to be rare by themselves."""
     kind = positions.schema[key].dataType
     longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
     out = T.StructType([T.StructField("key", kind), T.StructField("sig", T.LongType()), T.StructField("at", ints),
@@ -111,61 +127,129 @@ def note_lines(positions: DataFrame, *, key: str, note: str, least: int = MIN_WO
                 row, at = words.row[first], line[first]
                 # a line from its first word to its last: white space around it does not count
                 h = mix(span_hash(prefix_hash(data), words.start[first], words.end[last])) if len(first) else np.zeros(0, np.uint64)
-                follows = np.append(row[1:] == row[:-1], False) if len(row) else np.zeros(0, bool)
-                probe = np.where(n >= least, h, mix(h * np.uint64(31) + np.append(h[1:], h[:1])))
-                able = (n >= least) | follows
+                begin, _, probe = runs(h.view(np.int64), n, row, least)
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1))
-                probes = np.concatenate([[0], np.cumsum(able)])[cuts]
+                probes = np.searchsorted(begin, cuts)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(lo, hi - lo).columns[:2], lists(at.astype(np.int32), cuts, pa.int32()), lists(h.view(np.int64), cuts, pa.int64()),
-                     lists(n, cuts, pa.int32()), lists(probe[able].view(np.int64), probes, pa.int64())], names=out.names)
+                     lists(n, cuts, pa.int32()), lists(probe, probes, pa.int64())], names=out.names)
 
     return given.mapInArrow(run, out)
 
 
-def overlapping(lines: DataFrame) -> DataFrame:
-    """Distinct pairs (key, sig, from_key, from_sig): a note and the first holder of one of its probes. A probe held by n notes
+def _pairs(found: DataFrame) -> DataFrame:
+    """(key, sig, from_key, from_sig, probes) of rows (key, sig, from_key, from_sig, probe)."""
+    return found.groupBy("key", "sig", "from_key", "from_sig").agg(F.collect_set("probe").alias("probes"))   # a note's probes at most
+
+
+def overlapping(probes: DataFrame) -> DataFrame:
+    """Pairs (key, sig, from_key, from_sig, probes): a note and the first holder of some of its probes. A probe held by n notes
     makes n - 1 pairs, however many that are."""
-    probes = lines.select(F.explode(F.array_distinct("probes")).alias("probe"), "key", "sig")
     owners = (probes.groupBy("probe").agg(F.min(F.struct("key", "sig")).alias("own"), F.max("key").alias("top"))
               .filter("own.key < top").select("probe", "own"))
-    return (salted_join(probes, owners, ["probe"], F.xxhash64("key")).filter("own.key < key")
-            .select("key", "sig", F.col("own.key").alias("from_key"), F.col("own.sig").alias("from_sig")).distinct())
-
-
-def dedup_lines(positions: DataFrame, *, key: str = "position_id", note: str = "note", least: int = MIN_WORDS) -> DataFrame:
-    """`positions` with the shared blocks cut out of `note`, and n_lines and n_removed.
+    return _pairs(salted_join(probes, owners, ["probe"], F.xxhash64("key")).filter("own.key < key")
+                  .select("key", "sig", F.col("own.key").alias("from_key"), F.col("own.sig").alias("from_sig"), "probe"))
 
-    Two notes overlap when they share a probe (see `note_lines`); each is aligned with the first holder (smallest key) of each
-    of its probes by patience diff over the lines that hold a word, and every aligned block of `least` words or more is
-    deleted from the later note, with blank lines inside it. Notes are judged as given, not as cut, so the result does not
-    depend on an order of work. A note may lose all lines; its row stays, with an empty text.
 
-    Keys order the notes: rows with equal keys never cut each other, a null key neither cuts nor is cut. A null note stays null
-    with 0 lines, an empty one has one line; an empty table gives no rows; columns named n_lines or n_removed are replaced."""
-    lines = materialize(note_lines(positions, key=key, note=note, least=least), "lines")
-    pairs = (overlapping(lines).join(lines.select("key", "sig", "at", "lines", "words"), ["key", "sig"]))
+def align(pairs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+    """(key_, sig_, first, last, probe, places): the blocks that patience diff gives for each pair, and with `probe` the places of
+    the pair's shared runs that are not inside these blocks."""
+    both = pairs.join(lines.select("key", "sig", "at", "lines", "words"), ["key", "sig"])
     holders = lines.select(F.col("key").alias("from_key"), F.col("sig").alias("from_sig"), F.col("lines").alias("from_lines"))
     holders = holders.dropDuplicates(["from_key", "from_sig"])
-    both = salted_join(pairs, holders, ["from_key", "from_sig"], F.xxhash64("key", "sig")).select(
-        "key", "sig", "at", "lines", "words", "from_lines")
-    kind = positions.schema[key].dataType
-    out = T.StructType([T.StructField("key_", kind), T.StructField("sig_", T.LongType()),
-                        T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+    both = salted_join(both, holders, ["from_key", "from_sig"], F.xxhash64("key", "sig")).select(
+        "key", "sig", "at", "lines", "words", "from_lines", "probes")
+    out = T.StructType([T.StructField("key_", lines.schema["key"].dataType), T.StructField("sig_", T.LongType()),
+                        T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()),
+                        T.StructField("probe", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, first, last = [], [], []
-            for r, (at, b, words, a) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)))):
+            rows, first, last, probe, places = [], [], [], [], []
+            for r, (at, b, words, a, shared) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 7)))):
+                gone = np.zeros(len(b), bool)
                 for x, y in common_blocks(patience_diff(a, b), words, least):
+                    gone[x:y + 1] = True
                     rows.append(r)
                     first.append(at[x])
                     last.append(at[y])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), batch.column(1).take(pa.array(rows, pa.int32())),
-                                              pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=out.names)
+                    probe.append(None)
+                    places.append(None)
+                if gone.all():
+                    continue
+                shared = set(shared)
+                for x, y, h in zip(*(v.tolist() for v in runs(np.array(b, np.int64), np.array(words), np.zeros(len(b)), least))):
+                    if h in shared and not gone[x:y + 1].all():
+                        rows.append(r)
+                        first.append(None)
+                        last.append(None)
+                        probe.append(h)
+                        places.append(at[x:y + 1])
+            took = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(first, pa.int32()), pa.array(last, pa.int32()),
+                                              pa.array(probe, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=out.names)
+
+    return both.mapInArrow(run, out)
+
 
-    cuts = (both.mapInArrow(run, out).groupBy("key_", "sig_")
+def _cuts(found: DataFrame) -> DataFrame:
+    return (found.filter("first is not null").groupBy("key_", "sig_")
             .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("cuts_")))    # bounded by the note's lines
+
+
+def _open(found: DataFrame) -> DataFrame:
+    """(key, sig, probe) of runs with a line that no block of `found` holds."""
+    left = found.filter("probe is not null").select("key_", "sig_", "probe", "places").distinct()
+    near = found.join(left.select("key_", "sig_").distinct(), ["key_", "sig_"], "left_semi")
+    held = lambda p: F.exists("cuts_", lambda c: (c["first"] <= p) & (p <= c["last"]))
+    return (left.join(_cuts(near), ["key_", "sig_"], "left").filter(F.col("cuts_").isNull() | ~F.forall("places", held))
+            .select(F.col("key_").alias("key"), F.col("sig_").alias("sig"), "probe").distinct())
+
+
+def all_blocks(lines: DataFrame, least: int) -> DataFrame:
+    """`align` of every note with the first holder of each of its runs, and of the runs that stay with their other earlier
+    holders (equal notes are one) until none is left: all at once where these make no more pairs than there are notes, else
+    the next holder of each run."""
+    probes = lines.select(F.explode(F.array_distinct("probes")).alias("probe"), "key", "sig")
+    found = materialize(align(overlapping(probes), lines, least), "blocks")
+    open_ = materialize(_open(found), "open")
+    if open_.isEmpty():
+        return found
+    notes = lines.count()
+    holders = materialize(probes.join(open_.select("probe").distinct(), "probe", "left_semi").groupBy("probe", "sig")
+                          .agg(F.min("key").alias("key")), "holders").withColumn("own", F.struct("key", "sig")).select("probe", "own")
+    tried = holders.groupBy("probe").agg(F.min("own").alias("tried"))
+    while not open_.isEmpty():
+        rest = materialize(salted_join(holders, tried, ["probe"], F.xxhash64("own")).filter("own > tried").select("probe", "own"), "rest")
+        many = (open_.groupBy("probe").agg(F.count(F.lit(1)).alias("n"))
+                .join(rest.groupBy("probe").agg(F.count(F.lit(1)).alias("m")), "probe").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0)
+        following = rest if many <= notes else rest.groupBy("probe").agg(F.min("own").alias("own"))
+        pairs = _pairs(salted_join(open_, following, ["probe"], F.xxhash64("key", "sig")).filter("own.key < key")
+                       .select("key", "sig", F.col("own.key").alias("from_key"), F.col("own.sig").alias("from_sig"), "probe"))
+        more = materialize(align(pairs, lines, least), "blocks")
+        found = found.unionByName(more)
+        if many <= notes:
+            break
+        tried = materialize(following.withColumnRenamed("own", "tried"), "tried")
+        now = materialize(_open(found).join(tried, "probe").filter("tried.key < key").select("key", "sig", "probe"), "open")
+        discard(rest, open_)
+        open_ = now
+    return found
+
+
+def dedup_lines(positions: DataFrame, *, key: str = "position_id", note: str = "note", least: int = MIN_WORDS) -> DataFrame:
+    """`positions` with the shared blocks cut out of `note`, and n_lines and n_removed.
+
+    Two notes overlap when they share a probe (see `note_lines`); a note is aligned with earlier ones by patience diff over the
+    lines that hold a word, and every aligned block of `least` words or more is deleted from the later note, with blank lines
+    inside it. The first holder (smallest key) of each probe comes first, then the other earlier holders of those not deleted
+    yet (see `all_blocks`), so what is deleted is the same as if every earlier note were tried. Notes are judged as given, not as cut, so the result does not
+    depend on an order of work. A note may lose all lines; its row stays, with an empty text.
+
+    Keys order the notes: rows with equal keys never cut each other, a null key neither cuts nor is cut. A null note stays null
+    with 0 lines, an empty one has one line; an empty table gives no rows; columns named n_lines or n_removed are replaced."""
+    lines = materialize(note_lines(positions, key=key, note=note, least=least), "lines")
+    cuts = _cuts(all_blocks(lines, least))
     split = F.split(note, "\n", -1)
     gone = lambda i: F.exists("cuts_", lambda c: (c["first"] <= i) & (i <= c["last"]))
     kept = F.filter(split, lambda x, i: ~gone(i))

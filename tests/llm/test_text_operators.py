@@ -148,6 +148,23 @@ def test_line_dedup_cuts_later_blocks(spark, nothing, odd):
     assert len(rows) == 6 and sorted((r.position_id or 0) for r in rows if r.n_removed) == [9]
 
 
+@pytest.mark.parametrize("pool, copies", [(6, 1), (5, 4)])
+def test_line_dedup_equals_all_earlier_holders(spark, pool, copies):
+    rng = np.random.default_rng(pool)
+    lines = [" ".join(f"{c}{i}" for i in range(n)) for c, n in zip("abcdefgh", [12, 10, 4, 7, 3, 11, 5, 9])]
+    texts = ["\n".join(rng.choice(lines[:pool], rng.integers(1, 6))) for _ in range(40)] * copies
+    swapped = [f"{lines[0]}\n{lines[1]}\nx", f"{lines[0]}\ny", f"{lines[1]}\nz\n{lines[0]}", f"{lines[0]}\nq\n{lines[0]}"]
+    texts = swapped + texts
+    got = {r.position_id: r.note for r in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "position_id long, note string")).collect()}
+    split = [t.split("\n") for t in texts]
+    for k, b in enumerate(split):
+        words, gone = [len(x.split()) for x in b], set()
+        for a in split[:k]:
+            for x, y in common_blocks(patience_diff(a, b), words, 10):
+                gone |= set(range(x, y + 1))
+        assert got[k] == "\n".join(x for i, x in enumerate(b) if i not in gone), (k, texts[k])
+
+
 # quality
 
 
