@@ -8,7 +8,7 @@ from barloom.streaming import ops, tables as tb
 
 import pytest
 
-from conftest import FOLDER
+from folders import SMALL as FOLDER
 
 
 def test_ridge_equals_closed_form(spark):

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from tools.check import compare, duck
 
-from conftest import LARGER as FOLDER     # a session needs enough names for ranks and books
+from folders import LARGER as FOLDER     # a session needs enough names for ranks and books
 
 PICKS = ["feat_momentum", "feat_macd", "rank_target", "waterfill_cap", "run_backtest", "quantile_returns", "clean_bars",
          "symbol_directory", "search_runs", "asof_benchmark", "business_days_between", "next_market_open", "range_slice",
