@@ -1,23 +1,7 @@
 import random
-import sys
-from pathlib import Path
 
 import pytest
 
-HERE = Path(__file__).resolve().parent
-sys.path[:0] = [str(HERE), str(HERE.parents[1])]
-
-
-@pytest.fixture(scope="session")
-def spark():
-    import os
-
-    from barloom.session import build_session
-    os.environ["PYTHONPATH"] = f"{HERE.parents[1]}:{os.environ.get('PYTHONPATH', '')}"     # for the Python workers
-    s = build_session("tests", "local[8]", 4, "6g")
-    yield s
-
-
 SCHEMA = "position_id long, note string, ticker string, entry_at string, n_words int, spans string, row int"
 
 
