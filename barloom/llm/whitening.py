@@ -33,13 +33,13 @@ def scatter(rows: np.ndarray) -> tuple[list[int], list[list[int]]]:
     for i in range(bits):
         part = np.packbits(((shifted >> i) & 1).T.astype(np.uint8), axis=1, bitorder="little")
         planes[i, :, :part.shape[1]] = part
-    flat = planes.reshape(bits * dims, -1).view(np.uint64)
+    cells = planes.view(np.uint64)
     product = [[0] * dims for _ in range(dims)]
     for d in range(dims):
         # counts[i, j, e]: rows with bit i of feature d and bit j of feature e, for e from d on
         counts = np.zeros((bits, bits, dims - d), np.int64)
         for i in range(bits):
-            both = flat[i * dims + d] & planes.view(np.uint64).reshape(bits, dims, -1)[:, d:]
+            both = cells[i, d] & cells[:, d:]
             counts[i] = np.bitwise_count(both).sum(2, dtype=np.int64)
         for e in range(d, dims):
             u = sum(int(counts[i, j, e - d]) << (i + j) for i in range(bits) for j in range(bits))
