@@ -15,6 +15,7 @@ from barloom.llm.joins import salted_join
 from barloom.session import discard, materialize
 
 MIN_WORDS = 10      # words of a block that is deleted, at least
+PAIRS = 64          # pairs of a holder that meet in one task, about
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -152,88 +153,121 @@ def overlapping(probes: DataFrame) -> DataFrame:
 
 
 def align(pairs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
-    """(key_, sig_, first, last, probe, places): the blocks that patience diff gives for each pair, and with `probe` the places of
-    the pair's shared runs that are not inside these blocks."""
-    both = pairs.join(lines.select("key", "sig", "at", "lines", "words"), ["key", "sig"])
+    """(key_, sig_, x, y, first, last, probe, places): the blocks that patience diff gives for each pair, from the x-th to the y-th
+    line with a word (place `first` to `last` among all lines), and with `probe` the numbers of the lines of the pair's shared
+    runs that are not inside these blocks. Only notes that `pairs` names are sent, a holder to one task for each PAIRS of its pairs."""
+    salts = (F.floor(F.col("n") / F.lit(PAIRS)) + 1).cast("int")
+    named = pairs.groupBy("from_key", "from_sig").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", salts).drop("n")
+    sized = salted_join(pairs, named, ["from_key", "from_sig"], F.xxhash64("sig", "key"))
+    later = lines.select("key", "sig", "at", "lines", "words").join(pairs.select("key", "sig").distinct(), ["key", "sig"], "left_semi")
+    both = sized.join(_once(later), ["key", "sig"])
     holders = lines.select(F.col("key").alias("from_key"), F.col("sig").alias("from_sig"), F.col("lines").alias("from_lines"))
-    holders = holders.dropDuplicates(["from_key", "from_sig"])
-    both = salted_join(both, holders, ["from_key", "from_sig"], F.xxhash64("key", "sig")).select(
+    holders = _once(holders.join(named, ["from_key", "from_sig"]))
+    both = salted_join(both, holders, ["from_key", "from_sig", "salts"], F.xxhash64("key", "sig"), salts=F.col("salts")).select(
         "key", "sig", "at", "lines", "words", "from_lines", "probes")
     out = T.StructType([T.StructField("key_", lines.schema["key"].dataType), T.StructField("sig_", T.LongType()),
-                        T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()),
+                        *(T.StructField(c, T.IntegerType()) for c in ("x", "y", "first", "last")),
                         T.StructField("probe", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, first, last, probe, places = [], [], [], [], []
+            made = []
             for r, (at, b, words, a, shared) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 7)))):
                 gone = np.zeros(len(b), bool)
                 for x, y in common_blocks(patience_diff(a, b), words, least):
                     gone[x:y + 1] = True
-                    rows.append(r)
-                    first.append(at[x])
-                    last.append(at[y])
-                    probe.append(None)
-                    places.append(None)
+                    made.append((r, x, y, at[x], at[y], None, None))
                 if gone.all():
                     continue
                 shared = set(shared)
                 for x, y, h in zip(*(v.tolist() for v in runs(np.array(b, np.int64), np.array(words), np.zeros(len(b)), least))):
                     if h in shared and not gone[x:y + 1].all():
-                        rows.append(r)
-                        first.append(None)
-                        last.append(None)
-                        probe.append(h)
-                        places.append(at[x:y + 1])
-            took = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(first, pa.int32()), pa.array(last, pa.int32()),
-                                              pa.array(probe, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=out.names)
+                        made.append((r, None, None, None, None, h, list(range(x, y + 1))))
+            row, *columns = zip(*made) if made else [[]] * 7
+            took = pa.array(row, pa.int32())
+            kinds = [*[pa.int32()] * 4, pa.int64(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took),
+                                              *(pa.array(c, k) for c, k in zip(columns, kinds))], names=out.names)
 
     return both.mapInArrow(run, out)
 
 
+def _once(notes: DataFrame) -> DataFrame:
+    """One row of each (key, sig), the first two columns."""
+    return notes.dropDuplicates(notes.columns[:2])
+
+
 def _cuts(found: DataFrame) -> DataFrame:
-    return (found.filter("first is not null").groupBy("key_", "sig_")
-            .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("cuts_")))    # bounded by the note's lines
+    """(key_, sig_, cuts_): a note's blocks, those that follow one another as one, so blank lines between them are inside."""
+    block = F.struct("x", "y", "first", "last")
+    rows = found.filter("x is not null").groupBy("key_", "sig_").agg(F.sort_array(F.collect_set(block)).alias("blocks"))   # a note's lines at most
+
+    def join(done, b):
+        last = F.element_at(done, -1)
+        wider = F.struct(last["x"].alias("x"), F.greatest(last["y"], b["y"]).alias("y"), last["first"].alias("first"),
+                         F.greatest(last["last"], b["last"]).alias("last"))
+        touches = (F.size(done) > 0) & (b["x"] <= F.try_element_at(done, F.lit(-1))["y"] + 1)
+        return F.when(touches, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(done, F.array(b)))
+
+    empty = F.filter("blocks", lambda b: F.lit(False))
+    return rows.select("key_", "sig_", F.aggregate("blocks", empty, join).alias("cuts_"))
 
 
 def _open(found: DataFrame) -> DataFrame:
     """(key, sig, probe) of runs with a line that no block of `found` holds."""
     left = found.filter("probe is not null").select("key_", "sig_", "probe", "places").distinct()
     near = found.join(left.select("key_", "sig_").distinct(), ["key_", "sig_"], "left_semi")
-    held = lambda p: F.exists("cuts_", lambda c: (c["first"] <= p) & (p <= c["last"]))
+    held = lambda p: F.exists("cuts_", lambda c: (c["x"] <= p) & (p <= c["y"]))
     return (left.join(_cuts(near), ["key_", "sig_"], "left").filter(F.col("cuts_").isNull() | ~F.forall("places", held))
             .select(F.col("key_").alias("key"), F.col("sig_").alias("sig"), "probe").distinct())
 
 
+def copies(lines: DataFrame, least: int) -> DataFrame:
+    """(key_, sig_, x, y, first, last, probe, places) of notes with an equal earlier note: one block, all their lines."""
+    twice = lines.groupBy("sig").agg(F.min("key").alias("own"), F.max("key").alias("top")).filter("own < top").select("sig", "own")
+    whole = lines.filter(F.aggregate("words", F.lit(0), lambda a, w: a + w) >= least).select(
+        "key", "sig", F.lit(0).alias("x"), (F.size("at") - 1).alias("y"), F.element_at("at", 1).alias("first"), F.element_at("at", -1).alias("last"))
+    return (salted_join(whole, twice, ["sig"], F.xxhash64("key")).filter("own < key")
+            .select(F.col("key").alias("key_"), F.col("sig").alias("sig_"), "x", "y", "first", "last", F.lit(None).cast("long").alias("probe"),
+                    F.lit(None).cast("array<int>").alias("places")).distinct())
+
+
 def all_blocks(lines: DataFrame, least: int) -> DataFrame:
-    """`align` of every note with the first holder of each of its runs, and of the runs that stay with their other earlier
-    holders (equal notes are one) until none is left: all at once where these make no more pairs than there are notes, else
-    the next holder of each run."""
+    """The blocks of equal earlier notes (`copies`), `align` of every other note with the first holder of each of its runs, and
+    of the runs that stay with their other earlier holders (equal notes are one), about 1, 2, 4, ... of a run's holders a round,
+    until all have been tried or the run is covered. A holder's round comes from a hash, so a run's holders are not sorted."""
+    same = materialize(copies(lines, least), "copies")
     probes = lines.select(F.explode(F.array_distinct("probes")).alias("probe"), "key", "sig")
-    found = materialize(align(overlapping(probes), lines, least), "blocks")
-    open_ = materialize(_open(found), "open")
+    rest = overlapping(probes).join(same.select(F.col("key_").alias("key"), F.col("sig_").alias("sig")), ["key", "sig"], "left_anti")
+    pairs = materialize(rest, "pairs")
+    blocks = materialize(align(pairs, lines, least), "blocks")
+    discard(pairs)
+    open_ = materialize(_open(blocks), "open")
+    found = same.unionByName(blocks)
     if open_.isEmpty():
         return found
-    notes = lines.count()
-    holders = materialize(probes.join(open_.select("probe").distinct(), "probe", "left_semi").groupBy("probe", "sig")
-                          .agg(F.min("key").alias("key")), "holders").withColumn("own", F.struct("key", "sig")).select("probe", "own")
-    tried = holders.groupBy("probe").agg(F.min("own").alias("tried"))
-    while not open_.isEmpty():
-        rest = materialize(salted_join(holders, tried, ["probe"], F.xxhash64("own")).filter("own > tried").select("probe", "own"), "rest")
-        many = (open_.groupBy("probe").agg(F.count(F.lit(1)).alias("n"))
-                .join(rest.groupBy("probe").agg(F.count(F.lit(1)).alias("m")), "probe").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0)
-        following = rest if many <= notes else rest.groupBy("probe").agg(F.min("own").alias("own"))
-        pairs = _pairs(salted_join(open_, following, ["probe"], F.xxhash64("key", "sig")).filter("own.key < key")
+    holders = probes.join(open_.select("probe").distinct(), "probe", "left_semi").groupBy("probe", "sig").agg(F.min("key").alias("key"))
+    holders = materialize(holders, "holders")
+    # the lines of notes that a later round can name: those with an open run and its holders
+    near = open_.select("key", "sig").union(holders.select("key", "sig")).distinct()
+    few = materialize(lines.select("key", "sig", "at", "lines", "words").join(near, ["key", "sig"], "left_semi"), "open-lines")
+    sizes = holders.groupBy("probe").agg(F.count(F.lit(1)).alias("n"))
+    share = F.pmod(F.xxhash64("key", "sig", "probe"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    turn = F.floor(F.log2(F.floor(share * F.col("n")) + 1)).cast("int")
+    own = materialize(salted_join(holders, sizes, ["probe"], F.xxhash64("sig"))
+                      .select("probe", F.struct("key", "sig").alias("own"), turn.alias("turn")), "turns")
+    last = own.agg(F.max("turn")).first()[0]
+    for step in range(last + 1):
+        pairs = _pairs(salted_join(own.filter(F.col("turn") == step), open_.groupBy("probe").agg(F.max("key").alias("top")), ["probe"], F.xxhash64("own"))
+                       .filter("own.key < top").drop("top").join(open_, "probe").filter("own.key < key")
                        .select("key", "sig", F.col("own.key").alias("from_key"), F.col("own.sig").alias("from_sig"), "probe"))
-        more = materialize(align(pairs, lines, least), "blocks")
-        found = found.unionByName(more)
-        if many <= notes:
+        more = materialize(align(materialize(pairs, "pairs"), few, least), "blocks")
+        found, blocks = found.unionByName(more), blocks.unionByName(more)
+        old, open_ = open_, materialize(_open(blocks.join(open_.select(F.col("key").alias("key_"), F.col("sig").alias("sig_")).distinct(),
+                                                          ["key_", "sig_"], "left_semi")), "open")
+        discard(old)
+        if open_.isEmpty():
             break
-        tried = materialize(following.withColumnRenamed("own", "tried"), "tried")
-        now = materialize(_open(found).join(tried, "probe").filter("tried.key < key").select("key", "sig", "probe"), "open")
-        discard(rest, open_)
-        open_ = now
     return found
 
 
@@ -241,10 +275,11 @@ def dedup_lines(positions: DataFrame, *, key: str = "position_id", note: str = "
     """`positions` with the shared blocks cut out of `note`, and n_lines and n_removed.
 
     Two notes overlap when they share a probe (see `note_lines`); a note is aligned with earlier ones by patience diff over the
-    lines that hold a word, and every aligned block of `least` words or more is deleted from the later note, with blank lines
-    inside it. The first holder (smallest key) of each probe comes first, then the other earlier holders of those not deleted
-    yet (see `all_blocks`), so what is deleted is the same as if every earlier note were tried. Notes are judged as given, not as cut, so the result does not
-    depend on an order of work. A note may lose all lines; its row stays, with an empty text.
+    lines that hold a word, and every aligned block of `least` words or more is deleted from the later note. The first holder
+    (smallest key) of each probe comes first, then the other earlier holders of those not deleted yet (see `all_blocks`), so the
+    lines with words that are deleted are the same as if every earlier note were tried. A blank line goes when the lines with
+    words before and behind it both go, whichever notes they were aligned with. Notes are judged as given, not as cut, so the
+    result does not depend on an order of work. A note may lose all lines with words; its row stays.
 
     Keys order the notes: rows with equal keys never cut each other, a null key neither cuts nor is cut. A null note stays null
     with 0 lines, an empty one has one line; an empty table gives no rows; columns named n_lines or n_removed are replaced."""

@@ -162,9 +162,41 @@ def test_line_dedup_equals_all_earlier_holders(spark, pool, copies):
         for a in split[:k]:
             for x, y in common_blocks(patience_diff(a, b), words, 10):
                 gone |= set(range(x, y + 1))
+        # without blank lines here: see test_blank_lines_go_with_the_lines_around_them
         assert got[k] == "\n".join(x for i, x in enumerate(b) if i not in gone), (k, texts[k])
 
 
+def plain_lines(notes, least=10):
+    """Remaining text of (key, text) notes: every earlier note is aligned, then blank lines between deleted lines go."""
+    out = {}
+    split = [(t.split("\n"), [i for i, x in enumerate(t.split("\n")) if x.strip()]) for _, t in notes]
+    for n, (b, at) in enumerate(split):
+        mine, gone = [" ".join(b[i].split()) for i in at], set()
+        for a, there in split[:n]:
+            for x, y in common_blocks(patience_diff([" ".join(a[i].split()) for i in there], mine), [len(w.split()) for w in mine], least):
+                gone |= set(range(x, y + 1))
+        lost = {at[i] for i in gone} | {p for i in gone if i + 1 in gone for p in range(at[i], at[i + 1])}
+        out[notes[n][0]] = ("\n".join(x for i, x in enumerate(b) if i not in lost), len(lost))
+    return out
+
+
+def test_blank_lines_go_with_the_lines_around_them(spark):
+    p, q4, l1, l2, q5 = [[f"{c}{i}" for i in range(n)] for c, n in zip("pqlmr", (4, 4, 5, 5, 5))]
+    t = lambda *ls: "\n".join(" ".join(x) for x in ls)
+    p1, p2, p3, blank = p, q4, [f"s{i}" for i in range(4)], []
+    notes = [(0, t(l1, l2, p1, p2, p3)), (1, t(p2, p3, l1)), (2, t(l2, q5)), (3, t(l1, l2)), (4, t(p1, p2, p3, l1, blank, l2, q5)),
+             (5, t(blank, l1, blank, blank, l2, blank)), (6, t(p1, p2, p3, l1, blank, l2, q5))]
+    got = {r.position_id: (r.note, r.n_removed) for r in dedup_lines(spark.createDataFrame(notes, "position_id long, note string")).collect()}
+    assert got == plain_lines(notes) and got[4][1] == 7
+
+
+def test_line_dedup_on_documents(spark):
+    notes = sorted((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text is not None)
+    want = plain_lines(notes)
+    assert {r.doc_id: (r.kept_sha256, r.n_removed) for r in q.op2_patience_lines(spark, "/root/testdata/sf0.001").collect() if r.doc_id in want} == {
+        k: (hashlib.sha256(t.encode()).hexdigest(), n) for k, (t, n) in want.items()}
+
+
 # quality
 
 
