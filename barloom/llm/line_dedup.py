@@ -215,7 +215,7 @@ def _cuts(found: DataFrame) -> DataFrame:
 
 def _open(found: DataFrame) -> DataFrame:
     """(key, sig, probe) of runs with a line that no block of `found` holds."""
-    left = found.filter("probe is not null").select("key_", "sig_", "probe", "places").distinct()
+    left = materialize(found.filter("probe is not null").select("key_", "sig_", "probe", "places").distinct(), "left")
     near = found.join(left.select("key_", "sig_").distinct(), ["key_", "sig_"], "left_semi")
     held = lambda p: F.exists("cuts_", lambda c: (c["x"] <= p) & (p <= c["y"]))
     return (left.join(_cuts(near), ["key_", "sig_"], "left").filter(F.col("cuts_").isNull() | ~F.forall("places", held))
@@ -246,6 +246,7 @@ def all_blocks(lines: DataFrame, least: int) -> DataFrame:
     found = same.unionByName(blocks)
     if open_.isEmpty():
         return found
+    held = blocks      # of notes with open runs
     holders = probes.join(open_.select("probe").distinct(), "probe", "left_semi").groupBy("probe", "sig").agg(F.min("key").alias("key"))
     holders = materialize(holders, "holders")
     # the lines of notes that a later round can name: those with an open run and its holders
@@ -261,10 +262,13 @@ def all_blocks(lines: DataFrame, least: int) -> DataFrame:
         pairs = _pairs(salted_join(own.filter(F.col("turn") == step), open_.groupBy("probe").agg(F.max("key").alias("top")), ["probe"], F.xxhash64("own"))
                        .filter("own.key < top").drop("top").join(open_, "probe").filter("own.key < key")
                        .select("key", "sig", F.col("own.key").alias("from_key"), F.col("own.sig").alias("from_sig"), "probe"))
-        more = materialize(align(materialize(pairs, "pairs"), few, least), "blocks")
-        found, blocks = found.unionByName(more), blocks.unionByName(more)
-        old, open_ = open_, materialize(_open(blocks.join(open_.select(F.col("key").alias("key_"), F.col("sig").alias("sig_")).distinct(),
-                                                          ["key_", "sig_"], "left_semi")), "open")
+        pairs = materialize(pairs, "pairs")
+        more = materialize(align(pairs, few, least), "blocks")
+        discard(pairs)
+        found = found.unionByName(more)
+        notes = open_.select(F.col("key").alias("key_"), F.col("sig").alias("sig_")).distinct()
+        held = materialize(held.unionByName(more).join(notes, ["key_", "sig_"], "left_semi"), "held")
+        old, open_ = open_, materialize(_open(held), "open")
         discard(old)
         if open_.isEmpty():
             break
