@@ -1,6 +1,6 @@
 """Models behind one call: `fit(train, val, features, cfg)` gives scores and importances.
 
-Fits run on the executors (normal equations and tree statistics are tree aggregates); the driver
+Fits run on the executors (sums of products and tree statistics are aggregates); the driver
 holds coefficients and fold bounds only."""
 
 from __future__ import annotations
@@ -8,15 +8,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom.config import ModelConfig, SplitConfig
 from barloom.operators import metrics as mt
+from barloom.operators.features import rank_features
+from barloom.operators.linear import Moments, moments, ridge_blocks, ridge_weights
 from barloom.operators.panel import calendar
 from barloom.operators.splits import check_no_overlap, train_val_split, walk_forward_splits
+from barloom.session import materialize
 
 
 @dataclass
@@ -37,17 +41,18 @@ def _scorer(model, features: list[str]) -> Callable[[DataFrame], DataFrame]:
 
 
 def fit_ridge(train: DataFrame, val: DataFrame | None, features: list[str], cfg: ModelConfig) -> Fitted:
-    """Least squares with an L2 penalty on standardised inputs. The library divides its loss by n and scales
-    the target, so the penalty is alpha * sd(y) / n."""
-    filled = train.fillna(0.0, subset=features)
-    s = filled.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("target").alias("sd"),
-                   *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
-    reg = cfg.ridge_alpha * (s["sd"] or 0.0) / max(s["n"], 1)
-    lr = LinearRegression(featuresCol="x", labelCol="target", elasticNetParam=0.0, standardization=True,
-                          solver="normal", regParam=reg)
-    model = lr.fit(_vectors(train, features))
-    imp = {c: abs(float(w) * (s[f"s_{c}"] or 0.0)) for c, w in zip(features, model.coefficients)}
-    return Fitted(_scorer(model, features), imp)
+    """Least squares with an L2 penalty on standardised inputs, in closed form from one scan's sums of products."""
+    total = np.zeros((2 + len(features),) * 2)
+    for r in moments(train, features, ["target"], F.lit(0)).toLocalIterator():
+        total[r["i"], r["j"]] = total[r["j"], r["i"]] = r["value"]
+    if not total[0, 0]:
+        raise ValueError("no row with a target")
+    w, add, imp = ridge_weights(Moments(len(features), total), cfg.ridge_alpha)
+
+    def score(d: DataFrame) -> DataFrame:
+        return d.withColumn("score", sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * float(v) for c, v in zip(features, w[:, 0])),
+                                         F.lit(float(add[0]))))
+    return Fitted(score, dict(zip(features, imp[:, 0].tolist())))
 
 
 def fit_gbt(train: DataFrame, val: DataFrame | None, features: list[str], cfg: ModelConfig) -> Fitted:
@@ -72,10 +77,9 @@ def build_model(name: str) -> Callable[..., Fitted]:
     return REGISTRY[name]
 
 
-def walk_forward(d: DataFrame, features: list[str], splits: SplitConfig, cfg: ModelConfig, horizon: int
-                 ) -> tuple[DataFrame, DataFrame]:
-    """Out-of-sample scores (date, ticker, model, score) and importances (model, fold, feature, importance).
-    `d` should be a stored table: every fold filters it by session. The loop is over folds and models only."""
+def fold_blocks(d: DataFrame, splits: SplitConfig, cfg: ModelConfig, horizon: int
+                ) -> tuple[DataFrame, dict[str, dict[int, tuple[int, int]]]]:
+    """`d` with `sid`, and {role: {fold: (sid_from, sid_to)}} of the roles fit, val and test, checked for overlap."""
     cal = calendar(d).select("date", "sid", "n_sessions")
     folds = walk_forward_splits(cal, splits, horizon)
     if folds.filter("role = 'train'").count() == 0:
@@ -83,26 +87,42 @@ def walk_forward(d: DataFrame, features: list[str], splits: SplitConfig, cfg: Mo
     bad = check_no_overlap(folds, horizon, splits.embargo).filter("not ok").limit(1).count()
     if bad:
         raise AssertionError("a training block reaches into its test block")
-    blocks = {(r["fold"], r["role"]): (r["sid_from"], r["sid_to"]) for r in
-              train_val_split(folds, cfg.val_fraction, horizon, splits.embargo).select("fold", "role", "sid_from", "sid_to")
-              .union(folds.filter("role = 'test'").select("fold", "role", "sid_from", "sid_to")).toLocalIterator()}
-    d = d.drop("sid", "n_sessions").join(F.broadcast(cal.select("date", "sid")), "date")
+    blocks: dict[str, dict[int, tuple[int, int]]] = {"fit": {}, "val": {}, "test": {}}
+    for r in (train_val_split(folds, cfg.val_fraction, horizon, splits.embargo).select("fold", "role", "sid_from", "sid_to")
+              .union(folds.filter("role = 'test'").select("fold", "role", "sid_from", "sid_to")).toLocalIterator()):
+        blocks[r["role"]][r["fold"]] = (r["sid_from"], r["sid_to"])
+    return d.drop("sid", "n_sessions").join(F.broadcast(cal.select("date", "sid")), "date"), blocks
+
+
+def walk_forward(d: DataFrame, features: list[str], splits: SplitConfig, cfg: ModelConfig, horizon: int
+                 ) -> tuple[DataFrame, DataFrame]:
+    """Out-of-sample scores (date, ticker, model, score) and importances (model, fold, feature, importance).
+    `d` should be a stored table. Ridge fits all folds from one scan (`linear.block_moments`); other models filter the table by
+    session for every fold."""
+    d, blocks = fold_blocks(d, splits, cfg, horizon)
 
-    def part(key: tuple[int, str]) -> DataFrame | None:
-        if key not in blocks:
+    def part(fold: int, role: str) -> DataFrame | None:
+        if fold not in blocks[role]:
             return None
-        a, b = blocks[key]
+        a, b = blocks[role][fold]
         return d.filter((F.col("sid") >= a) & (F.col("sid") < b))
 
-    scores, imps = None, []
-    for fold in sorted({k[0] for k in blocks}):
-        fit, val, test = part((fold, "fit")), part((fold, "val")), part((fold, "test"))
+    made, imps = [], []
+    for name in cfg.models:
+        if build_model(name) is fit_ridge:
+            s, weights = ridge_blocks(d, features, ["target"], blocks["fit"], blocks["test"], cfg)
+            made.append(s.select("date", "ticker", F.lit(name).alias("model"), F.col("score_target").alias("score")))
+            imps += [(name, fold, c, float(v)) for fold, w in weights.items() for c, v in zip(features, w[:, 0])]
+            continue
         known = F.col("target").isNotNull()
-        for name in cfg.models:
+        for fold in sorted(blocks["test"]):
+            fit, val, test = part(fold, "fit"), part(fold, "val"), part(fold, "test")
             f = build_model(name)(fit.filter(known), None if val is None else val.filter(known), features, cfg)
-            s = f.score(test).select("date", "ticker", F.lit(name).alias("model"), "score")
-            scores = s if scores is None else scores.unionByName(s)
+            made.append(f.score(test).select("date", "ticker", F.lit(name).alias("model"), "score"))
             imps += [(name, fold, c, v) for c, v in f.importance.items()]
+    scores = made[0]
+    for s in made[1:]:
+        scores = scores.unionByName(s)
     return scores, d.sparkSession.createDataFrame(imps, "model string, fold int, feature string, importance double")
 
 
@@ -135,13 +155,27 @@ def low_day_classifier(d: DataFrame, features: list[str], split_sid: int, gap: i
     return out.select("date", "ticker", F.col("low_day").cast("int").alias("low_day"), F.col("prediction").cast("int").alias("guess"))
 
 
-def permutation_null_test(d: DataFrame, score: str, outcome: str, seeds: int, min_names: int = 20,
-                          bound: int | None = None) -> DataFrame:
-    """Skill of scores shuffled within each date. Skill uses ranks only, and ordering a date's scored names by a
-    hash is a random permutation of those ranks, so nothing has to be moved between rows."""
-    x = d.filter(F.col(score).isNotNull()).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    x = x.withColumn("_x", F.xxhash64("ticker", F.col("date").cast("string"), "seed").cast("double"))
-    ic = mt.daily_ic(x, "_x", outcome, min_names, bound, keys=("date", "seed"))
+def permuted_targets(d: DataFrame, seeds: int, bound: int | None = None) -> tuple[DataFrame, list[str]]:
+    """`d` with a column for each seed: the rank targets of a date's names in a random order (the ranks of a hash of ticker, date
+    and seed, among the names with a target)."""
+    names = [f"null_{s}" for s in range(seeds)]
+    draws = {n: F.when(F.col("target").isNotNull(), F.xxhash64("ticker", F.col("date").cast("string"), F.lit(s)).cast("double"))
+             for s, n in enumerate(names)}
+    return rank_features(d.withColumns(draws), names, 1, bound), names
+
+
+def permutation_null_test(d: DataFrame, features: list[str], splits: SplitConfig, cfg: ModelConfig, horizon: int, seeds: int,
+                          min_names: int = 20, bound: int | None = None) -> DataFrame:
+    """Skill of ridge refitted on targets that no feature can know: `seeds` permutations of each date's targets, fitted on
+    every fold and scored out of sample against the permuted targets. All share the features' products, so they cost one scan."""
+    d, targets = permuted_targets(d, seeds, bound)
+    d = materialize(d.select("date", "ticker", *features, *targets), "null-targets")
+    d, blocks = fold_blocks(d, splits, cfg, horizon)
+    scores, _ = ridge_blocks(d, features, targets, blocks["fit"], blocks["test"], cfg)
+    both = scores.join(d.select("date", "ticker", *targets), ["date", "ticker"])
+    long = both.select("date", "ticker", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("seed"), F.col(f"score_{t}").alias("score"), F.col(t).alias("outcome")) for i, t in enumerate(targets)])).alias("_r"))
+    ic = mt.daily_ic(long.select("date", "ticker", "_r.*"), "score", "outcome", min_names, bound, keys=("date", "seed"))
     return mt.ic_summary(ic, ("seed",))
 
 

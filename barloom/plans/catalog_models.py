@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import FeatureConfig, LabelConfig, ModelConfig, weekly
 from barloom.operators import features as ft, labels as lb, ledger as ld, metrics as mt, models as md
+from barloom.operators.linear import block_moments
 from barloom.operators.panel import with_sessions
 from barloom.plans.catalog_books import BOOK, H, SIG
 from barloom.plans.catalog_features import FEATS, LABELS, LOWH
@@ -23,6 +24,7 @@ COLS = ft.names(CFG)
 QUICK = ModelConfig(gbt_trees=8, gbt_step=0.1, gbt_depth=4, gbt_min_child=50)
 RUN = replace(weekly(), data=UNI)
 SPLITS = RUN.splits
+GAP = H + SPLITS.embargo
 
 
 def frame(t):
@@ -36,39 +38,59 @@ def frame(t):
     return t.keep("frame", make)
 
 
+def dataset(t):
+    """Tradable rows with features and labels, as models see them; stored once a query."""
+    return t.keep("dataset", lambda: prepare_dataset(t.keep("bars", t.weekly_bars), RUN, t.names_bound))
+
+
 def walk(t, models=("ridge", "gbt"), features=None, d=None):
-    return md.walk_forward(frame(t) if d is None else d, features or COLS, SPLITS, replace(QUICK, models=models), H)
+    return md.walk_forward(dataset(t) if d is None else d, features or COLS, SPLITS, replace(QUICK, models=models), H)
 
 
 LIVE = " + ".join(f"(r.{c} is not null)::int" for c in COLS)
 
 
-@query("prepare_dataset", "date:d ticker:s fwd_ret:f ret_next_1d:f target:f close:f " + " ".join(f"{c}:f" for c in COLS), with_(
-    FEATS + UNIV[len(PANEL):] + LABELS[len(GRID):], f"""select r.date, r.ticker, l.fwd_ret, l.ret_next_1d, l.target, u.close, {', '.join('r.' + c for c in COLS)}
+DATASET = FEATS + UNIV[len(PANEL):] + LABELS[len(GRID):] + f""", ds as (
+  select r.date, r.ticker, l.fwd_ret, l.ret_next_1d, l.target, u.close, {', '.join('r.' + c for c in COLS)}
   from ranked r join labels_w l on l.date = r.date and l.ticker = r.ticker join univ u on u.date = r.date and u.ticker = r.ticker
-  where u.tradable and ({LIVE}) / {len(COLS)}.0 >= 0.5""", True))
+  where u.tradable and ({LIVE}) / {len(COLS)}.0 >= 0.5)"""
+
+
+@query("prepare_dataset", "date:d ticker:s fwd_ret:f ret_next_1d:f target:f close:f " + " ".join(f"{c}:f" for c in COLS),
+       with_(DATASET, "select * from ds", True))
+def _(t):
+    return dataset(t)
+
+
+@query("ridge_moments", "fold:i feature:s rows_:i mean:f spread:f with_target:f", with_(DATASET + f""",
+  days as (select date, row_number() over (order by date) - 1 as day, count(*) over () as n from (select distinct date from ds)),
+  tests as (select k, n - {SPLITS.test_size} * (k + 1) as start from (select distinct n from days), range({SPLITS.n_splits}) t_(k)
+            where n - {SPLITS.test_size} * (k + 1) - {GAP} >= {SPLITS.min_train}),
+  trains as (select (select max(k) from tests) - k as fold, start - {GAP} as n, cast(floor((start - {GAP}) * 0.15) as int) as nv from tests),
+  fits as (select fold, case when nv < 20 or n - nv - {GAP} < 50 then n else n - nv - {GAP} end as upto from trains),
+  long as (unpivot (select fold, target, {', '.join(f'coalesce({c}, 0.0) as {c}' for c in COLS)} from ds join days using (date)
+           join fits on day < upto where target is not null) on {', '.join(COLS)} into name feature value v)""",
+    """select fold, feature, count(*) as rows_, avg(v) as mean, stddev_pop(v) as spread,
+  sum(v * target) - count(*) * avg(v) * avg(target) as with_target from long group by fold, feature""", True))
 def _(t):
-    return prepare_dataset(t.keep("bars", t.weekly_bars), RUN, t.names_bound)
+    """What ridge sees of each fold's training block, from the running sums of products."""
+    d, blocks = md.fold_blocks(dataset(t), SPLITS, QUICK, H)
+    rows = []
+    for fold, m in block_moments(d, COLS, ["target"], blocks["fit"]).items():
+        xx, xy = m.centred()
+        rows += [(fold, c, int(m.n), float(m.means()[i]), float(max(xx[i, i], 0.0) / m.n) ** 0.5, float(xy[i, 0])) for i, c in enumerate(COLS)]
+    return d.sparkSession.createDataFrame(rows, "fold int, feature string, rows_ long, mean double, spread double, with_target double")
 
 
 @query("evaluate_full", "model:s ic_mean:f ic_t_stat:f ic_days:i")
 def _(t):
     """Universe, 33 features, labels, tradable rows, walk-forward of both models, ensemble and skill, end to end."""
-    d = t.keep("dataset", lambda: prepare_dataset(t.keep("bars", t.weekly_bars), RUN, t.names_bound))
-    cal = with_sessions(t.keep("bars", t.weekly_bars)).select("date", "sid", "n_sessions").distinct()
-    p = walk(t, d=d.join(cal, "date"))[0]
+    p = walk(t)[0]
     p = p.unionByName(ld.ensemble_zscore(p).withColumn("model", F.lit("ensemble")))
-    j = p.join(d.select("date", "ticker", "fwd_ret"), ["date", "ticker"])
+    j = p.join(dataset(t).select("date", "ticker", "fwd_ret"), ["date", "ticker"])
     return mt.ic_summary(mt.daily_ic(j, "score", "fwd_ret", 20, t.names_bound))
 
 
-SCORED = "model:s fold_dates:i rows_:i names:i"
-
-
-def _count(p):
-    return p.groupBy("model").agg(F.count_distinct("date").alias("fold_dates"), F.count(F.lit(1)).alias("rows_"), F.count_distinct("ticker").alias("names"))
-
-
 @query("ridge_fit_predict", "date:d ticker:s score:f")
 def _(t):
     return walk(t, ("ridge",))[0]
@@ -79,18 +101,14 @@ def _(t):
     return walk(t, ("gbt",))[0]
 
 
-@query("walk_forward_predict", SCORED)
+@query("walk_forward_predict", "date:d ticker:s model:s score:f")
 def _(t):
-    return _count(walk(t)[0])
+    return walk(t)[0]
 
 
 @query("model_registry", "model:s ic_mean:f ic_t_stat:f ic_days:i")
 def _(t):
-    p = None
-    for name in ("ridge", "gbt"):
-        s = walk(t, (name,))[0]
-        p = s if p is None else p.unionByName(s)
-    j = p.join(frame(t).select("date", "ticker", "fwd_ret"), ["date", "ticker"])
+    j = walk(t)[0].join(dataset(t).select("date", "ticker", "fwd_ret"), ["date", "ticker"])
     return mt.ic_summary(mt.daily_ic(j, "score", "fwd_ret", 20, t.names_bound))
 
 
@@ -111,13 +129,13 @@ def _(t):
 
 @query("permutation_null_test", "seed:i ic_mean:f ic_t_stat:f ic_days:i")
 def _(t):
-    return md.permutation_null_test(kept_scores(t, H), "mom", "fwd_ret", 8, BOOK.min_names, t.names_bound)
+    return md.permutation_null_test(dataset(t), COLS, SPLITS, ModelConfig(), H, 12, BOOK.min_names, t.names_bound)
 
 
 @query("leak_positive_control", "model:s ic_mean:f ic_t_stat:f fired:b")
 def _(t):
-    d = t.keep("leaky", lambda: md.add_leak(frame(t), "target", 0.5, 7))
-    p = walk(t, ("ridge",), COLS + ["leak"], d)[0].join(frame(t).select("date", "ticker", "fwd_ret"), ["date", "ticker"])
+    d = t.keep("leaky", lambda: md.add_leak(dataset(t), "target", 0.5, 7))
+    p = walk(t, ("ridge",), COLS + ["leak"], d)[0].join(dataset(t).select("date", "ticker", "fwd_ret"), ["date", "ticker"])
     return mt.ic_summary(mt.daily_ic(p, "score", "fwd_ret", 20, t.names_bound)).withColumn("fired", F.abs("ic_t_stat") > 20)
 
 

@@ -2,7 +2,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from barloom.config import ModelConfig
+from barloom.config import ModelConfig, SplitConfig
+from barloom.operators import linear, metrics as mt, models
 from barloom.operators.models import build_model, fit_ridge
 from barloom.streaming import ops, tables as tb
 
@@ -22,6 +23,51 @@ def test_ridge_equals_closed_form(spark):
     np.testing.assert_allclose(got, z @ w + y.mean(), atol=1e-6)
 
 
+def test_ridge_of_all_folds_equals_closed_form(spark):
+    """Overlapping training blocks, several targets, missing features and targets, a constant feature, an empty test block."""
+    rng = np.random.default_rng(5)
+    n = 900
+    x = rng.normal(size=(n, 4)) * [1, 3, 0.2, 0] + [2, -1, 0, 4]
+    y = np.stack([x @ [0.5, -0.1, 2.0, 1.0] + rng.normal(size=n), rng.normal(size=n)], 1)
+    sid = np.arange(n) % 60
+    hole = rng.random((n, 4)) < 0.1
+    rows = [(int(s), f"T{i}", *(None if h else float(v) for v, h in zip(r, m)), float(t[0]), None if i % 7 == 0 else float(t[1]), i)
+            for i, (s, r, m, t) in enumerate(zip(sid, x, hole, y))]
+    d = spark.createDataFrame(rows, "sid int, ticker string, a double, b double, c double, k double, up double, noise double, at int")
+    d = d.withColumn("date", F.date_add(F.lit("2001-01-01").cast("date"), F.col("sid"))).repartition(5)
+    fits, tests = {0: (0, 20), 1: (0, 40), 2: (15, 40)}, {0: (22, 40), 1: (44, 60), 2: (60, 70)}
+    got, imp = linear.ridge_blocks(d, ["a", "b", "c", "k"], ["up", "noise"], fits, tests, ModelConfig())
+    found = {(r.fold, r.ticker): (r.score_up, r.score_noise) for r in got.collect()}
+    z = np.where(hole, 0.0, x)
+    known = np.arange(n) % 7 != 0
+    want = {}
+    for k, (a, b) in fits.items():
+        m = known & (sid >= a) & (sid < b)
+        sd = z[m].std(0)
+        s = (z - z[m].mean(0)) / np.where(sd > 1e-9, sd, 1)
+        w = np.linalg.solve(s[m].T @ s[m] + 10.0 * np.eye(4), s[m].T @ (y[m] - y[m].mean(0)))
+        np.testing.assert_allclose(imp[k], np.abs(w) * (sd > 1e-9)[:, None], atol=1e-9)
+        for i in np.flatnonzero((sid >= tests[k][0]) & (sid < tests[k][1])):
+            want[k, f"T{i}"] = tuple(s[i] @ w + y[m].mean(0))
+    assert set(found) == set(want)
+    np.testing.assert_allclose([found[k] for k in sorted(found)], [want[k] for k in sorted(found)], atol=1e-9)
+
+
+def test_null_test_refits_and_the_leak_fires(spark):
+    rng = np.random.default_rng(9)
+    rows = [(d, f"T{i}", float(rng.normal()), float(rng.normal()), float(i / 40 - 0.5)) for d in range(260) for i in rng.permutation(40).tolist()]
+    d = spark.createDataFrame(rows, "day int, ticker string, a double, b double, target double")
+    d = d.withColumn("date", F.date_add(F.lit("2001-01-01").cast("date"), F.col("day"))).drop("day")
+    splits, cfg = SplitConfig(n_splits=3, test_size=40, min_train=100, embargo=2), ModelConfig(models=("ridge",))
+    t, names = models.permuted_targets(d, 3)
+    assert all(t.groupBy("date").agg(F.count_distinct(n).alias("n"), F.sum(n).alias("s")).filter(f"n <> 40 or abs(s - 0.5) > 1e-9").count() == 0 for n in names)
+    null = models.permutation_null_test(d, ["a", "b"], splits, cfg, 2, seeds=12).collect()
+    assert len(null) == 12 and max(abs(r.ic_t_stat) for r in null) < 4 and {r.ic_days for r in null} == {120}
+    leaky = models.add_leak(d, "target", 0.5, 3)
+    scores = models.walk_forward(leaky, ["a", "b", "leak"], splits, cfg, 2)[0].join(d.select("date", "ticker", "target"), ["date", "ticker"])
+    assert mt.ic_summary(mt.daily_ic(scores, "score", "target")).first().ic_t_stat > 20
+
+
 def test_unknown_model():
     with pytest.raises(ValueError):
         build_model("oracle")
