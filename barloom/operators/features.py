@@ -13,7 +13,7 @@ from barloom.config import FeatureConfig
 from barloom.functions import ladder
 from barloom.functions.frames import by_ticker, guarded, prefix, roll_mean, roll_std
 from barloom.functions.nums import finite, ratio
-from barloom.functions.smoothing import ewm_array, span_alpha, with_series
+from barloom.functions.smoothing import smooth, span_alpha
 from barloom.operators.panel import calendar, fill_holes, with_sessions
 
 
@@ -175,30 +175,28 @@ def idio_volatility(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
 
 
 def smoothed(d: DataFrame, cfg: FeatureConfig, want: tuple[str, ...] = ("atr_pct", "rsi", "macd_hist")) -> DataFrame:
-    """The recursive features. Inputs are prepared with windows, the recursions fold over a ticker's
-    ordered array; the array is gathered under the partitioning the windows already have."""
+    """The recursive features."""
     pc, delta = back("close", 1), F.col("close") - back("close", 1)
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))
     d = d.withColumns({"_tr": true_range, "_up": F.greatest(delta, F.lit(0.0) * delta),
                        "_dn": F.greatest(-delta, F.lit(0.0) * delta)})
     series = {}
     if "atr_pct" in want:
-        series["_atr"] = lambda get: ewm_array(get("_tr"), 1 / cfg.atr_window, cfg.atr_window)
+        series["_atr"] = ("_tr", 1 / cfg.atr_window, cfg.atr_window)
     if "rsi" in want:
-        series["_gain"] = lambda get: ewm_array(get("_up"), 1 / cfg.rsi_window, cfg.rsi_window)
-        series["_loss"] = lambda get: ewm_array(get("_dn"), 1 / cfg.rsi_window, cfg.rsi_window)
+        series["_gain"] = ("_up", 1 / cfg.rsi_window, cfg.rsi_window)
+        series["_loss"] = ("_dn", 1 / cfg.rsi_window, cfg.rsi_window)
     if "macd_hist" in want:
-        series["_e12"] = lambda get: ewm_array(get("close"), span_alpha(12), 12)
-        series["_e26"] = lambda get: ewm_array(get("close"), span_alpha(26), 26)
-        series["_macd"] = lambda get: F.zip_with(get("_e12"), get("_e26"), lambda a, b: a - b)
-        series["_sig"] = lambda get: ewm_array(get("_macd"), span_alpha(9), 9)
-    d = with_series(d, series)
+        series["_e12"] = ("close", span_alpha(12), 12)
+        series["_e26"] = ("close", span_alpha(26), 26)
+    d = smooth(d, series)
     if "atr_pct" in want:
         d = d.withColumn("atr_pct", ratio(F.col("_atr"), F.col("close")))
     if "rsi" in want:
         d = d.withColumn("rsi", 100 - 100 / (1 + ratio(F.col("_gain"), F.col("_loss"))))
     if "macd_hist" in want:
-        d = d.withColumn("macd_hist", ratio(F.col("_macd") - F.col("_sig"), F.col("close")))
+        d = smooth(d.withColumn("_macd", F.col("_e12") - F.col("_e26")), {"_sig": ("_macd", span_alpha(9), 9)})
+        d = d.withColumn("macd_hist", ratio(F.col("_macd") - F.col("_sig"), F.col("close"))).drop("_macd", "_sig")
     return d.drop("_tr", "_up", "_dn", *series)
 
 
@@ -211,7 +209,7 @@ def raw_features(panel: DataFrame, cfg: FeatureConfig, cols: list[str] | None =
     plain = [s for s in stages if hasattr(s, "exprs")]
     needs = sorted({"ret1", *(c for s in plain for c in s.needs)})
     d = grid(panel, cfg)
-    if smoothed in stages:      # gathers a ticker's rows, so it goes first, while they are narrow
+    if smoothed in stages:      # sorts by block, so it goes first, while rows are narrow
         d = smoothed(d, cfg)
     d = prefix(d, *needs)
     made = {k: c for s in plain for k, c in s.exprs(cfg).items()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import FeatureConfig, LabelConfig, weekly
 from barloom.functions.frames import at
-from barloom.functions.smoothing import ewm_array, halflife_alpha, with_series
+from barloom.functions.smoothing import halflife_alpha, smooth
 from barloom.operators import features as ft, labels as lb, splits as sp
 from barloom.operators.panel import calendar, fill_holes, with_sessions
 from barloom.plans.registry import query
@@ -106,7 +106,7 @@ EWM = GRID + ", " + ewm("e", "grid", [("y", "close", 0.2)])
 def _(t):
     cal = calendar(t.weekly_bars())
     g = fill_holes(with_sessions(t.weekly_bars(), cal), cal)
-    d = with_series(g, {"smooth": lambda get: ewm_array(get("close"), 0.2, 3)})
+    d = smooth(g, {"smooth": ("close", 0.2, 3)})
     return d.filter("smooth is not null")
 
 
@@ -119,7 +119,7 @@ EWA = GRID + ", " + ewm("e", "grid", [("y", "close", HALF)], adjust=True)
 def _(t):
     cal = calendar(t.weekly_bars())
     g = fill_holes(with_sessions(t.weekly_bars(), cal), cal)
-    d = with_series(g, {"smooth": lambda get: ewm_array(get("close"), HALF, 5, adjust=True)})
+    d = smooth(g, {"smooth": ("close", HALF, 5)}, adjust=True)
     return d.filter("smooth is not null")
 
 
