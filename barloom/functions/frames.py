@@ -69,3 +69,37 @@ def roll_std(c: str, n: int, least: int) -> Column:
     """Sample standard deviation of the last n rows."""
     w = by_ticker().rowsBetween(-(n - 1), 0)
     return F.when(F.count(c).over(w) >= max(least, 2), F.stddev_samp(c).over(w))
+
+
+# ---- rolling extremes from blocks ---------------------------------------------------------------
+# The last n rows reach into two blocks of n rows at most: the largest value is that of the running maximum of the row's own
+# block and of the reversed running maximum of the block before, n - 1 rows back.
+
+
+def extremes(d: DataFrame, c: str, n: int, at: str = "sid", keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """Adds the running extremes of `c` in blocks of n rows, for `roll_extreme`; `at` numbers an entity's rows without gaps."""
+    block = f"_x_{c}_{n}"
+    if block in d.columns:
+        return d
+    d = d.withColumn(block, F.floor(F.col(at) / n))
+    w = Window.partitionBy(*keys, block).orderBy(at)
+    upto, onward = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    return d.withColumns({f"_{k}{f.__name__}_{c}_{n}": f(c).over(frame) for k, frame in (("p", upto), ("s", onward)) for f in (F.max, F.min)})
+
+
+def roll_extreme(agg: Callable[[Column], Column], c: str, n: int, at: str = "sid", keys: tuple[str, ...] = ("ticker",)) -> Column:
+    """F.max or F.min of the last n rows of `c`, missing values left out."""
+    w, block = Window.partitionBy(*keys).orderBy(at), F.col(f"_x_{c}_{n}")
+    behind = f"_s{agg.__name__}_{c}_{n}"
+    first = w.rowsBetween(Window.unboundedPreceding, 0)
+    # a row with fewer rows before it looks back to the entity's first one, if that stands in an earlier block
+    start = F.when(F.first(block).over(first) < block, F.first(behind).over(first))
+    early = F.row_number().over(w) < n
+    back = F.when(early, start).otherwise(F.lag(behind, n - 1).over(w))
+    pick = F.greatest if agg is F.max else F.least
+    return pick(F.col(f"_p{agg.__name__}_{c}_{n}"), back)
+
+
+def roll_count(c: str, n: int) -> Column:
+    """Values among the last n rows of a column that `prefix` has seen."""
+    return _part("c", c, n)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.config import FeatureConfig
 from barloom.functions import ladder
-from barloom.functions.frames import by_ticker, guarded, prefix, roll_mean, roll_std
+from barloom.functions.frames import by_ticker, extremes, guarded, prefix, roll_count, roll_extreme, roll_mean, roll_std
 from barloom.functions.nums import finite, ratio
 from barloom.functions.smoothing import smooth, span_alpha
 from barloom.operators.panel import calendar, fill_holes, with_sessions
@@ -49,13 +49,15 @@ def change(n: int) -> Column:
     return ratio(F.col("px"), back("px", n)) - 1
 
 
-def stage(*needs: str):
-    """A stage made of expressions over the grid and the running sums of `needs`. Alone it adds its columns;
-    `raw_features` adds those of all such stages in one window pass."""
+def stage(*needs: str, blocks: tuple[tuple[str, int], ...] = ()):
+    """A stage made of expressions over the grid, the running sums of `needs` and the block extremes of `blocks`. Alone it adds
+    its columns; `raw_features` adds those of all such stages in one window pass."""
     def wrap(fn):
         def run(d: DataFrame, cfg: FeatureConfig) -> DataFrame:
+            for c, n in blocks:
+                d = extremes(d, c, n)
             return prefix(d, *needs).withColumns(fn(cfg))
-        run.exprs, run.needs, run.__name__ = fn, needs, fn.__name__
+        run.exprs, run.needs, run.blocks, run.__name__ = fn, needs, blocks, fn.__name__
         return run
     return wrap
 
@@ -78,11 +80,14 @@ def moving_averages(cfg):
             "sma20_over_sma50": ratio(s20, s50) - 1}
 
 
-@stage()
+YEAR = 252
+
+
+@stage("close", blocks=(("close", YEAR),))
 def year_extremes(cfg):
-    c = F.col("close")
-    return {"dist_52w_high": ratio(c, guarded(F.max, c, 252, 180)) - 1,
-            "dist_52w_low": ratio(c, guarded(F.min, c, 252, 180)) - 1}
+    c, known = F.col("close"), roll_count("close", YEAR) >= 180
+    return {"dist_52w_high": ratio(c, F.when(known, roll_extreme(F.max, "close", YEAR))) - 1,
+            "dist_52w_low": ratio(c, F.when(known, roll_extreme(F.min, "close", YEAR))) - 1}
 
 
 def _vol(n: int) -> Column:
@@ -211,9 +216,13 @@ def raw_features(panel: DataFrame, cfg: FeatureConfig, cols: list[str] | None =
     d = grid(panel, cfg)
     if smoothed in stages:      # sorts by block, so it goes first, while rows are narrow
         d = smoothed(d, cfg)
+    blocks = sorted({b for s in plain for b in s.blocks})
+    for c, n in blocks:
+        d = extremes(d, c, n)
     d = prefix(d, *needs)
     made = {k: c for s in plain for k, c in s.exprs(cfg).items()}
     d = d.withColumns(made | {"_chg21": change(21)})
+    d = d.drop(*[f"_{k}_{c}_{n}" for k in ("x", "pmax", "pmin", "smax", "smin") for c, n in blocks])
     d = d.drop(*[f"_{k}_{c}" for k in "kcs" for c in needs if c != "ret1"], "ldv", "impact", "rng", "dv", "volume", "open", "high", "low")
     for s in stages:
         if s not in plain and s is not smoothed:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.functions.frames import at
+from barloom.functions.frames import at, extremes, roll_extreme
 from barloom.functions.nums import ratio
 from barloom.operators.forecast import Z80, left_bin
 
@@ -35,9 +35,12 @@ def planned_exits(holdings: DataFrame, ranks: DataFrame, prices: DataFrame, leav
 
 def peak_exit_flag(bars: DataFrame, lookback: int = 60) -> DataFrame:
     """`peaked`: the close reaches the highest close of the last sessions, given enough history."""
-    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(-(lookback - 1), 0)
-    top = F.when(F.count("close").over(w) >= max(3, lookback // 2), F.max("close").over(w))
-    return bars.withColumn("peak", top).withColumn("peaked", F.coalesce(F.col("close") >= F.col("peak"), F.lit(False)))
+    w = Window.partitionBy("ticker").orderBy("date")
+    d = bars.withColumns({"_at": F.row_number().over(w), "_seen": F.count("close").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    d = extremes(d, "close", lookback, "_at")
+    known = F.col("_seen") - F.coalesce(F.lag("_seen", lookback).over(w), F.lit(0))
+    d = d.withColumn("peak", F.when(known >= max(3, lookback // 2), roll_extreme(F.max, "close", lookback, "_at")))
+    return d.select(*bars.columns, "peak", F.coalesce(F.col("close") >= F.col("peak"), F.lit(False)).alias("peaked"))
 
 
 def band_exit_flag(entries: DataFrame, bars: DataFrame, cal: DataFrame, horizon: int, n_bins: int = 10) -> DataFrame:
