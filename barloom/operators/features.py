@@ -231,17 +231,27 @@ def raw_features(panel: DataFrame, cfg: FeatureConfig, cols: list[str] | None =
     return d.select("date", "ticker", *[finite(F.col(c)).alias(c) for c in cols])
 
 
+def _rank_in_dates(d: DataFrame, cols: list[str], min_names: int) -> DataFrame:
+    """One sort of narrow rows (date, feature, value) ranks every column: rows are dealt by date, opened into a row per feature
+    there, ranked, and put together again under the same dealing. `d` has at most one row of a ticker on a date."""
+    rest = [c for c in d.columns if c not in ("date", "ticker", *cols)]
+    long = d.repartition("date").select("date", "ticker", *([F.struct(*rest).alias("_rest")] if rest else []), F.posexplode(F.array(*[
+        F.col(c).cast("double") for c in cols])).alias("_f", "_v"))
+    if rest:
+        long = long.withColumn("_rest", F.when(F.col("_f") == 0, F.col("_rest")))
+    r, n = ladder.rank_expr(["date", "_f"], "_v")
+    long = long.withColumn("_p", F.when(F.col("_v").isNotNull() & (n >= min_names), r / n - 0.5))
+    wide = long.groupBy("date", "ticker").agg(*[F.max(F.when(F.col("_f") == i, F.col("_p"))).alias(c) for i, c in enumerate(cols)],
+                                              *([F.first("_rest", ignorenulls=True).alias("_rest")] if rest else []))
+    return wide.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in d.columns])
+
+
 def rank_features(d: DataFrame, cols: list[str], min_names: int, bound: int | None = None) -> DataFrame:
     """Every column to its percentile in the date less one half, NULL on thin dates. The ranks run
     over all names of the date, held or not: with a window a column where the caller can bound the names of a date, else
     with the ladder; both give the same numbers."""
     if bound is not None and bound <= ladder.WINDOW_LIMIT:
-        made = {}
-        for c in cols:
-            r, n = ladder.rank_expr(["date"], c)
-            made[c] = F.when(n >= min_names, r / n - 0.5)
-        return d.select(*[F.when(F.col(c).isNotNull(), made[c]).alias(c) if c in made else F.col(c)
-                          for c in d.columns])
+        return _rank_in_dates(d, cols, min_names)
     keep = [c for c in d.columns if c not in cols]
     long = d.select(*keep, F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in cols])).alias("_f"))
