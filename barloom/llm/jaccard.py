@@ -169,6 +169,15 @@ class JaccardJoin:
     def __init__(self, positions: DataFrame, key: str, note: str, words: int, percent: int):
         self.given = positions.select(F.col(key).alias("key"), F.col(note).alias("note"))
         self.words, self.percent, self.kind = words, percent, positions.schema[key].dataType
+        self.used: list[DataFrame] = []      # tables that the pairs made next read
+
+    def stored(self, pairs: DataFrame, name: str) -> DataFrame:
+        """`pairs` as a table; what it was made from is deleted, its shuffle files too."""
+        made = materialize(pairs, name)
+        discard(*self.used)
+        self.used.clear()
+        release(made.sparkSession)
+        return made
 
     def hot_probes(self) -> np.ndarray:
         """Shingles that very many notes have in their prefix by hash order, HOT_KEYS at most. They come last in the order
@@ -230,7 +239,7 @@ class JaccardJoin:
     def verified(self, pairs: DataFrame, keys: DataFrame) -> DataFrame:
         """The pairs (c, d) whose sets overlap enough; only those that the fine bitmaps leave are looked up."""
         percent = self.percent
-        pairs = materialize(self.refined(pairs), "fine")
+        pairs = self.stored(self.refined(pairs), "fine")
         sets = self.fetch_sets(pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))), keys)
         both = pairs.join(sets, "c").select("c", "d", "members")
         other = sets.select(F.col("c").alias("d"), F.col("members").alias("others"))
@@ -244,9 +253,8 @@ class JaccardJoin:
                     overlap = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
                     good.append(can_link(len(a), len(b), overlap, percent))
                 yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-        links = materialize(both.mapInArrow(run, "c binary, d binary"), "links")
-        discard(sets)
-        return links
+        self.used += [sets, pairs]
+        return self.stored(both.mapInArrow(run, "c binary, d binary"), "links")
 
     def refined(self, pairs: DataFrame) -> DataFrame:
         """The pairs (c, d) that the fine bitmaps allow."""
@@ -254,6 +262,7 @@ class JaccardJoin:
         wanted = materialize(pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))).distinct(), "wanted")
         fine = self.rows.select("c", "n", "fine").join(wanted, "c", "left_semi").dropDuplicates(["c"])
         fine = materialize(fine, "bitmaps")
+        self.used += [wanted, fine]
         other = fine.select(F.col("c").alias("d"), F.col("n").alias("m"), F.col("fine").alias("others"))
         both = pairs.join(fine, "c").join(other, "d").select("c", "d", "n", "m", "fine", "others")
 
@@ -273,6 +282,7 @@ class JaccardJoin:
         left = pairs.join(classes.select("h", "c", "n", "bits"), "h")
         right = materialize(classes.select(F.col("h").alias("hub"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("bits").alias("others"))
                             .join(pairs.select("hub").distinct(), "hub", "left_semi"), "hubs")
+        self.used += [pairs, right]
         both = left.join(right, "hub")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,6 +309,7 @@ class JaccardJoin:
         crowd = named.join(open_.filter(F.col("size") > CROWD), "probe").select("h").distinct().join(classes.select("h", "c"), "h")
         crowd = materialize(crowd.select("c"), "crowd")
         fine = materialize(self.rows.select("c", "fine").join(crowd, "c", "left_semi").dropDuplicates(["c"]), "bitmaps")
+        self.used += [open_, crowd, fine]
         rows = rows.join(fine, "c", "left").withColumn(
             "bits", F.when(F.col("size") > CROWD, F.coalesce("fine", "bits")).otherwise(F.col("bits")))
         rows = (rows.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
@@ -388,14 +399,13 @@ def near_duplicates(positions: DataFrame, *, key: str = "position_id", note: str
     release(positions.sparkSession)
     keys = classes.select("c", "key")
 
-    pairs = materialize(join.first_pairs(members, classes), "pairs")
+    pairs = join.stored(join.first_pairs(members, classes), "pairs")
     links = join.verified(pairs, keys)
     discard(pairs)
     labels = components(links)
     most, left = FIRST_LINKS, members
     while True:
-        release(positions.sparkSession)
-        pairs = materialize(join.cross_pairs(left, labels.select("c", "label"), classes, most), "pairs")
+        pairs = join.stored(join.cross_pairs(left, labels.select("c", "label"), classes, most), "pairs")
         found = join.verified(pairs.filter("c is not null").select("c", "d"), keys)
         old, links = links, materialize(links.unionByName(found), "links")
         discard(old, found, labels)
