@@ -233,17 +233,13 @@ def raw_features(panel: DataFrame, cfg: FeatureConfig, cols: list[str] | None =
 
 def _rank_in_dates(d: DataFrame, cols: list[str], min_names: int) -> DataFrame:
     """One sort of narrow rows (date, feature, value) ranks every column: rows are dealt by date, opened into a row per feature
-    there, ranked, and put together again under the same dealing. `d` has at most one row of a ticker on a date."""
-    rest = [c for c in d.columns if c not in ("date", "ticker", *cols)]
-    long = d.repartition("date").select("date", "ticker", *([F.struct(*rest).alias("_rest")] if rest else []), F.posexplode(F.array(*[
-        F.col(c).cast("double") for c in cols])).alias("_f", "_v"))
-    if rest:
-        long = long.withColumn("_rest", F.when(F.col("_f") == 0, F.col("_rest")))
+    there, ranked, and put together again under the same dealing. Rows that agree in all other columns are one."""
+    keep = [c for c in d.columns if c not in cols]
+    long = d.repartition("date").select(*keep, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("_f", "_v"))
     r, n = ladder.rank_expr(["date", "_f"], "_v")
     long = long.withColumn("_p", F.when(F.col("_v").isNotNull() & (n >= min_names), r / n - 0.5))
-    wide = long.groupBy("date", "ticker").agg(*[F.max(F.when(F.col("_f") == i, F.col("_p"))).alias(c) for i, c in enumerate(cols)],
-                                              *([F.first("_rest", ignorenulls=True).alias("_rest")] if rest else []))
-    return wide.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in d.columns])
+    wide = long.groupBy(*keep).agg(*[F.max(F.when(F.col("_f") == i, F.col("_p"))).alias(c) for i, c in enumerate(cols)])
+    return wide.select(*d.columns)
 
 
 def rank_features(d: DataFrame, cols: list[str], min_names: int, bound: int | None = None) -> DataFrame:
