@@ -54,8 +54,12 @@ class ModelConfig:
     gbt_step: float = 0.02
     gbt_depth: int = 6
     gbt_min_child: int = 200
+    gbt_leaves: int = 31
+    gbt_l2: float = 5.0
+    gbt_bins: int = 255
+    gbt_patience: int = 50
     gbt_subsample: float = 0.8
-    gbt_feature_share: str = "0.7"
+    gbt_feature_share: float = 0.7
     val_fraction: float = 0.15
     seed: int = 7
 

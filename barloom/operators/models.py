@@ -11,11 +11,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom.config import ModelConfig, SplitConfig
 from barloom.operators import metrics as mt
+from barloom.operators.boosting import fit_blocks, score_rows
 from barloom.operators.features import rank_features
 from barloom.operators.linear import Moments, moments, ridge_blocks, ridge_weights
 from barloom.operators.panel import calendar
@@ -34,12 +34,6 @@ def _vectors(d: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="x").transform(d.fillna(0.0, subset=features))
 
 
-def _scorer(model, features: list[str]) -> Callable[[DataFrame], DataFrame]:
-    def score(d: DataFrame) -> DataFrame:
-        return model.transform(_vectors(d, features)).withColumnRenamed("prediction", "score").drop("x")
-    return score
-
-
 def fit_ridge(train: DataFrame, val: DataFrame | None, features: list[str], cfg: ModelConfig) -> Fitted:
     """Least squares with an L2 penalty on standardised inputs, in closed form from one scan's sums of products."""
     total = np.zeros((2 + len(features),) * 2)
@@ -56,16 +50,25 @@ def fit_ridge(train: DataFrame, val: DataFrame | None, features: list[str], cfg:
 
 
 def fit_gbt(train: DataFrame, val: DataFrame | None, features: list[str], cfg: ModelConfig) -> Fitted:
-    """Boosted trees, stopped early on the purged tail."""
-    gbt = GBTRegressor(featuresCol="x", labelCol="target", maxIter=cfg.gbt_trees, stepSize=cfg.gbt_step,
-                       maxDepth=cfg.gbt_depth, minInstancesPerNode=cfg.gbt_min_child, subsamplingRate=cfg.gbt_subsample,
-                       featureSubsetStrategy=cfg.gbt_feature_share, seed=cfg.seed)
-    d = train.withColumn("_val", F.lit(False))
+    """Boosted trees, stopped early on the purged tail. Rows need `ticker` and `date`, which decide about sampling."""
+    cols = ["ticker", "date", "target", *features]
+    d = train.select(*cols, F.lit(0).alias("sid"))
     if val is not None:
-        d = d.unionByName(val.withColumn("_val", F.lit(True)))
-        gbt = gbt.setValidationIndicatorCol("_val")
-    model = gbt.fit(_vectors(d, features))
-    return Fitted(_scorer(model, features), dict(zip(features, (float(v) for v in model.featureImportances.toArray()))))
+        d = d.unionByName(val.select(*cols, F.lit(1).alias("sid")))
+    made = fit_blocks(d, features, {0: (0, 1)}, {} if val is None else {0: (1, 2)}, cfg)
+
+    def score(rows: DataFrame) -> DataFrame:
+        return score_rows(rows.withColumn("fold_of_model", F.lit(0)), made, "fold_of_model").drop("fold_of_model")
+    return Fitted(score, dict(zip(features, made.importance(0).tolist())))
+
+
+def gbt_blocks(d: DataFrame, features: list[str], blocks: dict[str, dict[int, tuple[int, int]]], cfg: ModelConfig
+               ) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """Boosted trees of all folds, grown together: (date, ticker, fold, score) of the test rows and each fold's importances."""
+    made = fit_blocks(d, features, blocks["fit"], blocks["val"], cfg)
+    fold = F.coalesce(*[F.when((F.col("sid") >= a) & (F.col("sid") < b), k) for k, (a, b) in blocks["test"].items() if k in made.base])
+    scores = score_rows(d.withColumn("fold", fold).filter("fold is not null").select("date", "ticker", "fold", *features), made)
+    return scores.select("date", "ticker", "fold", "score"), {k: made.importance(k) for k in made.base}
 
 
 REGISTRY: dict[str, Callable[..., Fitted]] = {"ridge": fit_ridge, "gbt": fit_gbt}
@@ -97,8 +100,8 @@ def fold_blocks(d: DataFrame, splits: SplitConfig, cfg: ModelConfig, horizon: in
 def walk_forward(d: DataFrame, features: list[str], splits: SplitConfig, cfg: ModelConfig, horizon: int
                  ) -> tuple[DataFrame, DataFrame]:
     """Out-of-sample scores (date, ticker, model, score) and importances (model, fold, feature, importance).
-    `d` should be a stored table. Ridge fits all folds from one scan (`linear.block_moments`); other models filter the table by
-    session for every fold."""
+    `d` should be a stored table. Ridge fits all folds from one scan (`linear.block_moments`), trees of all folds grow together
+    (`boosting.fit_blocks`); other models filter the table by session for every fold."""
     d, blocks = fold_blocks(d, splits, cfg, horizon)
 
     def part(fold: int, role: str) -> DataFrame | None:
@@ -114,6 +117,11 @@ def walk_forward(d: DataFrame, features: list[str], splits: SplitConfig, cfg: Mo
             made.append(s.select("date", "ticker", F.lit(name).alias("model"), F.col("score_target").alias("score")))
             imps += [(name, fold, c, float(v)) for fold, w in weights.items() for c, v in zip(features, w[:, 0])]
             continue
+        if build_model(name) is fit_gbt:
+            s, weights = gbt_blocks(d, features, blocks, cfg)
+            made.append(s.select("date", "ticker", F.lit(name).alias("model"), "score"))
+            imps += [(name, fold, c, float(v)) for fold, w in weights.items() for c, v in zip(features, w)]
+            continue
         known = F.col("target").isNotNull()
         for fold in sorted(blocks["test"]):
             fit, val, test = part(fold, "fit"), part(fold, "val"), part(fold, "test")
