@@ -25,13 +25,18 @@ BASE = [("email", EMAIL, "@"), ("ip", IP, r"[0-9]\.[0-9]"), ("card", CARD, r"[0-
 EXTRA = [("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]"),
          ("birth", r"(?<![0-9./-])[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}(?![0-9./-])", r"[0-9][./-][0-9]"),
          ("number", r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", r"[0-9]{3}[\x20.-]|\)"),
-         ("handle", r"(?<![A-Za-z0-9])[A-Za-z0-9._]{2,40} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,40}", r"\(at\)|\[at\]")]
+         ("handle", r"(?<![A-Za-z0-9])[A-Za-z0-9._]{2,40} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,40}", r"\(at\)|\[at\]"),
+         ("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}", r"[A-Za-z0-9+/_-]{16}"),
+         ("keyhead", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", "-----BEGIN "),
+         ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}")]
 
 # Cue words before a span, and words that speak against a person's data.
 CUES = {"ssn": "ssn|social security|tax id", "birth": "born|birth|dob|geboren|nacido|né",
-        "number": "phone|tel|call|mobile|fax|contact|whatsapp", "handle": "mail|contact|write|reach",
+        "number": "phone|tel|call|mobile|fax|contact|whatsapp",
+        "secret": "(?:token|secret|key|apikey|password|passwd|pwd|bearer|auth|authorization|credentials?)(?![a-z])",
+        "keyhead": "key|secret|private", "iban": "iban|account|bank|konto", "handle": "mail|contact|write|reach",
         "email": "mail|contact|write|reach", "ip": "ip|host|addr|login|from", "card": "card|visa|pay|account", "phone": "phone|tel|call|mobile|fax"}
-AGAINST = "order|invoice|version|isbn|serial|page|figure|total|price|revision"
+AGAINST = "order|invoice|version|isbn|serial|page|figure|total|price|revision|commit|checksum|digest|md5|sha1|sha256|https?:|www"
 GAZETTEER = "mr|mrs|ms|dr|herr|frau|señor|señora|monsieur|madame|john|mary|anna|james|maria|peter|david|sarah"
 BEFORE = 40            # characters before a span that context labelers see
 LABELERS = ("pattern", "checked", "cue", "gazetteer", "against", "alone")
@@ -71,13 +76,31 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda a, i: a + worth(i)) % 10 == 0
 
 
+def iban_holds(match: Column) -> Column:
+    """Whether an account number has remainder 1 by 97, its first four characters last and letters as 10 to 35."""
+    code = F.regexp_replace(match, " ", "")
+    chars = F.split(F.concat(F.substring(code, F.lit(5), F.length(code)), F.substring(code, 1, 4)), "")
+
+    def step(acc: Column, c: Column) -> Column:
+        v = F.ascii(c)
+        return F.when(c == "", acc).when(v >= 65, (acc * 100 + v - 55) % 97).otherwise((acc * 10 + v - 48) % 97)
+    return F.aggregate(chars, F.lit(0), step) == 1
+
+
+def random_looking(match: Column) -> Column:
+    """Whether a run of letters and digits looks drawn: at least an eighth of it digits, letters too, ten characters that differ."""
+    digits, letters = F.length(_digits(match)), F.length(F.regexp_replace(match, "[^A-Za-z]", ""))
+    return (digits * 8 >= F.length(match)) & (letters > 0) & (F.size(F.array_distinct(F.split(match, ""))) >= 10)
+
+
 def _passes(span: Column) -> Column:
-    """The further conditions of a base kind."""
+    """The further conditions of a base kind, and the check of an added one."""
     digits = _digits(span["match"])
     return (F.when(span["kind"] == "ip", ~F.exists(F.split(span["match"], r"\."), lambda p: F.regexp_replace(p, "^0+", "").rlike(
         "^(?:[0-9]{4,}|[3-9][0-9]{2}|2[6-9][0-9]|25[6-9])$")))
             .when(span["kind"] == "card", F.when(F.length(digits).between(16, 19), luhn(digits)).otherwise(F.lit(False)))
-            .when(span["kind"] == "phone", F.length(digits).between(8, 15)).otherwise(F.lit(True)))
+            .when(span["kind"] == "phone", F.length(digits).between(8, 15))
+            .when(span["kind"] == "secret", random_looking(span["match"])).when(span["kind"] == "iban", iban_holds(span["match"])).otherwise(F.lit(True)))
 
 
 def _votes(span: Column) -> Column:
@@ -89,7 +112,7 @@ def _votes(span: Column) -> Column:
     base = kind.isin([k for k, _, _ in BASE])
     return F.array(
         F.when(base, 1).otherwise(-1),                                                          # a strict pattern
-        F.when(span["passed"] & kind.isin("card", "ip", "phone"), 1).when(~span["passed"], 0).otherwise(-1),
+        F.when(span["passed"] & kind.isin("card", "ip", "phone", "secret", "keyhead", "iban"), 1).when(~span["passed"], 0).otherwise(-1),
         F.when(F.regexp_like(before, cue), 1).when(base, -1).otherwise(0),
         F.when(before.rlike(rf"(?:^|[^\p{{L}}])(?:{GAZETTEER})\b[^.\n]*$"), 1).otherwise(-1),
         F.when(before.rlike(rf"(?:{AGAINST})[^a-z]*$"), 0).otherwise(-1),
@@ -160,7 +183,8 @@ def find_personal(positions: DataFrame, *, note: str = "note") -> DataFrame:
     """`positions` (without the note) with `base` and `spans`, arrays of (kind, start, end) in code points, end exclusive.
 
     base: e-mail, IP, card and phone numbers, leftmost and without overlap per kind, further conditions met; by kind in that
-    order, then start. spans: these and the candidates of EXTRA kinds that the classifier takes, by kind (base kinds first),
+    order, then start. spans: these and the candidates of EXTRA kinds (among them secrets, private key heads and account numbers
+    with a right check sum) that the classifier takes, by kind (base kinds first),
     start and end. Candidates that overlap a base span are left out. The first pass stores what it found (no text) in the shared
     folder; reliabilities and classifier are fitted on all candidates there.
 
@@ -171,7 +195,7 @@ def find_personal(positions: DataFrame, *, note: str = "note") -> DataFrame:
     text = F.coalesce(F.col(note), F.lit(""))
     base = F.concat(*[_spans(F.col("text_"), *b) for b in BASE])
     extra = F.concat(*[_spans(F.col("text_"), *e) for e in EXTRA])
-    has = F.col("text_").rlike("[0-9@]") | F.col("text_").rlike(r"\(at\)|\[at\]")
+    has = F.col("text_").rlike("[0-9@]") | F.col("text_").rlike(r"\(at\)|\[at\]|-----BEGIN ")
     checked = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                                  s["before"].alias("before"), _passes(s).alias("passed"))
     seen = (positions.select(*kept, text.alias("text_"))
@@ -188,7 +212,7 @@ def find_personal(positions: DataFrame, *, note: str = "note") -> DataFrame:
         total = F.lit(model.weights[-1])
         for w, x in zip(model.weights, _features(s["votes"], s["kind"], [k for k, _, _ in EXTRA])):
             total = total + F.lit(w) * x
-        return total >= 0
+        return (total >= 0) & (s["passed"] | (s["kind"] != "iban"))     # as in base kinds, a check sum settles
     short = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     own = F.coalesce(F.transform(F.filter("b_", lambda s: s["passed"]), short), none)

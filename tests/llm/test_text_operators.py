@@ -449,3 +449,22 @@ def test_queries_on_documents(spark):
     cut = brute.repeats(list(docs.items()))
     assert all((r.n_removed, r.n_spans) == cut[r.doc_id][1:] and r.kept_sha256 == hashlib.sha256(cut[r.doc_id][0]).hexdigest()
                for r in got["op5_suffix_family"])
+
+
+def test_added_secrets_and_accounts(spark):
+    """Planted secrets, account numbers and key heads are found where they stand; check sums of other things, plain words and
+    broken account numbers are not."""
+    import hashlib
+    secret = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    texts = {i: f"words before token = \"{s}\" and after" for i, s in enumerate(secret)}
+    texts |= {100 + i: f"see commit {s} for the change" for i, s in enumerate(secret)}
+    texts |= {200 + i: "a mail to someone%d@mail.example and notinternationalisation words" % i for i in range(40)}
+    texts |= {300: "iban DE89 3704 0044 0532 0130 00 please", 301: "iban DE88 3704 0044 0532 0130 00 please",
+              302: "my private key -----BEGIN RSA PRIVATE KEY----- follows"}
+    d = spark.createDataFrame(list(texts.items()), "position_id long, note string")
+    got = {r["position_id"]: {(s["kind"], texts[r["position_id"]][s["start"]:s["end"]]) for s in r["spans"]} for r in find_personal(d).collect()}
+    planted = {i for i in range(40)} | {300, 302}
+    added = {i for i, s in got.items() if any(k in ("secret", "iban", "keyhead") for k, _ in s)}
+    assert len(added & planted) >= 0.95 * len(planted) and len(added - planted) <= 0.05 * len(added)
+    assert ("secret", secret[3]) in got[3] and ("keyhead", "-----BEGIN RSA PRIVATE KEY-----") in got[302]
+    assert ("iban", "DE89 3704 0044 0532 0130 00") in got[300] and not got[301] and not got[100]
