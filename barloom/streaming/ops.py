@@ -32,12 +32,6 @@ def dedupe(ticks: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     return ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def session_closes(ticks: DataFrame, late: str = "1 day") -> DataFrame:
-    """Last price of each ticker and day."""
-    d = ticks.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "ticker").agg(F.max_by("px", F.struct("ts", "id")).alias("close"))
-    return d.select("ticker", plain(F.col("window.start")).cast("date").alias("date"), "close")
-
-
 def limit_touches(ticks: DataFrame, orders: DataFrame, late: str = "1 day") -> DataFrame:
     """First tick at or under the limit of each resting order and day."""
     hit = ticks.withWatermark("ts", late).join(orders, "ticker").filter(F.col("px") <= F.col("limit"))
@@ -47,17 +41,21 @@ def limit_touches(ticks: DataFrame, orders: DataFrame, late: str = "1 day") -> D
 
 
 def first_of_day(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
-    """First price (by time, then id) of each user and day, whatever the order of arrival."""
+    """First price (by time, then id) of each user and day, whatever the order of arrival; `at` is the event time of the row."""
     d = ticks.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "user_id").agg(F.min_by("px", F.struct("ts", "id")).alias("px"))
-    return d.select("user_id", plain(F.col("window.start")).cast("date").alias("day"), "px")
+    return d.select("user_id", F.window_time("window").alias("at"), plain(F.col("window.start")).cast("date").alias("day"), "px")
 
 
 def resolve_forecasts(forecasts: DataFrame, outcomes: DataFrame, days: int) -> DataFrame:
-    """Forecasts meet the outcome of their name on the due day. Both sides are tables of one row a user and day (the
-    results of `first_of_day`), so a rerun or another order of files gives the same pairs."""
-    f = forecasts.select("user_id", "day", F.date_add("day", days).alias("due"), F.col("px").alias("forecast"))
-    o = outcomes.select("user_id", F.col("day").alias("due"), F.col("px").alias("outcome"))
-    return f.join(o, ["user_id", "due"]).select("user_id", "day", "due", "forecast", "outcome")
+    """Forecasts meet the outcome of their name on the due day. Both sides are streams of one row a user and day (results of
+    `first_of_day`). The time bound lets the engine drop a forecast once its due day has closed, and an outcome once no
+    open forecast can be due on it; the day is part of the key, so a busy user is spread over days."""
+    f = forecasts.select(F.col("user_id").alias("_u"), "day", F.date_add("day", days).alias("_due"), F.col("at").alias("_made"), F.col("px").alias("forecast"))
+    o = outcomes.select("user_id", F.col("day").alias("due"), F.col("at").alias("_seen"), F.col("px").alias("outcome"))
+    span = F.expr(f"interval {int(days)} days")
+    same = (F.col("_u") == F.col("user_id")) & (F.col("_due") == F.col("due"))
+    timely = (F.col("_seen") >= F.col("_made") + span) & (F.col("_seen") <= F.col("_made") + span)
+    return f.join(o, same & timely).select("user_id", "day", "due", "forecast", "outcome")
 
 
 def session_gate(ticks: DataFrame) -> DataFrame:
@@ -65,16 +63,6 @@ def session_gate(ticks: DataFrame) -> DataFrame:
     return ticks.filter(market_session(plain(F.col("ts"))) == "open")
 
 
-def last_seen(ticks: DataFrame, late: str = "1 day") -> DataFrame:
-    return ticks.withWatermark("ts", late).groupBy("ticker").agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
-
-
-def staleness(seen: DataFrame) -> DataFrame:
-    """Minutes each name lags the newest tick of all."""
-    top = seen.groupBy().agg(F.max("last").alias("_m"))
-    return seen.join(F.broadcast(top), F.lit(True)).select("ticker", "n", (F.unix_timestamp("_m") - F.unix_timestamp("last")).alias("lag_seconds"))
-
-
 def update_checks(ticks: DataFrame) -> DataFrame:
     """Moments at which the daily update may run, with their session."""
     et = exchange_time(plain(F.col("ts")))

@@ -28,10 +28,25 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def deal_files(events: DataFrame, path: str, files: int, arrival) -> None:
+    """Rows as `files` files of equal spans of `arrival` (a number), written one after the other: the order in which a stream
+    takes them. Rows without an arrival come first."""
+    ends = events.agg(F.min(arrival).alias("a"), F.max(arrival).alias("b")).first()
+    step = ((ends["b"] or 0) - (ends["a"] or 0)) // files + 1
+    file = F.coalesce(F.floor((arrival - F.lit(ends["a"] or 0)) / step), F.lit(0))
+    for i in range(files):
+        events.filter(file == i).coalesce(1).write.mode("append").parquet(path)
+
+
+def run_update(stream: DataFrame, name: str, keys: list[str], order: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """Changed groups of every micro-batch, one folder a batch (rewritten whole on a retry); the newest batch of
-    a key is its value, so groups still open at the end are there too."""
-    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, name)
+    a key (and in it the newest by `order`) is its value, so groups still open at the end are there too. With a `path`
+    the results and the checkpoint stay there, and a later run goes on where the last one ended."""
+    spark, path = stream.sparkSession, path or scratch_path(stream.sparkSession, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -39,7 +54,17 @@ def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     q = (stream.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start())
     q.awaitTermination()
-    return keep_last(spark.read.option("basePath", path).parquet(f"{path}/batch=*"), keys, ["batch"]).drop("batch")
+    return keep_last(spark.read.option("basePath", path).parquet(f"{path}/batch=*"), keys, ["batch", *order]).drop("batch")
+
+
+def run_state(stream: DataFrame, name: str, keys: list[str], order: tuple[str, ...], path: str | None = None) -> DataFrame:
+    """`run_update` for operators with state of their own, which need the store that has timers."""
+    spark, before = stream.sparkSession, stream.sparkSession.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        return run_update(stream, name, keys, order, path)
+    finally:
+        spark.conf.set(STORE, before)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

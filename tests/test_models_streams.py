@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from barloom.config import ModelConfig, SplitConfig
 from barloom.operators import linear, metrics as mt, models
 from barloom.operators.models import build_model, fit_ridge
-from barloom.streaming import ops, tables as tb
+from barloom.streaming import ops, quotes as sq, tables as tb
 
 import pytest
 
@@ -108,3 +108,33 @@ def test_upsert_goes_on_after_a_restart(spark, tmp_path):
         got = upsert()
     one = tb.run_upsert(led(tb.tick_stream(spark, FOLDER, "events.parquet")), "m", ["user_id", "day"], ["ts", "id"], "day")
     assert got.count() == one.count() and got.select(*one.columns).exceptAll(one).count() == 0
+
+
+def test_quotes_leave_the_state_in_any_order_and_over_a_restart(spark, tmp_path):
+    """Two runs over the same checkpoint, files in no order, a name that stops early, a name with one day only, repeated rows."""
+    rows = [("A", d, h) for d in (1, 2, 3) for h in (9, 15)] + [("B", 1, 10), ("B", 1, 10), ("C", 3, 11), ("D", 2, 9), ("D", 3, 16)]
+    rows = [(f"2024-01-0{d} {h:02d}:00:00", i, n, i % 3, 10.0 + i) for i, (n, d, h) in enumerate(rows)]
+    events = spark.createDataFrame(rows, "ts string, event_id long, event_type string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for part in ([10, 0, 5], [7, 3, 8, 9]), ([1, 6, 4], [2]):
+        for ids in part:
+            events.filter(F.col("event_id").isin(ids)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = sq.quote_state(tb.tick_stream(spark, str(tmp_path / "in"), files_per_batch=1), 10 * 86_400, 3_600)
+        got = tb.run_state(s, "q", ["ticker"], ("step",), str(tmp_path / "out")).collect()
+    by = {r.ticker: r for r in got}
+    assert {k: (r.n, r.price, r.prev_close) for k, r in by.items()} == {
+        "A": (6, 15.0, 13.0), "B": (2, 17.0, None), "C": (1, 18.0, None), "D": (2, 20.0, 19.0)}
+    # D is the newest and behind by nothing, so no timer of its own has fired; A is one hour behind, which is the limit
+    assert {k: r.lag_seconds for k, r in by.items()} == {"A": 3_600, "B": 2 * 86_400 + 6 * 3_600, "C": 5 * 3_600, "D": None}
+
+
+def test_forecasts_meet_outcomes_of_the_due_day_only(spark, tmp_path):
+    rows = [("2024-01-01 09:00:00", 1, "view", 1, 5.0), ("2024-01-01 08:00:00", 2, "view", 1, 4.0), ("2024-01-02 10:00:00", 3, "purchase", 1, 7.0),
+            ("2024-01-02 09:00:00", 4, "purchase", 1, 6.0), ("2024-01-03 09:00:00", 5, "purchase", 1, 8.0), ("2024-01-01 09:00:00", 6, "view", 2, 1.0),
+            ("2024-01-03 09:00:00", 7, "view", 2, 2.0), ("2024-01-04 09:00:00", 8, "purchase", 2, 3.0),
+            ("2024-01-20 00:00:00", 9, "view", -1, 1.0), ("2024-01-20 00:00:00", 10, "purchase", -1, 1.0)]
+    events = spark.createDataFrame(rows, "ts string, event_id long, event_type string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    tb.deal_files(events, str(tmp_path / "in"), 3, F.unix_micros(F.col("ts").cast("timestamp")))
+    side = lambda kind: ops.first_of_day(tb.tick_stream(spark, str(tmp_path / "in"), files_per_batch=1).filter(F.col("ticker") == kind), "2 days")
+    got = tb.run_append(ops.resolve_forecasts(side("view"), side("purchase"), 1), "r").collect()
+    assert {(r.user_id, str(r.day), str(r.due), r.forecast, r.outcome) for r in got} == {
+        (1, "2024-01-01", "2024-01-02", 4.0, 6.0), (2, "2024-01-03", "2024-01-04", 2.0, 3.0)}
