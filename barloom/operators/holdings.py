@@ -39,6 +39,13 @@ def average_cost(trades: DataFrame) -> DataFrame:
     return g.select("ticker", F.element_at("_m", -1)["q"].alias("quantity"), price.alias("entry_price")).filter("quantity > 0")
 
 
+def positions(trades: DataFrame) -> DataFrame:
+    """Open positions after all trades: shares, average entry price (to four decimals, as statements show it), day of the first buy."""
+    first = trades.filter("action = 'buy'").groupBy("ticker").agg(F.min("at").alias("entry_at"))
+    d = average_cost(trades).join(first, "ticker")
+    return d.select("ticker", F.col("quantity").alias("shares"), F.round("entry_price", 4).alias("entry_price"), "entry_at")
+
+
 def mark_to_market(holdings: DataFrame, quotes: DataFrame) -> DataFrame:
     """Value and profit of each holding; NULL without a quote."""
     d = holdings.join(quotes.select("ticker", "price", "change_pct"), "ticker", "left")
@@ -66,14 +73,16 @@ def portfolio_concentration(marks: DataFrame) -> DataFrame:
                     (F.col("_top") / F.col("_v") * 100).alias("largest_weight_pct"), "best", "worst")
 
 
-def same_window(marks: DataFrame, bars: DataFrame, bench: DataFrame, start: str, context: int = 22) -> DataFrame:
-    """Portfolio at today's weights and the benchmark over the same sessions; with fewer than two sessions since
-    `start` the last `context` ones are shown and flagged. `bench` is (date, level)."""
-    since = bench.filter(F.col("date") >= F.lit(start).cast("date"))
+def same_window(marks: DataFrame, bars: DataFrame, bench: DataFrame, start: str | None = None, context: int = 22) -> DataFrame:
+    """Portfolio at today's weights and the benchmark over the same sessions, from `start` or else the earliest `entry_at` of
+    the marks; with fewer than two sessions since then the last `context` ones are shown and flagged. `bench` is (date, level)."""
+    first = marks.groupBy().agg(F.min("entry_at").alias("_s") if start is None else F.first(F.lit(start).cast("date")).alias("_s"))
+    bench = bench.join(F.broadcast(first), F.lit(True))
+    since = bench.filter(F.col("date") >= F.col("_s"))
     n = since.groupBy().agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("date").desc())       # one row a date
     d = bench.withColumn("_i", F.row_number().over(w)).join(n, F.lit(True))
-    d = d.filter(F.when(F.col("_n") < 2, F.col("_i") <= context).otherwise(F.col("date") >= F.lit(start).cast("date")))
+    d = d.filter(F.when(F.col("_n") < 2, F.col("_i") <= context).otherwise(F.col("date") >= F.col("_s")))
     ends = d.groupBy().agg(F.min("date").alias("from_"), F.max("date").alias("to_"), F.min_by("level", "date").alias("_a"),
                            F.max_by("level", "date").alias("_b"), (F.count(F.lit(1)) - 1).alias("sessions"), F.max(F.col("_n") < 2).alias("context_only"))
     px = bars.join(F.broadcast(ends.select("from_", "to_")), F.lit(True)).groupBy("ticker").agg(

@@ -193,15 +193,38 @@ def activity_feed(streams: dict[str, DataFrame], kind: str = "all", limit: int =
     return d.orderBy(F.col("at_").desc_nulls_last(), "stream", "action", "ticker", "detail").limit(limit)
 
 
+def equity_from_flows(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """(date, cash, held, capital, value): money in hand and holdings at their last close, after the trades of each session.
+
+    `trades` is (at_, action, ticker, quantity, price), `bars` (date, ticker, close). Every trade moves cash and a position; `capital`
+    is the most that the trades had ever laid out, so cash never falls below zero and `value` is all of it. A holding without
+    a bar keeps its last close. Only changes of a name's worth are summed over names and then over sessions, so no date x
+    ticker grid is made. Names without any close are worth nothing; null quantities move nothing."""
+    signed = F.coalesce(F.when(F.col("action") == "buy", F.col("quantity")).otherwise(-F.col("quantity")), F.lit(0.0))
+    moves = trades.groupBy(F.col("at_").alias("date"), "ticker").agg(F.sum(signed).alias("_q"), F.sum(-signed * F.col("price")).alias("_cash"))
+    w = Window.partitionBy("ticker").orderBy("date")             # at most one row a session
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = bars.select("date", "ticker", "close").join(moves, ["date", "ticker"], "full")
+    worth = F.sum(F.coalesce("_q", F.lit(0.0))).over(run) * F.coalesce(F.last("close", ignorenulls=True).over(run), F.lit(0.0))
+    d = d.withColumn("_w", worth).withColumn("_d", F.col("_w") - F.coalesce(F.lag("_w").over(w), F.lit(0.0)))
+    day = d.groupBy("date").agg(F.sum(F.coalesce("_cash", F.lit(0.0))).alias("_c"), F.sum("_d").alias("_d"))
+    whole = Window.partitionBy(F.lit(0))                         # one row a date
+    upto = whole.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    day = day.select("date", F.sum("_c").over(upto).alias("cash"), F.sum("_d").over(upto).alias("held"))
+    day = day.withColumn("capital", F.greatest(-F.min("cash").over(whole), F.lit(0.0)))
+    return day.withColumn("cash", F.col("capital") + F.col("cash")).withColumn("value", F.col("cash") + F.col("held"))
+
+
 def replay_summary(trades: DataFrame, curve: DataFrame, universe: DataFrame) -> DataFrame:
-    """Trades, wins and realised profit; the curve's deepest fall; buy-and-hold of names priced at both ends."""
+    """Trades, wins and realised profit; the curve's capital, end and deepest fall; buy-and-hold of names priced at both ends."""
     sells = F.col("action") == "sell"
     t = trades.groupBy().agg(F.count_if(F.col("action") == "buy").alias("buys"), F.count_if(sells).alias("sells"),
                              F.sum(F.when(sells, F.col("pnl"))).alias("realised"),
                              F.avg(F.when(sells, (F.col("pnl") > 0).cast("double"))).alias("win_rate"))
     w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)    # one row a date
     c = curve.withColumn("_d", ratio(F.col("value"), F.max("value").over(w)) - 1).groupBy().agg(
-        F.least(F.min("_d"), F.lit(0.0)).alias("max_drawdown"), F.count(F.lit(1)).alias("sessions"))
+        F.least(F.min("_d"), F.lit(0.0)).alias("max_drawdown"), F.count(F.lit(1)).alias("sessions"),
+        F.max("capital").alias("capital"), F.max_by("value", "date").alias("equity"))
     ends = universe.groupBy().agg(F.min("date").alias("_f"), F.max("date").alias("_l"))
     u = universe.join(F.broadcast(ends), F.lit(True)).groupBy("ticker").agg(
         F.max(F.when(F.col("date") == F.col("_f"), F.col("close"))).alias("a"), F.max(F.when(F.col("date") == F.col("_l"), F.col("close"))).alias("b"))

@@ -39,19 +39,22 @@ def _(t):
     return ru.deadband_positions(ranks(t))
 
 
-# holdings: lots of some lines, blended
-HOLD = """,
-hold as (select concat('S', l_suppkey) as ticker, sum(l_quantity) as shares, sum(l_extendedprice) / sum(l_quantity) as entry_price, min(cast(l_shipdate as date)) as entry_at
-  from lineitem where l_returnflag = 'R' and l_discount = 0.1 and l_quantity >= 45 group by 1),
+# holdings: what all trades of the lines leave, trade by trade
+POSITIONS = """
+ht as materialized (select concat('S', l_suppkey) as ticker, case when l_returnflag = 'R' then 'sell' else 'buy' end as action, l_quantity as q, l_extendedprice / l_quantity as p,
+  cast(l_shipdate as date) as at_, row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount) as i from lineitem),
+hc as (select ticker, i, case when action = 'buy' then q else 0.0 end as qty, case when action = 'buy' then p else 0.0 end as cost from ht where i = 1
+  union all select t.ticker, t.i, case when t.action = 'buy' then a.qty + t.q else greatest(a.qty - t.q, 0.0) end,
+    case when t.action = 'buy' then (a.cost * a.qty + t.p * t.q) / (a.qty + t.q) else a.cost end from hc a join ht t on t.ticker = a.ticker and t.i = a.i + 1),
+hold as materialized (select h.ticker, qty as shares, round(cost, 4) as entry_price, entry_at from (select ticker, arg_max(qty, i) as qty, arg_max(cost, i) as cost from hc group by ticker) h
+  join (select ticker, min(at_) as entry_at from ht where action = 'buy' group by ticker) f on f.ticker = h.ticker where qty > 0)"""
+HOLD = "," + POSITIONS + """,
 lastq as (select ticker, arg_max(close, date) as price from panel group by ticker),
 lastr as (select ticker, rank from rk where sid = (select max(sid) from cal))"""
 
 
 def holdings(t):
-    li = t.table("lineitem").filter("l_returnflag = 'R' and l_discount = 0.1D and l_quantity >= 45")
-    return li.groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker")).agg(
-        F.sum("l_quantity").alias("shares"), (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("entry_price"),
-        F.min(F.col("l_shipdate").cast("date")).alias("entry_at"))
+    return t.keep("positions", lambda: hd.positions(t.trades()))
 
 
 def last_price(t):
@@ -64,7 +67,7 @@ def last_rank(t):
 
 @query("planned_exits", "ticker:s shares:f rank:f price:f value:f pnl:f reason:s", with_(RK + HOLD, """select h.ticker, h.shares, r.rank, q.price, h.shares * q.price as value,
   h.shares * (q.price - h.entry_price) as pnl, case when r.rank is null then 'not scored' else 'below exit' end as reason
-  from hold h left join lastr r on r.ticker = h.ticker left join lastq q on q.ticker = h.ticker where r.rank is null or r.rank < 30"""))
+  from hold h left join lastr r on r.ticker = h.ticker left join lastq q on q.ticker = h.ticker where r.rank is null or r.rank < 30""", True))
 def _(t):
     return ru.planned_exits(holdings(t), last_rank(t), last_price(t))
 
@@ -159,7 +162,7 @@ def _(t):
 
 @query("order_reprice", "ticker:s reference:f limit_:f budget:f", with_(RK + HOLD, """, o as (select ticker, entry_price as reference, entry_price * 0.99 as lim, shares * 10 as budget from hold),
   px as (select ticker, close as price from rk where sid = (select max(sid) from cal))
-  select o.ticker, coalesce(price, reference) as reference, case when price is null then lim else price * 0.995 end as limit_, budget from o left join px on px.ticker = o.ticker"""))
+  select o.ticker, coalesce(price, reference) as reference, case when price is null then lim else price * 0.995 end as limit_, budget from o left join px on px.ticker = o.ticker""", True))
 def _(t):
     o = holdings(t).select("ticker", F.col("entry_price").alias("reference"), (F.col("entry_price") * 0.99).alias("limit"), (F.col("shares") * 10).alias("budget"))
     px = last_rank(t).select("ticker", F.col("px").alias("price"))
@@ -168,7 +171,7 @@ def _(t):
 
 @query("slot_sizing", "ticker:s price:f slot:f action:s", with_(RK + HOLD, """, v as (select coalesce(sum(shares * price), 0.0) as v from hold h join lastq q on q.ticker = h.ticker),
   p as (select r.ticker, b.close as price from lastr r join rk b on b.ticker = r.ticker and b.sid = (select max(sid) from cal) where r.rank >= 50)
-  select ticker, price, least((6000.0 + v) / 5, 6000.0) as slot, case when price > least((6000.0 + v) / 5, 6000.0) then 'skip' else 'order' end as action from p, v"""))
+  select ticker, price, least((6000.0 + v) / 5, 6000.0) as slot, case when price > least((6000.0 + v) / 5, 6000.0) then 'skip' else 'order' end as action from p, v""", True))
 def _(t):
     held = holdings(t).join(last_price(t), "ticker").withColumn("value", F.col("shares") * F.col("price"))
     picks = last_rank(t).filter("rank >= 50").select("ticker", F.col("px").alias("price"))
@@ -227,13 +230,13 @@ def _(t):
 
 @query("benchmark_since_inception", "ticker:s entry_at:d units:f value:f pnl_pct:f", with_(RK + HOLD + LEVEL, """, a as (select h.ticker, h.entry_at, h.shares * h.entry_price as budget, lv.level as a
     from hold h asof join lv on h.entry_at >= lv.date), z as (select arg_max(level, date) as b from lv)
-  select ticker, entry_at, budget / a as units, budget / a * b as value, (b / a - 1) * 100 as pnl_pct from a, z where a > 0"""))
+  select ticker, entry_at, budget / a as units, round(budget / a * b, 2) as value, (b / a - 1) * 100 as pnl_pct from a, z where a > 0""", True))
 def _(t):
     d = rn.asof(holdings(t), level(t), "entry_at", "level")
     last = level(t).groupBy().agg(F.max_by("level", "date").alias("b"))
     d = d.filter("level_asof > 0").join(F.broadcast(last), F.lit(True))
     units = F.col("shares") * F.col("entry_price") / F.col("level_asof")
-    return d.select("ticker", "entry_at", units.alias("units"), (units * F.col("b")).alias("value"), ((F.col("b") / F.col("level_asof") - 1) * 100).alias("pnl_pct"))
+    return d.select("ticker", "entry_at", units.alias("units"), F.round(units * F.col("b"), 2).alias("value"), ((F.col("b") / F.col("level_asof") - 1) * 100).alias("pnl_pct"))
 
 
 TRD = DB + """,
@@ -254,16 +257,22 @@ def rule_trades(t):
                     F.col("close").alias("price"), F.when(~F.col("held"), F.col("close") - F.col("entry")).alias("pnl"))
 
 
-@query("hit_holdings_curve", "buys:i sells:i realised:f win_rate:f max_drawdown:f sessions:i benchmark:f universe:i", with_(TRD, """
-  , cv as (select date, sum(case when held then close else 0 end) + 1000000.0 as value from db group by date),
+@query("hit_holdings_curve", "buys:i sells:i realised:f win_rate:f max_drawdown:f sessions:i capital:f equity:f benchmark:f universe:i", with_(TRD, """
+  , fl as (select at_, sum(case when action = 'buy' then -price else price end) as cash from trd group by at_),
+  mv as (select at_, ticker, sum(case when action = 'buy' then 1 else -1 end) as q from trd group by at_, ticker),
+  dn as (select c.date, c.sid, k.ticker, p.close, coalesce(m.q, 0) as q from cal c cross join (select distinct ticker from panel) k
+    left join panel p on p.date = c.date and p.ticker = k.ticker left join mv m on m.at_ = c.date and m.ticker = k.ticker),
+  hw as (select date, sum(q) over w * coalesce(last_value(close ignore nulls) over w, 0) as worth from dn window w as (partition by ticker order by sid rows unbounded preceding)),
+  cs as (select v.date, held, sum(coalesce(cash, 0)) over (order by v.date) as cash from (select date, sum(worth) as held from hw group by date) v left join fl on fl.at_ = v.date),
+  cv as (select date, held + cash - least(0, min(cash) over ()) as value, -least(0, min(cash) over ()) as capital from cs),
   cd as (select value / max(value) over (order by date rows unbounded preceding) - 1 as d from cv),
   ub as (select ticker, max(case when date = (select min(date) from panel) then close end) as a, max(case when date = (select max(date) from panel) then close end) as b from panel group by ticker)
   select (select count(*) from trd where action = 'buy') as buys, (select count(*) from trd where action = 'sell') as sells, (select sum(pnl) from trd where action = 'sell') as realised,
-    (select avg(case when pnl > 0 then 1.0 else 0.0 end) from trd where action = 'sell') as win_rate, (select least(min(d), 0.0) from cd) as max_drawdown, (select count(*) from cd) as sessions,
+    (select avg(case when pnl > 0 then 1.0 else 0.0 end) from trd where action = 'sell') as win_rate, (select least(min(d), 0.0) from cd) as max_drawdown, (select count(*) from cd) as sessions, (select max(capital) from cv) as capital, (select arg_max(value, date) from cv) as equity,
     (select avg(b / a - 1) from ub where a is not null and b is not null) as benchmark, (select count(*) from ub where a is not null and b is not null) as universe"""))
 def _(t):
-    curve = ru.deadband_positions(ranks(t)).groupBy("date").agg((F.sum(F.when(F.col("held"), F.col("close")).otherwise(0.0)) + 1000000.0).alias("value"))
-    return ru.replay_summary(rule_trades(t), curve, ranks(t))
+    trades = rule_trades(t)
+    return ru.replay_summary(trades, ru.equity_from_flows(trades.withColumn("quantity", F.lit(1.0)), ranks(t)), ranks(t))
 
 
 FOLLOW = """with p as (select concat('S', l_suppkey) as ticker, min(l_orderkey) as pos from lineitem where l_returnflag = 'A' group by 1),
@@ -323,44 +332,46 @@ def _(t):
 
 
 MTM = PANEL + QUOTES + """,
-hold as (select concat('S', l_suppkey) as ticker, sum(l_quantity) as quantity, sum(l_extendedprice) / sum(l_quantity) as entry_price from lineitem where l_returnflag = 'R' and l_discount = 0.1 and l_quantity >= 45 group by 1
-  union all select concat('X', n_nationkey), 10.0, 100.0 from nation),
-mtm as (select h.*, h.quantity * h.entry_price as cost, q.price, h.quantity * q.price as value, (q.price / q.prev_close - 1) * 100 as change_pct from hold h left join quotes q on q.ticker = h.ticker),
+""" + POSITIONS + """,
+book as (select ticker, shares as quantity, entry_price, entry_at from hold union all select concat('X', n_nationkey), 10.0, 100.0, null from nation),
+mtm as (select h.*, h.quantity * h.entry_price as cost, q.price, h.quantity * q.price as value, (q.price / q.prev_close - 1) * 100 as change_pct from book h left join quotes q on q.ticker = h.ticker),
 mtp as (select *, value - cost as pnl, (value / cost - 1) * 100 as pnl_pct from mtm)"""
 
 
 def book_marks(t):
-    h = holdings(t).select("ticker", F.col("shares").alias("quantity"), "entry_price")
-    extra = t.table("nation").select(F.concat(F.lit("X"), F.col("n_nationkey").cast("string")).alias("ticker"), F.lit(10.0).alias("quantity"), F.lit(100.0).alias("entry_price"))
+    h = holdings(t).select("ticker", F.col("shares").alias("quantity"), "entry_price", "entry_at")
+    extra = t.table("nation").select(F.concat(F.lit("X"), F.col("n_nationkey").cast("string")).alias("ticker"), F.lit(10.0).alias("quantity"), F.lit(100.0).alias("entry_price"),
+                                     F.lit(None).cast("date").alias("entry_at"))
     return hd.mark_to_market(h.unionByName(extra), qt.quote_change(t.weekly_bars()))
 
 
-@query("mark_to_market", "ticker:s currency:s quantity:f cost:f price:f value:f pnl:f pnl_pct:f change_pct:f", with_(MTM, "select *, 'USD' as currency from mtp"))
+@query("mark_to_market", "ticker:s currency:s quantity:f cost:f price:f value:f pnl:f pnl_pct:f change_pct:f", with_(MTM, "select *, 'USD' as currency from mtp", True))
 def _(t):
     return book_marks(t).withColumn("currency", currency_of(F.col("ticker")))
 
 
-@query("portfolio_total", "cost:f value:f pnl:f pnl_pct:f positions:i priced:i unpriced:i", with_(MTM, """select sum(case when value is not null then cost end) as cost, sum(value) as value,
-  sum(value) - sum(case when value is not null then cost end) as pnl, (sum(value) / sum(case when value is not null then cost end) - 1) * 100 as pnl_pct, count(*) as positions, count(value) as priced, count(*) - count(value) as unpriced from mtp"""))
+@query("portfolio_total", "cost:f value:f pnl:f pnl_pct:f positions:i priced:i unpriced:i", with_(MTM, """select round(sum(case when value is not null then cost end), 2) as cost, round(sum(value), 2) as value,
+  round(sum(value) - sum(case when value is not null then cost end), 2) as pnl, (sum(value) / sum(case when value is not null then cost end) - 1) * 100 as pnl_pct, count(*) as positions, count(value) as priced, count(*) - count(value) as unpriced from mtp""", True))
 def _(t):
-    return hd.portfolio_total(book_marks(t))
+    d = hd.portfolio_total(book_marks(t))
+    return d.withColumns({c: F.round(c, 2) for c in ("cost", "value", "pnl")})      # totals to the cent
 
 
 @query("portfolio_concentration", "positions:i hhi:f effective_positions:f largest_weight_pct:f best:s worst:s", with_(MTM, """, v as (select *, value / sum(value) over () as w from mtp where value is not null)
   select count(*) as positions, sum(w * w) as hhi, 1 / sum(w * w) as effective_positions, max(w) * 100 as largest_weight_pct,
-    arg_max(ticker, (pnl_pct, ticker)) as best, arg_min(ticker, (pnl_pct, ticker)) as worst from v"""))
+    arg_max(ticker, (pnl_pct, ticker)) as best, arg_min(ticker, (pnl_pct, ticker)) as worst from v""", True))
 def _(t):
     return hd.portfolio_concentration(book_marks(t))
 
 
-@query("same_window_comparison", "from_:d to_:d sessions:i context_only:b portfolio_pct:f benchmark_pct:f", with_(MTM + LEVEL, """, sw as (select * from lv where date >= date '2001-01-01'),
+@query("same_window_comparison", "from_:d to_:d sessions:i context_only:b portfolio_pct:f benchmark_pct:f", with_(MTM + LEVEL, """, sw as (select * from lv where date >= (select min(entry_at) from hold)),
   e as (select min(date) as f, max(date) as l, count(*) - 1 as sessions from sw),
   px as (select ticker, max(case when date = f then close end) as a, max(case when date = l then close end) as b from panel, e group by ticker)
   select e.f as from_, e.l as to_, e.sessions, false as context_only, (select sum(value / (select sum(value) from mtp) * (b / a - 1) * 100) from mtp join px on px.ticker = mtp.ticker where a > 0 and b is not null and value is not null) as portfolio_pct,
-    ((select arg_max(level, date) from sw) / (select arg_min(level, date) from sw) - 1) * 100 as benchmark_pct from e"""))
+    ((select arg_max(level, date) from sw) / (select arg_min(level, date) from sw) - 1) * 100 as benchmark_pct from e""", True))
 def _(t):
     b = t.weekly_bars()
-    return hd.same_window(book_marks(t), b, b.groupBy("date").agg(F.avg("close").alias("level")), "2001-01-01")
+    return hd.same_window(book_marks(t), b, b.groupBy("date").agg(F.avg("close").alias("level")))
 
 
 @query("allocate_balance", "ticker:s price:f weight_pct:f target:f shares:f spend:f", with_(RK, """, p as (select ticker, close as price, greatest(rank - 90, 0) as w from rk where sid = 300 and close > 0),

@@ -65,3 +65,25 @@ def test_sparse_results_equal_dense_pandas(signal):
     held = w.rolling(h, min_periods=1).mean().shift(1).fillna(0.0)
     np.testing.assert_allclose(got["gross_pnl"], (held * ret).sum(axis=1), atol=1e-12)
     np.testing.assert_allclose(got["turnover"], held.diff().abs().sum(axis=1), atol=1e-12)
+
+
+def test_equity_is_cash_and_marked_holdings(spark):
+    """A gap in a name's bars, a trade on a day without a bar, two trades a day, a name without any bar."""
+    from barloom.operators.rules import equity_from_flows
+    bars = spark.createDataFrame([(1, "A", 10.0), (2, "A", 12.0), (4, "A", 15.0), (1, "B", 5.0), (2, "B", 4.0), (3, "B", 6.0), (4, "B", 6.0)], "d int, ticker string, close double")
+    trades = spark.createDataFrame([(1, "buy", "A", 2.0, 10.0), (2, "buy", "B", 3.0, 4.0), (3, "sell", "A", 1.0, 13.0), (4, "sell", "B", 3.0, 6.0),
+                                    (4, "buy", "B", 1.0, 6.0), (2, "buy", "N", 1.0, 8.0)], "d int, action string, ticker string, quantity double, price double")
+    day = lambda c: F.date_add(F.lit("2001-01-01").cast("date"), F.col("d")).alias(c)
+    got = equity_from_flows(trades.select(day("at_"), "action", "ticker", "quantity", "price"), bars.select(day("date"), "ticker", "close")).orderBy("date").collect()
+    # cash 20, 0, 13, 25 of a capital of 40; A is held at 12 on day 3, which has no bar of it; N is worth nothing
+    assert [(r.cash, r.held, r.value, r.capital) for r in got] == [(20.0, 20.0, 40.0, 40.0), (0.0, 36.0, 36.0, 40.0), (13.0, 30.0, 43.0, 40.0), (25.0, 21.0, 46.0, 40.0)]
+
+
+def test_same_window_starts_at_the_earliest_entry(spark):
+    from barloom.operators.holdings import same_window
+    d = spark.sql("select date_add(date '2001-01-01', cast(id as int)) as date, 'A' as ticker, 10.0D + id as close from range(10)")
+    marks = spark.sql("select 'A' as ticker, 50.0D as value, date '2001-01-03' as entry_at union all select 'X', null, null")
+    r = same_window(marks, d, d.select("date", F.col("close").alias("level"))).first()
+    assert (str(r.from_), r.sessions, r.context_only) == ("2001-01-03", 7, False) and abs(r.portfolio_pct - r.benchmark_pct) < 1e-9
+    late = marks.withColumn("entry_at", F.lit("2001-01-10").cast("date"))
+    assert same_window(late, d, d.select("date", F.col("close").alias("level"))).first().context_only
