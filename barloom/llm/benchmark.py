@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from barloom.llm.bytescan import LOWER, Words, slices
+from barloom.session import materialize
 
 K1, B = 1.2, 0.75
 RETRIEVE = 0.5        # share of an item's own BM25 score that a passage must reach
 QUESTION, ANSWER = 0.8, 0.5   # shares of the five-word shingles of both parts that must stand in the passage
 SHINGLE = 5
-INDEX_ITEMS = 20_000  # items of one broadcast index; more items are searched in several passes
 BLOCK = 16            # items of a posting block
 LEAST_STRIDE = 32
 #: Every ASCII byte but letters and digits parts words, so that punctuation does not matter.
@@ -70,16 +70,31 @@ class ItemIndex:
     parts: list          # (question terms, answer terms, shortest shingle) per item
 
 
-def index_items(items: list[tuple[object, str]]) -> ItemIndex:
-    """Index of (id, text); items without words are left out."""
+@dataclass
+class ItemCounts:
+    """What weights and passages depend on, over all items: items and words, the longest item, and items holding a term."""
+    items: int
+    words: int
+    longest: int
+    held: dict[int, int]
+
+
+def count_items(items: list[tuple[object, str]]) -> ItemCounts:
+    """The counts of items that are all at hand."""
+    found = [w for w in (_terms(t) for _, t in items if t) if len(w)]
+    return ItemCounts(len(found), sum(map(len, found)), max(map(len, found), default=0), Counter(t for w in found for t in np.unique(w).tolist()))
+
+
+def index_items(items: list[tuple[object, str]], counts: ItemCounts | None = None) -> ItemIndex:
+    """Index of (id, text), weighted by the `counts` of all items (of these if left out); items without words are left out."""
     kept = [(i, t, _terms(t)) for i, t in items if t]
     kept = [(i, t, w) for i, t, w in kept if len(w)]
-    held = Counter(t for _, _, w in kept for t in np.unique(w).tolist())
-    mean = sum(len(w) for _, _, w in kept) / max(1, len(kept))
+    counts_ = counts or count_items(items)
+    held, n, mean = counts_.held, counts_.items, counts_.words / max(1, counts_.items)
     found: list[tuple[int, int, float]] = []
     for i, (_, _, words) in enumerate(kept):
         terms, counts = np.unique(words, return_counts=True)
-        idf = np.array([math.log(1 + (len(kept) - held[t] + 0.5) / (held[t] + 0.5)) for t in terms.tolist()])
+        idf = np.array([math.log(1 + (n - held[t] + 0.5) / (held[t] + 0.5)) for t in terms.tolist()])
         own = idf * counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(words) / mean))
         found += zip(terms.tolist(), [i] * len(terms), (own / own.sum()).tolist())
     found.sort()
@@ -97,7 +112,7 @@ def index_items(items: list[tuple[object, str]]) -> ItemIndex:
         parts.append((_shingles(_terms(q)), min(SHINGLE, len(_terms(q))), _shingles(_terms(a)), min(SHINGLE, len(_terms(a)))))
     return ItemIndex([i for i, _, _ in kept], terms, ends, item, weight, np.searchsorted(block_term, np.arange(len(terms) + 1)),
                      blocks % (len(kept) // BLOCK + 1), top, np.maximum.reduceat(weight, first) if len(first) else weight,
-                     max([LEAST_STRIDE, *(len(w) for _, _, w in kept)]), parts)
+                     max(LEAST_STRIDE, counts_.longest), parts)
 
 
 def _expand(ends: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,18 +201,39 @@ def _leaks(column: pa.Array, index: ItemIndex) -> Iterator[tuple[int, int, dict[
         yield lo, hi, best
 
 
-def _indexes(benchmark: DataFrame, item: str, text: str) -> Iterator:
-    """Broadcast indexes of at most about INDEX_ITEMS items each."""
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each item its distinct terms, and a row without a term that holds the number of its words."""
+    for batch in batches:
+        terms, words = [], []
+        for text in batch.column(0).to_pylist():
+            found = _terms(text) if text else ()
+            if len(found):
+                own = np.unique(found).view(np.int64).tolist()
+                terms += [None, *own]
+                words += [len(found), *[0] * len(own)]
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(words, pa.int64())], names=["term", "words"])
+
+
+def _indexes(benchmark: DataFrame, item: str, text: str, block: int) -> Iterator:
+    """Broadcast indexes of about `block` items each. Counts are taken over all items first, so the blocks bound memory and
+    change nothing that is found."""
     spark = benchmark.sparkSession
     given = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).filter("text is not null")
-    blocks = max(1, -(-given.count() // INDEX_ITEMS))
+    terms = lambda d: d.select("text").mapInArrow(_item_terms, "term long, words long")
+    head = terms(given).filter("term is null").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.max("words").alias("most")).first()
+    blocks = max(1, -(-head["n"] // block))
+    held = terms(given).filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    if blocks > 1:
+        held = materialize(held, "item-terms")
     for b in range(blocks):
-        some = given.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else given.collect()
-        yield spark.sparkContext.broadcast(index_items(sorted(((r["item"], r["text"]) for r in some), key=repr)))
+        some = given.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+        mine = held if blocks == 1 else held.join(terms(some).select("term").distinct(), "term", "left_semi")
+        counts = ItemCounts(head["n"], head["words"] or 0, head["most"] or 0, {r["term"] % (1 << 64): r["n"] for r in mine.collect()})
+        yield spark.sparkContext.broadcast(index_items(sorted(((r["item"], r["text"]) for r in some.collect()), key=repr), counts))
 
 
 def find_leaks(positions: DataFrame, benchmark: DataFrame, *, key: str = "position_id", note: str = "note",
-               item: str = "item_id", text: str = "text") -> DataFrame:
+               item: str = "item_id", text: str = "text", block: int = 20_000) -> DataFrame:
     """(key, item, passage, score, question_overlap, answer_overlap) of every note and item that it leaks.
 
     General: the library has no test items of its own; any table of (item, text) serves. A note is cut into passages of
@@ -205,6 +241,9 @@ def find_leaks(positions: DataFrame, benchmark: DataFrame, *, key: str = "positi
     an item's own BM25 score are retrieved, all of them, and verified: QUESTION of the five-word shingles of its question
     and ANSWER of those of its answer must stand in the passage. `passage` is the first word of the best passage.
 
+    Term weights, mean length and passages come from counts over all items; the items are then searched in blocks of about
+    `block`, which bound what is broadcast: whatever the block, the result is the same.
+
     Words are runs of ASCII letters and digits and bytes beyond ASCII, lower-cased. Null and empty notes or items match
     nothing; repeated rows give repeated results; an empty table on either side gives no rows; other columns are ignored."""
     kind, item_kind = positions.schema[key].dataType, benchmark.schema[item].dataType
@@ -213,7 +252,7 @@ def find_leaks(positions: DataFrame, benchmark: DataFrame, *, key: str = "positi
                         T.StructField("answer_overlap", T.DoubleType())])
     given = positions.select(F.col(key).alias("key"), F.col(note).alias("note"))
     result = None
-    for index in _indexes(benchmark, item, text):
+    for index in _indexes(benchmark, item, text, block):
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, _, best in _leaks(batch.column(1), index.value):
@@ -235,10 +274,10 @@ def _like(kind: T.DataType, values: list) -> pa.Array:
 
 
 def drop_leaks(positions: DataFrame, benchmark: DataFrame, *, note: str = "note", item: str = "item_id",
-               text: str = "text") -> DataFrame:
+               text: str = "text", block: int = 20_000) -> DataFrame:
     """The notes that leak no item by the rules of `find_leaks`, with all their columns, in one pass without a shuffle."""
     at = positions.columns.index(note)
-    for index in _indexes(benchmark, item, text):
+    for index in _indexes(benchmark, item, text, block):
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, hi, best in _leaks(batch.column(at), index.value):

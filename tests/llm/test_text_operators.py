@@ -9,7 +9,8 @@ import pytest
 
 import brute
 from barloom.llm import queries as q
-from barloom.llm.benchmark import find_leaks, drop_leaks, index_items, split_item
+from barloom.llm.bytescan import Words
+from barloom.llm.benchmark import PARTS, find_leaks, drop_leaks, index_items, search, split_item
 from barloom.llm.jaccard import SignatureTree, fold, near_duplicates, prefix_size, signature
 from barloom.llm.licenses import CONTAINMENT, TEMPLATES, brute_places, scan_licenses
 from barloom.llm.line_dedup import common_blocks, dedup_lines, patience_diff
@@ -468,3 +469,51 @@ def test_added_secrets_and_accounts(spark):
     assert len(added & planted) >= 0.95 * len(planted) and len(added - planted) <= 0.05 * len(added)
     assert ("secret", secret[3]) in got[3] and ("keyhead", "-----BEGIN RSA PRIVATE KEY-----") in got[302]
     assert ("iban", "DE89 3704 0044 0532 0130 00") in got[300] and not got[301] and not got[100]
+
+
+def test_leaks_do_not_depend_on_the_block(spark):
+    """Blocks of a few items and of all give the same rows, scores included; repeated items and notes, null keys, ties between
+    passages, and extra columns with the names that the operator uses itself."""
+    rng = np.random.default_rng(12)
+    pool = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(120)]
+    words = lambda n: " ".join(rng.choice(pool, n))
+    items = [(i, f"{words(int(rng.integers(8, 30)))}. {words(6)}.") for i in range(60)]
+    items += [items[0], (None, f"{words(20)}. {words(6)}.")]
+    data = [(i, words(60) + " " + items[i][1] + " " + words(200) + " " + items[i][1]) for i in range(30)] + [(None, items[3][1]), (5, items[61][1])]
+    table = spark.createDataFrame(data + data[:2], "position_id long, note string").selectExpr("*", "1 as key", "2 as item", "3 as score")
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "4 as note", "5 as term", "6 as words")
+    order = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    whole = order(find_leaks(table, bench))
+    assert whole == order(find_leaks(table, bench, block=7))
+    # rows 0 and 1 stand twice, and so does item 0
+    hits = collections.Counter((r[0], r[1]) for r in whole)
+    assert hits == collections.Counter({**{(i, i): 1 for i in range(2, 30)}, (0, 0): 4, (1, 1): 2, (None, 3): 1, (5, None): 1})
+    kept = drop_leaks(table.union(spark.sql("select 99, 'nothing of the kind', 1, 2, 3")), bench, block=7)
+    assert [tuple(r) for r in kept.collect()] == [(99, "nothing of the kind", 1, 2, 3)]
+
+
+def test_search_equals_plain_bm25():
+    """Every passage and item with a score at the threshold or above is retrieved, and no other."""
+    import math
+    rng = np.random.default_rng(4)
+    pool = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(pool, int(rng.integers(3, 25))))) for i in range(50)]
+    notes = [" ".join(rng.choice(pool, int(n))) for n in rng.integers(0, 400, 30)] + ["", items[7][1]]
+    index = index_items(items)
+    text = [t.split() for _, t in items]
+    mean, held = sum(map(len, text)) / 50, collections.Counter(w for t in text for w in set(t))
+    own = [{w: math.log(1 + (50 - held[w] + 0.5) / (held[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in t} for t in text]
+    want = {}
+    for row, note in enumerate(notes):
+        w, stride = note.split(), 32
+        for k in range(max(1, -(-len(w) // stride) - 1) if w else 0):
+            part = set(w[k * stride:k * stride + 2 * stride])
+            for i, o in enumerate(own):
+                score = sum(v for t, v in o.items() if t in part) / sum(o.values())
+                if score >= 0.5:
+                    want[row, k * stride, i] = score
+    data = np.frombuffer("".join(notes).encode(), np.uint8)
+    w = Words(data, np.cumsum([0, *map(len, notes)]), PARTS)
+    first = np.concatenate([[0], np.cumsum(w.per_row)])
+    got = {(r, s - int(first[r]), index.ids[i]): v for r, s, _, i, v in search(w, len(notes), index)}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(got) > 50
