@@ -9,7 +9,9 @@ from barloom.operators import ledger as ld, metrics as mt
 from barloom.plans.catalog_books import BOOK, H, IC, MASKED, SIG, ic, signal
 from barloom.plans.registry import query
 from barloom.plans.sqlparts import ewm, with_
+from barloom.session import scratch_path
 from barloom.sources import store as st
+from barloom.sources.cycles import Cycles
 from barloom.sources.signals import kept_scores, long_scores
 
 # every date was logged at 18:00; names of nation-like even volume were logged again at 19:00 with other scores
@@ -21,11 +23,18 @@ led0 as (select *, row_number() over (partition by date, ticker order by logged_
 led as (select date, ticker, mom, rev, run, logged_at from led0 where i = 1)"""
 
 
+def predictions(t):
+    return kept_scores(t, H).filter("mom is not null or rev is not null").select("date", "ticker", "mom", "rev")
+
+
+def prior_log(t):
+    """Every date's forecasts as logged at 18:00."""
+    return predictions(t).select("date", "ticker", (F.col("mom") * 0.5).alias("mom"), "rev", F.lit("first").alias("run"),
+                                 (F.col("date").cast("timestamp_ntz") + F.expr("interval 18 hours")).alias("logged_at"))
+
+
 def ledger(t):
-    p = kept_scores(t, H).filter("mom is not null or rev is not null").select("date", "ticker", "mom", "rev")
-    prior = p.select("date", "ticker", (F.col("mom") * 0.5).alias("mom"), "rev", F.lit("first").alias("run"),
-                     (F.col("date").cast("timestamp_ntz") + F.expr("interval 18 hours")).alias("logged_at"))
-    return st.ledger_append(prior, p, "second", "2002-01-01 00:00:00")
+    return st.ledger_append(prior_log(t), predictions(t), "second", "2002-01-01 00:00:00")
 
 
 @query("ledger_append", "date:d ticker:s mom:f rev:f run:s logged_at:t", with_(LED, "select * from led"))
@@ -120,8 +129,16 @@ def _(t):
     return st.update_log(o, 200, "at_")
 
 
-@query("daily_update", "model:s n:i logged:i resolved:i pending:i ic:f", f"select model, n, logged, resolved, pending, ic from ({SCORECARD}) as d_")
+CYCLE = SCORECARD.replace("select n.model, n.n,", """select 'second' as run, (select max(date) from panel) as last_bar,
+    (select count(distinct ticker) from panel) as tickers, (select count(*) from fresh) as forecasts, n.model, n.n,""", 1)
+HISTORY = "run string, last_bar date, tickers long, forecasts long, model string, n long, resolved long, pending long, ic double"
+
+
+@query("daily_update", "run:s last_bar:d tickers:i forecasts:i model:s n:i resolved:i pending:i ic:f", CYCLE)
 def _(t):
-    """One nightly cycle on the score models: log the newest forecasts, resolve, score."""
-    d = ld.ledger_scorecard(ld.resolve_ledger(ledger(t), kept_scores(t, H)), ["mom", "rev"], t.names_bound)
-    return d.select("model", "n", "logged", "resolved", "pending", "ic")
+    """The nightly cycle on the score models, after a ledger of all earlier nights; a second run of the night changes nothing."""
+    c, scores = Cycles(t.spark, scratch_path(t.spark, "cycles")), kept_scores(t, H)
+    c.run("first", [("ledger", lambda c, key: prior_log(t)), ("history", lambda c, key: t.spark.createDataFrame([], HISTORY))])
+    for _ in range(2):
+        c.run("second", ld.nightly_steps(scores, predictions(t), ["mom", "rev"], "2002-01-01 00:00:00", t.names_bound))
+    return c.table("history")
