@@ -315,15 +315,15 @@ def _(t):
 
 
 # ---- sets ----------------------------------------------------------------------------------------
-TWO = """a as (select concat('S', l_suppkey) as ticker from lineitem where l_returnflag = 'R' and l_discount = 0.1 and l_tax = 0.08 and l_quantity >= 30),
-b as (select concat('S', l_suppkey) as ticker from lineitem where l_returnflag = 'A' and l_discount = 0.0 and l_tax = 0.0 and l_quantity >= 30)"""
+# listings: a supplier's part. The two sets are all listings with a return and all with an accepted line.
+TWO = """a as (select concat('S', l_suppkey, '-', l_partkey) as ticker from lineitem where l_returnflag = 'R'),
+b as (select concat('S', l_suppkey, '-', l_partkey) as ticker from lineitem where l_returnflag = 'A')"""
 
 
 def two_sets(t):
-    li = t.table("lineitem").filter("l_quantity >= 30")
-    s = F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker")
-    return (li.filter("l_returnflag = 'R' and l_discount = 0.1D and l_tax = 0.08D").select(s),
-            li.filter("l_returnflag = 'A' and l_discount = 0.0D and l_tax = 0.0D").select(s))
+    li = t.table("lineitem")
+    s = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("ticker")
+    return li.filter("l_returnflag = 'R'").select(s), li.filter("l_returnflag = 'A'").select(s)
 
 
 @query("set_union_all", "ticker:s n:i", with_(TWO, "select ticker, count(*) as n from (select * from a union all select * from b) group by ticker"))

@@ -293,15 +293,15 @@ def _(t):
 FEED = TRD + """,
 feed as (select at_, 'trade' as stream, action, ticker, concat(action, ' ', ticker) as detail from trd
   union all select cast(o_orderdate as date), 'learning', 'retrain', null, concat('retrained on ', count(*), ' names') from orders group by cast(o_orderdate as date)
-  union all select cast(l_shipdate as date), 'watchlist', 'follow', concat('S', l_suppkey), 'follow' from lineitem where l_quantity = 50 and l_discount = 0.1)"""
+  union all select cast(l_shipdate as date), 'watchlist', 'follow', concat('S', l_suppkey), 'follow' from lineitem group by all)"""
 
 
 def feed(t):
     tr = rule_trades(t).select("at_", "action", "ticker", F.concat_ws(" ", "action", "ticker").alias("detail"))
     le = t.table("orders").groupBy(F.col("o_orderdate").cast("date").alias("at_")).agg(F.count(F.lit(1)).alias("n")).select(
         "at_", F.lit("retrain").alias("action"), F.lit(None).cast("string").alias("ticker"), F.format_string("retrained on %d names", "n").alias("detail"))
-    wl = t.table("lineitem").filter("l_quantity = 50 and l_discount = 0.1D").select(
-        F.col("l_shipdate").cast("date").alias("at_"), F.lit("follow").alias("action"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), F.lit("follow").alias("detail"))
+    wl = t.table("lineitem").groupBy(F.col("l_shipdate").cast("date").alias("at_"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker")).agg(
+        F.lit("follow").alias("action"), F.lit("follow").alias("detail"))
     return {"trade": tr, "learning": le, "watchlist": wl}
 
 
